@@ -8,19 +8,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe
+from siltstone.llm import bpe, media, secrets
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.listing(secrets.spans(spark, table(spark, sf_dir, "documents")))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalogue, folder = media.pack(spark, table(spark, sf_dir, "documents"))
+    return media.read_back(catalogue, folder)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_bpe": op9_bpe}
+    found = (op7_secrets, op8_media, op9_bpe)
+    return {q.__name__: q for q in found}
 
 
 def oracle_sql() -> dict[str, str]:
