@@ -9,12 +9,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, media, secrets, simhash
+from siltstone.llm import bpe, licenses, media, secrets, simhash
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    labels = lambda *columns: F.array_join(F.array_sort(F.array_distinct(F.concat(*columns))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min("places.word").alias("first_word"),
+        F.array_max("places.word").alias("last_word"),
+        labels("places.label").alias("base_labels"),
+        labels("places.label", "matches.label").alias("labels"),
+        F.coalesce(F.array_max("matches.score"), F.lit(0.0)).alias("score"),
+    )
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.listing(secrets.spans(spark, table(spark, sf_dir, "documents")))
 
@@ -35,7 +50,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op7_secrets, op8_media, op9_bpe, op10_simhash)
+    found = (op1_licenses, op7_secrets, op8_media, op9_bpe, op10_simhash)
     return {q.__name__: q for q in found}
 
 
