@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, licenses, media, secrets, simhash
+from siltstone.llm import bpe, licenses, media, mixing, rules, secrets, simhash
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,16 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.verdicts(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.listing(secrets.spans(spark, table(spark, sf_dir, "documents")))
 
@@ -50,7 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_licenses, op7_secrets, op8_media, op9_bpe, op10_simhash)
+    found = (op1_licenses, op5_rules, op6_mixing, op7_secrets, op8_media, op9_bpe, op10_simhash)
     return {q.__name__: q for q in found}
 
 
