@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, html, licenses, media, mixing, rules, secrets, simhash
+from siltstone.llm import bpe, chat, html, licenses, media, mixing, quality, rules, secrets, simhash
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html.extract(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "by_wrapper")
@@ -72,7 +78,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_licenses, op3_html, op4_chat, op5_rules, op6_mixing, op7_secrets, op8_media, op9_bpe, op10_simhash)
+    found = (op1_licenses, op2_quality, op3_html, op4_chat, op5_rules, op6_mixing, op7_secrets, op8_media, op9_bpe, op10_simhash)
     return {q.__name__: q for q in found}
 
 
