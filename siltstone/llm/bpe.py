@@ -226,8 +226,8 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return map_slices(tokens.select(id_col, "ids"), make, f"`{id_col}` {id_type}, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts and digests of (id_col, ids, text)."""
+def digests(decoded: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """Counts and digests of (id_col, ids, text), and the ids themselves if wanted."""
     id_type = decoded.schema[id_col].dataType.simpleString()
 
     def make():
@@ -239,10 +239,11 @@ def digests(decoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
                     pa.array([len(x) for x in lists], pa.int64()),
                     pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists], pa.string()),
                     pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t in batch.column(2).to_pylist()], pa.string()),
+                    *[batch.column(1)] * with_ids,
                 ],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
+                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids],
             )
 
         return work
 
-    return map_slices(decoded, make, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(decoded, make, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
