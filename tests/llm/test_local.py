@@ -1,0 +1,227 @@
+"""The local parts of the training-data operators against brute force."""
+
+import random
+import re
+from collections import Counter
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from tokenizers import Tokenizer
+
+from siltstone.llm import bpe, chat, html, licenses, media, quality, secrets, simhash
+
+DOCS = [r[0] for r in duckdb.connect().sql("select text from '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+ODD = ["", " ", "\n\n", "a" * 3000, "é" * 50, "<|endoftext|>", "x<|endoftext|> <|endoftext|>", "日本語 テキスト", "\x1c\x85  a", "don't we'll I'm\r\n\t x", "1²ª½", "\U0001f600 ok", "𝔘nicode  "]
+
+
+def test_bpe_equals_library():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, library = bpe.SpeculativeBPE(path), Tokenizer.from_file(path)
+    random.seed(5)
+    fuzz = ["".join(random.choice("ab c\n\t'sre.!1 é\x1c\x85ÀȀ×ɏ²") for _ in range(random.randrange(50))) for _ in range(500)]
+    texts = DOCS + ODD + fuzz
+    packed = [np.frombuffer(p, "<u4") for p in mine.encode_batch(texts)]
+    assert [p.tolist() for p in packed] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [mine.decode(p) for p in packed] == texts
+    assert 0 < mine.merged < len(mine.cache)
+
+
+def test_bpe_merging():
+    mine = bpe.SpeculativeBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    for word in (b" the", b"tokenization", b"=" * 100, "ünïcödé".encode() * 9):
+        short, bpe.SHORT = bpe.SHORT, 0
+        by_heap = mine.merge(word)
+        bpe.SHORT = 1 << 20
+        assert mine.merge(word) == by_heap
+        bpe.SHORT = short
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def test_license_places():
+    finder = licenses.Finder(licenses.BASE, licenses.NOTICES)
+    extra = ["CC BY CC-BY cc by", "mit license" * 3 + " MIT LICENSE", "gnu general public license " * 300, "ccby", None, "é cc by é"]
+    for text in DOCS + extra:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        want = sorted((i, label) for p, label in licenses.BASE.items() for q in [p.split()] for i in range(len(words) - len(q) + 1) if words[i : i + len(q)] == q)
+        n, places, matches = finder.find(text)
+        assert (n, places) == (len(words), want)
+        assert {(i, label) for i, label in want} <= {(m.first, m.label) for m in matches if not m.edits}
+
+
+@pytest.mark.parametrize(("text", "label", "edits"), [("GNU Genral Publik License", "gpl", 2), ("apache licens", "apache", 1), ("the mit licénse.", "mit", 1), ("BSD License", "bsd", 0), ("Mozila Public-License", "mpl", 1)])
+def test_license_edits(text, label, edits):
+    matches = licenses.Finder(licenses.BASE, licenses.NOTICES).find(text)[2]
+    assert (label, edits) in {(m.label, m.edits) for m in matches}
+
+
+def test_license_none():
+    finder = licenses.Finder(licenses.BASE, licenses.NOTICES)
+    assert finder.find("it is licensed under public licenses of submit licenses")[2] == []
+
+
+def test_quality_features():
+    assert quality.features("") .size == 0 and quality.features(None).size == 0
+    text = "abcabc"
+    assert len(quality.features(text)) == len({text[i : i + n] for n in (2, 3, 4) for i in range(len(text) - n + 1)})
+    assert {0, 5} <= set(quality.features("go go go").tolist())
+
+
+def test_quality_held_out():
+    import zlib
+
+    rows = duckdb.connect().sql("select d.doc_id, text, quality from '/root/testdata/sf0.1/documents.parquet' d join '/root/testdata/sf0.1/labels.parquet' using (doc_id) order by 1 limit 1500").fetchall()
+    fold = lambda r: zlib.crc32(str(r[0]).encode()) % 5 == 0
+    train, test = [r for r in rows if not fold(r)], [r for r in rows if fold(r)]
+    model = quality.fit([quality.features(r[1]) for r in train], [r[2] for r in train])
+    scores = np.array([model.score(quality.features(r[1])) for r in test])
+    y = np.array([r[2] for r in test])
+    assert ((scores >= 0.3) == y).mean() > 0.97
+    assert (scores[y == 1] >= 0.3).mean() > 0.99
+    assert (scores[y == 1][:, None] > scores[y == 0][None]).mean() > 0.99
+
+
+def test_quality_one_class():
+    assert quality.fit([], []).score(quality.features("x")) == pytest.approx(0.5)
+    assert quality.fit([quality.features("a b")], [1]).score(quality.features("x")) > 0.99
+
+
+def test_secret_spans():
+    text = 'é token = "abcdef123456" PASSWORD:short1 pwd secret=tiny AKIA' + "A1" * 10 + " " + "0a" * 12 + " x" + "f" * 23
+    spans = secrets.pattern_spans(text)
+    kinds = [(secrets.KINDS[k], text[a:b]) for a, b, k, _ in spans]
+    assert kinds == [("assign", 'token = "abcdef123456'), ("assign", "PASSWORD:short1"), ("access", "AKIA" + "A1" * 10), ("hex", "0a" * 12)]
+    assert secrets.pattern_spans("\u017fecret=abcdefgh to\u212aen=abcdefgh") == []  # letters outside ASCII aren't folded
+
+
+def test_secret_grammar():
+    automata = secrets.learn([("hex", "x40", 50), ("access", "AKIA U16", 20), ("assign", "w12", 1), ("assign", "w13", 1)])
+    judged = lambda token: (v := secrets.judge(secrets.runs(token), automata, secrets.LEAST_SCORE)) and v[0]
+    assert judged("ghp_" + "a1B2" * 9) == "github"
+    assert judged("sk_live_" + "a1B2c3" * 4) == "stripe"
+    assert judged("0a" * 20) == "hex"
+    assert judged("2109669448945250") is None
+    assert judged("192.168.131.120.55") is None
+    assert secrets.runs("AKIA" + "1" * 16) == "AKIA d16"
+    assert secrets.runs("a1" * 100) == "x128"
+
+
+def test_secret_merging():
+    a = secrets.Automaton()
+    for string, count in (("x . x", 100), ("x . x . x", 50), ("x . x . x . x", 25)):
+        a.add(string, count)
+    size = len(a.ends)
+    a.generalise()
+    assert a.score("x . x . x . x . x . x") > 0 and size == 8
+    reached, todo = set(), [0]
+    while todo:
+        q = todo.pop()
+        if q not in reached:
+            reached.add(q)
+            todo += [t for t, _ in a.steps[q].values()]
+    assert len(reached) < size
+
+
+
+
+@pytest.mark.parametrize("text", [None, "", "a", "é" * 32, "x" * 64, "y" * 65, "long " * 50_000])
+def test_payload(text):
+    data, n = media.payload(text)
+    assert len(data) % 64 == 0 and len(data) > 0 and data[:n] == (text or "").encode() and not any(data[n:])
+    stored = media.to_png(data)
+    assert media.from_png(stored) == data
+    assert media.header(stored[: media.HEADER_BYTES]) == {"width": 64, "height": len(data) // 64, "bit_depth": 8, "colour_type": 0}
+
+
+def slow_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints():
+    for text in DOCS[:60] + ODD + [None, "one two three", "A b C d", " x y z"]:
+        assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+def test_covering():
+    masks = [m & (1 << 64) - 1 for m in simhash.covering_masks()]
+    assert len(masks) == 31
+    rng = random.Random(1)
+    for _ in range(3000):
+        differ = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4)))
+        assert any(not differ & m for m in masks)
+
+
+def test_bucket_roots():
+    rng = random.Random(2)
+    centres = [rng.getrandbits(64) for _ in range(6)]
+    members = np.array(sorted({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centres for _ in range(60)}), np.uint64)
+    want = members.copy()
+    while True:  # the smallest among all within reach, again and again
+        near = np.bitwise_count(members[:, None] ^ members[None]) <= 4
+        new = np.array([want[row].min() for row in near], np.uint64)
+        if (new == want).all():
+            break
+        want = new
+    assert (simhash.bucket_roots(members) == want).all()
+
+
+@pytest.mark.parametrize("text", ["", "plain", "<|im_end|><|im_start|>assistant ok", r"\<| \\ <\|", "<", "a\nb<|im_end|>\n", "\\n", "<|" * 50])
+@pytest.mark.parametrize("role", ["user", "assistant", "", "odd\nrole<|im_start|>\\"])
+def test_chat_escapes(text, role):
+    segment, a, b = chat.render(role, text)
+    assert chat.parse(segment + segment) == [(role, text)] * 2
+    assert chat.unescape(segment[a:b]) == text
+    assert "<|im_start|>" not in segment[2:]
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/a">A</a></li></ul></nav>
+<div class="cookie-notice">Cookies</div><article><h1>Head &amp; line</h1><p>One <b>two</b>
+ three<div class="ad">AD</div><p>Four<ul><li>a<li>b</ul><form><p>sub</p></form><section class="comments"><p>c1</p></section><script>x<y</script></article><aside>side</aside><footer>f</footer></body></html>"""
+
+
+def test_html_main():
+    assert html.main_text(PAGE, None)[0] == "Head & line\nOne two three\nFour\na\nb"
+    assert html.main_text(None, None)[0] == "" and html.main_text("", None)[0] == ""
+    assert html.main_text("plain &lt; text", None)[0] == "plain < text"
+    assert html.main_text("<article><p>cut of", None)[0] == "cut of"
+    assert html.main_text("<div class='content'><p>x</p></div><div>y</div>", None)[0] == "x"
+
+
+def test_html_wrapper():
+    def page(n, ad=True, comments=0):
+        return "<html><body><nav>" + "<li>n</li>" * 3 + "</nav>" + "<div class='ad'>x</div>" * ad + f"<article><h1>h{n}</h1>" + "".join(f"<p>t{n}.{i}</p>" for i in range(n)) + "</article>" + "<div class='comment'><p>c</p></div>" * comments + "<footer>f</footer></body></html>"
+
+    import json
+
+    shapes = [json.dumps(html.fold([x for x in html.Page(page(*a)).labels if x])) for a in ((3,), (1, False), (2, True, 1), (4, True, 3))]
+    wrapper = html.infer(shapes)
+    assert "(?P<main>" in wrapper and "|" not in wrapper.replace("\\|", "")
+    for a in ((3,), (7, False, 5), (1, True, 0), (5, True, 9)):
+        text, matched = html.main_text(page(*a), wrapper)
+        assert matched and text.split("\n") == [f"h{a[0]}", *(f"t{a[0]}.{i}" for i in range(a[0]))]
+    assert not html.main_text("<table><tr><td>z</table>", wrapper)[1]
+
+
+def test_html_rows_of_sample():
+    rows = duckdb.connect().sql("select url, html from '/root/testdata/sf0.001/pages.parquet'").fetchall()
+    import json
+
+    by = {}
+    for url, source in rows:
+        by.setdefault(re.match(r"\w+://([^/?#]*)", url)[1], Counter())[json.dumps(html.fold([x for x in html.Page(source).labels if x]), ensure_ascii=False)] += 1
+    wrappers = {h: html.infer([s for s, _ in c.most_common(html.SHAPES)]) for h, c in by.items()}
+    import html as entities
+
+    for url, source in rows:
+        text, matched = html.main_text(source, wrappers[re.match(r"\w+://([^/?#]*)", url)[1]])
+        inner = re.search(r"<article>(.*?)(</article>|$)", source, re.S)[1]
+        want = [" ".join(entities.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split("</?(?:p|h1)>", inner)]
+        assert matched and text == "\n".join(x for x in want if x)
