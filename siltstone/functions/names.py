@@ -41,12 +41,12 @@ def plugin(name: Column, top: Column) -> Column:
 
 def spec_name(spec: Column) -> Column:
     """The name in ``name``, ``name@version``, ``@scope/name`` or ``@scope/name@version``."""
-    return F.regexp_extract(spec, r"^(@[^@]*|[^@]*)", 1)
+    return F.regexp_extract(spec, r"^(@?[^@]*)", 1)
 
 
 def spec_version(spec: Column) -> Column:
     """The version of a specifier, or null."""
-    found = F.regexp_extract(spec, r"^(?:@[^@]*|[^@]*)@(.*)$", 1)
+    found = F.regexp_extract(spec, r"^.[^@]*@(.*)$", 1)
     return F.when(found != "", found)
 
 

@@ -504,7 +504,7 @@ _VERSIONS = ["1.0.0", "1.0.1", "1.1.0", "2.0.0", "v1.2.3-beta.1", "1.0", "1.0.0+
 _SPEC, _RANGE, _V1, _V2 = fx.pick(_SPECS, "p_partkey"), fx.pick(_RANGES, "p_partkey"), fx.pick(_VERSIONS, "p_partkey"), fx.pick(_VERSIONS, "(p_partkey // 8)")
 
 
-@query("package_specs", rf"SELECT p_partkey, regexp_extract(s, '^(@[^@]*|[^@]*)', 1) AS name, nullif(regexp_extract(s, '^(?:@[^@]*|[^@]*)@(.*)$', 1), '') AS version FROM (SELECT p_partkey, {_SPEC} AS s FROM part)")
+@query("package_specs", rf"SELECT p_partkey, regexp_extract(s, '^(@?[^@]*)', 1) AS name, nullif(regexp_extract(s, '^.[^@]*@(.*)$', 1), '') AS version FROM (SELECT p_partkey, {_SPEC} AS s FROM part)")
 def _specs(spark, sf):
     p = read(spark, sf, "part").select("p_partkey", F.expr(_SPEC).alias("spec"))
     return p.select("p_partkey", names.spec_name(F.col("spec")).alias("name"), names.spec_version(F.col("spec")).alias("version"))
