@@ -28,9 +28,9 @@ def truncate_bytes(text: Column, most: int) -> Column:
 
 def lines(content: Column) -> Column:
     """Lines as an array: split at line feeds, one carriage return cut from each, no empty last line."""
-    parts = F.split(content, "\n", -1)
-    kept = F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-    return F.transform(kept, lambda x: F.regexp_replace(x, r"\r$", ""))
+    body = F.when(content.endswith("\n"), F.left(content, F.length(content) - 1)).otherwise(content)
+    rows = F.when(content == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+    return F.transform(rows, lambda x: F.when(x.endswith("\r"), F.left(x, F.length(x) - 1)).otherwise(x))
 
 
 def basename(path: Column) -> Column:

@@ -73,8 +73,9 @@ def obfuscation(files: DataFrame) -> DataFrame:
 def _excluded(path: Column, excludes: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for e in excludes:
-        g = text.glob_pattern(e)
-        out = out | F.lower(path).contains(e.lower()) | text.basename(path).rlike(g) | path.rlike(g)
+        out = out | F.lower(path).contains(e.lower())
+        if any(c in e for c in "*?["):  # without wildcards a glob says no more than the part of a path
+            out = out | text.basename(path).rlike(text.glob_pattern(e)) | path.rlike(text.glob_pattern(e))
     return out
 
 
