@@ -48,8 +48,9 @@ def _strip(rows: pd.Series) -> pd.Series:
     return rows.map(lambda x: None if x is None else strip_lines(list(x)))
 
 
-def stripped(content: Column) -> Column:
-    """Lines without comments. Only contents with a comment sign are sent to Python."""
+def stripped(content: Column, wanted: Column | None = None) -> Column:
+    """Lines without comments. Only contents with a comment sign (and ``wanted``) are sent to Python."""
     rows = lines(content)
     odd = content.contains("//") | content.contains("/*")
+    odd = odd if wanted is None else odd & wanted
     return F.coalesce(_strip(F.when(odd, rows)), rows)

@@ -40,34 +40,27 @@ def _expected(path: Column, severity: str, category: str) -> Column:
     return out
 
 
-def static_code(files: DataFrame, table: list[tuple] = patterns.STATIC) -> DataFrame:
-    """Dangerous calls outside comments."""
-    code = F.col("code")
-    lines = to_lines(scripts(files), strip=True).where((text.trimmed(code) != "") & ~code.rlike(r"^\s*(//|#)"))
-    hits = [
-        F.when(code.rlike(pattern) & ~_expected(F.col("path"), severity, category), F.struct(F.lit(i).alias("i"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(title).alias("title")))
-        for i, (severity, category, pattern, title) in enumerate(table)
-    ]
-    found = lines.select("package", "version", "path", "line", "raw", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-    return schema.findings(found, "static-code", F.col("h.severity"), F.col("h.category"), F.col("h.title"), "a dangerous call in code", F.col("path"), F.col("line"), text.truncate(F.col("raw"), 100), F.col("line") * 100 + F.col("h.i"))
+def _hit(i: int, severity: str, category: str, title: str) -> Column:
+    return F.struct(F.lit(i).alias("i"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(title).alias("title"))
 
 
-def obfuscation(files: DataFrame) -> DataFrame:
-    """Encoded or dense lines, comments included; the checks are independent."""
-    lines = to_lines(scripts(files, "js|cjs|mjs|ts|tsx|jsx|json"))
-    raw, size = F.col("raw"), F.octet_length("raw")
-    measured = lines.withColumn("entropy", F.when(size > 100, text.line_entropy(raw)))
+def _static_hits(code: Column, path: Column, table: list[tuple] = patterns.STATIC) -> Column:
+    """The table's patterns that a line without comments matches, in the table's order."""
+    hits = F.array_compact(F.array(*(F.when(code.rlike(pattern) & ~_expected(path, severity, category), _hit(i, severity, category, title)) for i, (severity, category, pattern, title) in enumerate(table))))
+    return F.when((text.trimmed(code) != "") & ~code.rlike(r"^\s*(//|#)"), hits)
+
+
+def _obfuscation_hits(raw: Column) -> Column:
+    size = F.octet_length(raw)
     integrity = text.trimmed(raw).startswith('"integrity"') | text.trimmed(raw).startswith('"sha')
     checks = [
         ("Critical", "Long hex string detected", raw.rlike(patterns.LONG_HEX)),
         ("High", "Long base64 string detected", raw.rlike(patterns.LONG_BASE64) & ~integrity),
-        ("High", "High entropy line", F.col("entropy") > 5.5),
+        ("High", "High entropy line", (size > 100) & (F.when(size > 100, text.line_entropy(raw)) > 5.5)),
         ("Medium", "Excessive string escaping", raw.rlike(patterns.ESCAPES)),
         ("Low", "Minified code in non-minified file", size > 500),
     ]
-    hits = [F.when(c, F.struct(F.lit(i).alias("i"), F.lit(s).alias("severity"), F.lit(t).alias("title"))) for i, (s, t, c) in enumerate(checks)]
-    found = measured.select("package", "version", "path", "line", "raw", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-    return schema.findings(found, "obfuscation", F.col("h.severity"), "Obfuscation", F.col("h.title"), "encoded or dense content", F.col("path"), F.col("line"), text.truncate(F.col("raw"), 100), F.col("line") * 10 + F.col("h.i"))
+    return F.array_compact(F.array(*(F.when(c, _hit(i, s, "Obfuscation", t)) for i, (s, t, c) in enumerate(checks))))
 
 
 def _excluded(path: Column, excludes: tuple[str, ...]) -> Column:
@@ -79,19 +72,67 @@ def _excluded(path: Column, excludes: tuple[str, ...]) -> Column:
     return out
 
 
+def _rule_uses(path: Column, rules: list[tuple]) -> Column:
+    """For each rule, whether it applies to a path."""
+    return F.array(*((F.lit(True) if not glob else text.basename(path).rlike(text.glob_pattern(glob))) & ~_excluded(path, tuple(excludes)) for *_, glob, excludes in rules))
+
+
+def _rule_hits(raw: Column, use: Column, rules: list[tuple]) -> Column:
+    word = lambda c: c.lower().replace("-", "_").replace(" ", "_")
+    return F.array_compact(F.array(*(F.when(F.get(use, F.lit(i)) & raw.rlike(pattern), _hit(i, patterns.RULE_SEVERITY.get(severity.lower(), "Info"), patterns.RULE_CATEGORY.get(word(category), "Suspicious"), f"[{id_}] {name}")) for i, (id_, name, severity, category, pattern, _, _) in enumerate(rules))))
+
+
+def _found(rows: DataFrame, analyzer: str, hits: Column, about: str, width: int, seq: Column) -> DataFrame:
+    each = rows.select("package", "version", "path", "line", "raw", F.explode(hits).alias("h"))
+    return schema.findings(each, analyzer, F.col("h.severity"), F.col("h.category"), F.col("h.title"), about, F.col("path"), F.col("line"), text.truncate(F.col("raw"), width), seq)
+
+
+
+
+def _seq(by: str) -> Column:
+    line, i = F.col("line").cast("long"), F.col("h.i").cast("long")
+    return {"static": line * 100 + i, "obfuscation": line * 10 + i, "rules": i * 1_000_000_000 + line}[by]
+
+
+_ABOUT = ("a dangerous call in code", "encoded or dense content", "a rule matched")
+
+
+def static_code(files: DataFrame, table: list[tuple] = patterns.STATIC) -> DataFrame:
+    """Dangerous calls outside comments."""
+    return _found(to_lines(scripts(files), strip=True), "static-code", _static_hits(F.col("code"), F.col("path"), table), _ABOUT[0], 100, _seq("static"))
+
+
+def obfuscation(files: DataFrame) -> DataFrame:
+    """Encoded or dense lines, comments included; the checks are independent."""
+    lines = to_lines(scripts(files, "js|cjs|mjs|ts|tsx|jsx|json"))
+    return _found(lines, "obfuscation", _obfuscation_hits(F.col("raw")), _ABOUT[1], 100, _seq("obfuscation"))
+
+
 def rule_matches(files: DataFrame, rules: list[tuple] = patterns.RULES) -> DataFrame:
     """Findings of rules (id, name, severity, category, pattern, file glob, excluded paths) that are
     known when the plan is built: one projection over the lines of all files."""
-    path = F.col("path")
-    wanted = [(F.lit(True) if not glob else text.basename(path).rlike(text.glob_pattern(glob))) & ~_excluded(path, tuple(excludes)) for *_, glob, excludes in rules]
-    flagged = files.withColumn("use", F.array(*wanted)).where(F.exists("use", lambda x: x))
-    lines = flagged.select("package", "version", "path", "use", F.posexplode(text.lines(F.col("content"))).alias("line", "raw"))
-    hits = [
-        F.when(F.get("use", F.lit(i)) & F.col("raw").rlike(pattern), F.struct(F.lit(i).alias("i"), F.lit(patterns.RULE_SEVERITY.get(severity.lower(), "Info")).alias("severity"), F.lit(patterns.RULE_CATEGORY.get(category.lower().replace("-", "_").replace(" ", "_"), "Suspicious")).alias("category"), F.lit(f"[{id_}] {name}").alias("title")))
-        for i, (id_, name, severity, category, pattern, _, _) in enumerate(rules)
-    ]
-    found = lines.select("package", "version", "path", (F.col("line") + 1).alias("line"), "raw", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-    return schema.findings(found, "rules", F.col("h.severity"), F.col("h.category"), F.col("h.title"), "a rule matched", path, F.col("line"), text.truncate(F.col("raw"), 120), F.col("h.i").cast("long") * 1_000_000_000 + F.col("line"))
+    flagged = files.withColumn("use", _rule_uses(F.col("path"), rules)).where(F.exists("use", lambda x: x))
+    lines = flagged.select("package", "version", "path", "use", F.posexplode(text.lines(F.col("content"))).alias("line", "raw")).withColumn("line", F.col("line") + 1)
+    return _found(lines, "rules", _rule_hits(F.col("raw"), F.col("use"), rules), _ABOUT[2], 120, _seq("rules"))
+
+
+def line_findings(files: DataFrame, rules: list[tuple] = patterns.RULES) -> DataFrame:
+    """What ``static_code``, ``obfuscation`` and ``rule_matches`` find, from one pass over the lines."""
+    path, content = F.col("path"), F.col("content")
+    plain = ~text.minified(path) & ~text.built(path)
+    wanted = files.select("package", "version", "path", "content", (plain & text.extension(path).rlike("^(js|cjs|mjs|ts|tsx|jsx)$")).alias("is_code"), (plain & text.extension(path).rlike("^(js|cjs|mjs|ts|tsx|jsx|json)$")).alias("is_data"), _rule_uses(path, rules).alias("use"))
+    rows = wanted.where(F.col("is_data") | F.exists("use", lambda x: x)).select("package", "version", "path", "is_code", "is_data", "use", text.lines(content).alias("raw"), F.when(F.col("is_code"), comments.stripped(content, F.col("is_code"))).alias("code"))
+    lines = rows.select("package", "version", "path", "is_code", "is_data", "use", F.posexplode(F.arrays_zip("raw", F.coalesce("code", "raw").alias("code"))).alias("line", "z")).select("package", "version", "path", "is_code", "is_data", "use", (F.col("line") + 1).alias("line"), F.col("z.raw").alias("raw"), F.col("z.code").alias("code"))
+    none = F.array().cast("array<struct<i: int, severity: string, category: string, title: string>>")
+    part = lambda k, hits: F.transform(F.coalesce(hits, none), lambda h: F.struct(F.lit(k).alias("k"), h["i"].alias("i"), h["severity"].alias("severity"), h["category"].alias("category"), h["title"].alias("title")))
+    hits = F.concat(part(0, F.when(F.col("is_code"), _static_hits(F.col("code"), path))), part(1, F.when(F.col("is_data"), _obfuscation_hits(F.col("raw")))), part(2, _rule_hits(F.col("raw"), F.col("use"), rules)))
+    each = lines.select("package", "version", "path", "line", "raw", F.explode(hits).alias("h"))
+    k = F.col("h.k")
+    analyzer = F.when(k == 0, "static-code").when(k == 1, "obfuscation").otherwise("rules")
+    about = F.when(k == 0, _ABOUT[0]).when(k == 1, _ABOUT[1]).otherwise(_ABOUT[2])
+    snippet = F.when(k == 2, text.truncate(F.col("raw"), 120)).otherwise(text.truncate(F.col("raw"), 100))
+    seq = F.when(k == 0, _seq("static")).when(k == 1, _seq("obfuscation")).otherwise(_seq("rules"))
+    return schema.findings(each, analyzer, F.col("h.severity"), F.col("h.category"), F.col("h.title"), about, path, F.col("line"), snippet, seq)
 
 
 def rule_joins(files: DataFrame, rules: DataFrame) -> DataFrame:

@@ -101,12 +101,12 @@ def tree(roots: DataFrame, dependencies: DataFrame, versions: DataFrame, depth:
     """(root, name, spec, resolved, depth): each name and spec that a root reaches, at its least depth.
 
     ``roots``: root, spec; ``dependencies``: package, version, dep, spec. One join a level, against the
-    frontier only; what was seen is left out by an anti join, so diamonds don't multiply."""
-    level = resolve(roots.select("root", F.col("root").alias("name"), "spec"), versions).withColumn("depth", F.lit(0))
+    frontier only, which is kept for the next level and can be computed anew if it is lost; what was seen is left out by an anti join, so diamonds don't multiply."""
+    level = resolve(roots.select("root", F.col("root").alias("name"), "spec"), versions).withColumn("depth", F.lit(0)).persist()
     seen = level
     for d in range(1, depth + 1):
         step = level.select("root", F.col("name").alias("package"), F.col("resolved").alias("version")).distinct().join(dependencies, ["package", "version"]).select("root", F.col("dep").alias("name"), "spec").distinct()
-        level = resolve(step.join(seen.select("root", "name", "spec"), ["root", "name", "spec"], "left_anti"), versions).withColumn("depth", F.lit(d))
+        level = resolve(step.join(seen.select("root", "name", "spec"), ["root", "name", "spec"], "left_anti"), versions).withColumn("depth", F.lit(d)).persist()
         seen = seen.unionByName(level)
     return seen
 

@@ -154,7 +154,7 @@ _DOC = "concat('pkg-', cast(doc_id as string))"
 
 def _found(spark, sf):
     files = fx.files(spark, sf).withColumn("package", F.expr(_DOC))
-    return files.select("package", "version"), schema.union([code.static_code(files), code.obfuscation(files), code.rule_matches(files)])
+    return files.select("package", "version"), code.line_findings(files)
 
 
 _ALL_SQL = f"""{fx.FILES_SQL}, {STATIC_SQL}, {OBF_SQL}, {RULES_SQL},

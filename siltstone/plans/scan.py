@@ -44,12 +44,16 @@ REGISTRY: dict[str, tuple[tuple[str, ...], Analyzer]] = {
     "provenance": (("metadata", "files", "tree"), lambda t: metadata.provenance(t.metadata, t.files, t.tree)),
 }
 
+#: These share one pass over the lines when all of them are wanted.
+LINE_ANALYZERS = ("static-code", "obfuscation", "rules")
+
 
 def analyze(tables: Tables, names: list[str] | None = None) -> DataFrame:
     """The findings of all analyzers whose tables are there, or of the named ones."""
-    chosen = [(needs, run) for name, (needs, run) in REGISTRY.items() if names is None or name in names]
-    parts = [run(tables) for needs, run in chosen if all(getattr(tables, n) is not None for n in needs)]
-    return schema.union(parts)
+    chosen = {name: run for name, (needs, run) in REGISTRY.items() if (names is None or name in names) and all(getattr(tables, n) is not None for n in needs)}
+    if all(name in chosen for name in LINE_ANALYZERS):
+        chosen = {"code-lines": lambda t: code.line_findings(t.files)} | {name: run for name, run in chosen.items() if name not in LINE_ANALYZERS}
+    return schema.union([run(tables) for run in chosen.values()])
 
 
 def scan(tables: Tables, ignore: DataFrame | None = None, cached: DataFrame | None = None) -> DataFrame:

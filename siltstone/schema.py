@@ -55,14 +55,14 @@ def category_rule(category: str | Column = "category") -> Column:
     return _case(category, [(c, r) for c, _, r in CATEGORIES])
 
 
-def findings(df: DataFrame, analyzer: str, severity: str | Column, category: str | Column, title: str | Column, description: str | Column = "", file: Column | None = None, line: Column | None = None, snippet: Column | None = None, seq: Column | int = 0) -> DataFrame:
+def findings(df: DataFrame, analyzer: str | Column, severity: str | Column, category: str | Column, title: str | Column, description: str | Column = "", file: Column | None = None, line: Column | None = None, snippet: Column | None = None, seq: Column | int = 0) -> DataFrame:
     """Rows of ``df`` (with package and version) as findings."""
     value = lambda x: x if isinstance(x, Column) else F.lit(x)
     null = F.lit(None)
     return df.select(
         "package",
         "version",
-        F.lit(analyzer).alias("analyzer"),
+        value(analyzer).alias("analyzer"),
         value(seq).cast("long").alias("seq"),
         value(severity).alias("severity"),
         value(category).alias("category"),

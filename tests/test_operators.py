@@ -44,6 +44,14 @@ def test_static_lines(spark):
     assert [(r["line"], r["snippet"]) for r in rows] == [(5, "eval(c)")]
 
 
+def test_line_findings(spark):
+    rows = files(spark, ("i.js", "// eval(a)\neval(b);\n" + "z" * 501), ("d.json", "f" * 60), ("dist/x.js", "eval(x)"), ("README.md", "xmrig"), ("t.ts", "fs.readFile(p)\r\n/* a\n*/ eval(c)"))
+    whole = code.line_findings(rows)
+    apart = code.static_code(rows).unionByName(code.obfuscation(rows)).unionByName(code.rule_matches(rows))
+    assert whole.columns == apart.columns
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, apart.collect()))
+
+
 def test_obfuscation(spark):
     rows = files(spark, ("i.js", 'var x = "' + "a" * 60 + '";'), ("j.js", "z" * 501), ("k.js", r"\x41\x42\x43\x44"), ("l.json", '"integrity": "' + "A" * 120 + '"'))
     titles = {t for _, _, t in found(code.obfuscation(rows))}
