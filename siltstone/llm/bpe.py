@@ -226,24 +226,27 @@ def decode(tokens: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return map_slices(tokens.select(id_col, "ids"), make, f"`{id_col}` {id_type}, ids array<int>, text string")
 
 
-def digests(decoded: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
-    """Counts and digests of (id_col, ids, text), and the ids themselves if wanted."""
-    id_type = decoded.schema[id_col].dataType.simpleString()
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256[, ids]): every text encoded, and its ids decoded.
+    One worker does both, so that a task holds the vocabulary and the remembered words once."""
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def make():
+        bpe = tokenizer(path)
+
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            lists = _lists(batch.column(1))
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(x) for x in lists], pa.int64()),
-                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists], pa.string()),
-                    pa.array([hashlib.sha256((t or "").encode()).hexdigest() for t in batch.column(2).to_pylist()], pa.string()),
-                    *[batch.column(1)] * with_ids,
-                ],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids],
-            )
+            packed = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
+            sizes = np.array([len(p) // 4 for p in packed], np.int64)
+            columns = [
+                batch.column(0),
+                pa.array(sizes, pa.int64()),
+                pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode(np.frombuffer(p, "<u4")).encode()).hexdigest() for p in packed], pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32())))
+            return pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
         return work
 
-    return map_slices(decoded, make, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return map_slices(docs.select(id_col, text_col), make, f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, rows=256)

@@ -69,7 +69,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
+    return bpe.round_trip(table(spark, sf_dir, "documents"), path)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
