@@ -37,8 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, with digests of the ids and of the text that they decode to."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    return bpe.digests(bpe.decode(bpe.encode(docs, path), path), with_ids=True)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [("quality classifier", good), ("SimHash near-dedup", distinct), ("secret scans", redacted), ("mixing sources", mixed), ("BPE", tokens)]
