@@ -82,5 +82,30 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in found}
 
 
+_ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
+_CHAT = f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(chat.START) + 1 + len(chat.END)} + length(replace({_ESCAPED.format("role")}, chr(10), '\\n')) + length({_ESCAPED.format("text")}))::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id"""
+
+_SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_RULES = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: trim(x, {_SPACES}) <> '') AS l FROM d),
+win AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT r, w, unnest(generate_series(1, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS k FROM win) WHERE k > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + 4)) AS p FROM twice) GROUP BY r),
+m AS (SELECT w.r, doc_id, source, len(w)::BIGINT AS n_words, length(translate(t, {_SPACES}, ''))::BIGINT AS word_chars, (length(t) - length(translate(t, '{rules.SYMBOLS}', '')))::BIGINT AS n_symbols, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN covered c ON c.r = w.r),
+h AS (SELECT source, count(*) AS n, count(*) FILTER ({rules.FAILED}) AS f FROM m GROUP BY source),
+p AS (SELECT sum(f) / sum(n) AS mu, var_samp(f / n) AS v FROM h),
+q AS (SELECT mu, CASE WHEN coalesce(v, 0) = 0 THEN {rules.PRIOR_WEIGHT[0]} ELSE least(greatest(mu * (1 - mu) / v - 1, {rules.PRIOR_WEIGHT[0]}), {rules.PRIOR_WEIGHT[1]}) END AS k FROM p),
+ok AS (SELECT source, (f + mu * k) / (n + k) <= {rules.WORST_RATE} AS ok FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules.BASE_FAILED} AS base_failed, NOT ({rules.BASE_FAILED}) AND ok AS kept FROM m JOIN ok ON ok.source IS NOT DISTINCT FROM m.source"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; tests hold the others against brute force."""
+    return {"op4_chat": _CHAT, "op5_rules": _RULES}
