@@ -146,7 +146,6 @@ def rule_joins(files: DataFrame, rules: DataFrame) -> DataFrame:
     return schema.findings(found, "rules", F.col("severity"), F.col("category"), F.concat(F.lit("["), "id", F.lit("] "), "name"), "a rule matched", path, F.col("line"), text.truncate(F.col("raw"), 120), F.col("line"))
 
 
-_QUOTED = r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')"""
 #: Syntax checks as patterns over stripped statements: severity, category, title, pattern.
 SYNTAX = [
     ("Critical", "CodeExecution", "eval() with a dynamic argument", r"\beval\s*\(\s*(?!['\"])"),
