@@ -133,6 +133,7 @@ def mix(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` with each row repeated as often as its copies say."""
     found = copies(spark, docs, id_col, text_col, source_col, **options)
     given = stored(spark, found.where("copies > 0").select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("copies").alias("__copies")).distinct(), "copies")
-    joined = docs.join(given, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")))
+    # The copies grow with the documents, so they are never broadcast; hashing them spares sorting the texts.
+    joined = docs.join(given.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")))
     # A row of size 0 may share its key with others; rows of one key differ in copies only then.
     return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(f"`{n}`" for n in docs.columns))

@@ -185,7 +185,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "fp")).alias("k"))
     keep = best.select(F.col("k.id").alias("__keep_id"), F.col("k.fp").alias("__keep_fp"))
     if not found.groupBy(id_col).count().where("count > 1").limit(1).count():
-        return docs.join(keep, docs[id_col].eqNullSafe(keep["__keep_id"]), "left_semi")
+        # The kept ids grow with the documents, so they are never broadcast; hashing them spares sorting the texts.
+        return docs.join(keep.hint("shuffle_hash"), docs[id_col].eqNullSafe(keep["__keep_id"]), "left_semi")
     # Ids repeat: rows are told apart by their fingerprints too.
     names = docs.columns
     at = names.index(text_col)
@@ -199,5 +200,5 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__fp long"])
     marked = map_slices(docs, make, schema)
-    kept = marked.join(keep, marked[id_col].eqNullSafe(keep["__keep_id"]) & (marked["__fp"] == keep["__keep_fp"]), "left_semi")
+    kept = marked.join(keep.hint("shuffle_hash"), marked[id_col].eqNullSafe(keep["__keep_id"]) & (marked["__fp"] == keep["__keep_fp"]), "left_semi")
     return kept.dropDuplicates([id_col, "__fp"]).select(*(f"`{n}`" for n in names))
