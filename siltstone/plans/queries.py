@@ -474,7 +474,7 @@ def _graph(spark, sf):
     keyed = p.join(n, F.lit(True)).select("p_partkey", F.explode(F.expr("array((2 * p_partkey + 1) % n, (3 * p_partkey) % n, p_partkey div 2)")).alias("b")).distinct()
     deps = keyed.select(F.expr("cast(p_partkey as string)").alias("package"), F.lit("1.0.0").alias("version"), F.expr("cast(b as string)").alias("dep"), F.lit("^1.0.0").alias("spec"))
     vers = p.select(F.expr("cast(p_partkey as string)").alias("package"), F.lit("1.0.0").alias("version"), F.lit(True).alias("latest"), F.expr("case when p_partkey % 13 = 0 then 'old' end").alias("deprecated"), F.expr("case when p_partkey % 17 = 0 then '2026-01-30' else '2020-01-01' end").alias("created_ts"), F.expr("p_partkey % 2 + 1").alias("n_versions"))
-    roots = p.where("p_partkey <= 40").select(F.expr("cast(p_partkey as string)").alias("root"), F.lit("1.0.0").alias("spec"))
+    roots = p.select(F.expr("cast(p_partkey as string)").alias("root"), F.lit("1.0.0").alias("spec"))
     return roots, deps, vers
 
 
@@ -486,7 +486,8 @@ def _graph(spark, sf):
 )
 def _tree(spark, sf):
     # The root's own specifier differs from the ranges that lead back to it, so it can come again.
-    return versions.tree(*_graph(spark, sf)).select("root", "name", "depth")
+    roots, deps, vers = _graph(spark, sf)
+    return versions.tree(roots.where("cast(root as int) <= 40"), deps, vers).select("root", "name", "depth")
 
 
 @query("dependency_risks")

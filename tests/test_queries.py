@@ -41,6 +41,23 @@ def test_runs(spark, name):
     assert own.QUERIES[name](spark, SF).count() > 0
 
 
+def test_dependency_risks_of_all_parts(spark):
+    parts = {r[0] for r in spark.read.parquet(f"{SF}/part.parquet").select("p_partkey").collect()}
+    n = len(parts)
+    want = []
+    for root in parts:
+        reached, level = set(), {root}
+        for _ in range(3):
+            level = {b for a in level & parts for b in ((2 * a + 1) % n, 3 * a % n, a // 2)} - reached
+            reached |= level
+        for b in reached & parts:
+            want += [(str(root), "High", f"Transitive dependency has install scripts: {b}@1.0.0")] * (b % 19 == 0)
+            want += [(str(root), "Medium", f"Transitive dependency is deprecated: {b}@1.0.0")] * (b % 13 == 0)
+            want += [(str(root), "High", f"Transitive dependency is very new: {b}@1.0.0")] * (b % 34 == 0)
+    got = own.QUERIES["dependency_risks"](spark, SF).select("package", "severity", "title").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len({r[0] for r in want}) > 40
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
