@@ -21,8 +21,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(spark, docs)
+    """One document of each group of near-duplicates: fingerprints within four bits, or five-word shingles at 0.8."""
+    return simhash.keep_one(spark, docs, similar=True)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

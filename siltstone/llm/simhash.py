@@ -27,20 +27,31 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import importable, map_slices, stored
 
 BITS, SHINGLE_WORDS, RADIUS, SEED = 64, 4, 4, 42
+#: Shingles whose similarity ``keep_one`` may ask for; minima in a band, and bands: a pair at 0.8 shares one but for 3 in 100,000.
+SIMILAR_WORDS, BAND_ROWS, BANDS = 5, 4, 20
+#: Pairs that a task holds before it passes them on.
+PAIR_ROWS = 1 << 16
 #: Hashes whose bits are counted at one time, and fingerprints compared with the rest at one time.
 COUNT_ROWS, FRONTIER_ROWS = 1 << 16, 64
 
 
-def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """As an unsigned integer."""
+def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hashes of all shingles, in order; none for a text without words."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(tokens)
     ends = list(accumulate(len(t) + 1 for t in tokens))
     spans = zip([0, *ends], (e - 1 for e in ends[words - 1 :]), strict=False) if len(tokens) >= words else [(0, len(line))]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], SEED) for a, b in spans], "<u8")
+    return np.array([digest(line[a:b], SEED) for a, b in spans], "<u8")
+
+
+def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """As an unsigned integer."""
+    hashes = shingles(text, words)
+    if not len(hashes):
+        return 0
     counts = np.zeros(BITS, np.int64)
     for lo in range(0, len(hashes), COUNT_ROWS):
         counts += np.unpackbits(hashes[lo : lo + COUNT_ROWS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -162,26 +173,151 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return now.toDF("node", "root").union(now.select("b", "b").distinct())
 
 
-def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(id_col, fp, root, component_id) for every row: the fingerprint, the component's smallest
-    fingerprint (as a long) and its smallest id."""
-    importable(spark)
-    rows = stored(spark, fingerprints(docs, id_col, text_col), "fingerprints")
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct hashes of the shingles of five words, sorted."""
+    return np.unique(shingles(text, SIMILAR_WORDS))
+
+
+def set_key(found: np.ndarray) -> int:
+    """A hash of a shingle set: equal sets have equal keys."""
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def band_keys(found: np.ndarray) -> np.ndarray:
+    """A key for each band of minima over a shingle set that isn't empty."""
+    rng = np.random.default_rng(SEED)
+    factor, shift = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
+    least = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for lo in range(0, len(found), COUNT_ROWS >> 4):
+        least = np.minimum(least, (found[lo : lo + (COUNT_ROWS >> 4)] * (factor | np.uint64(1)) + shift).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))], np.uint64)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, fp, s, n, bands) for every row: the fingerprint, the shingle set's key and size, its band keys."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(1).to_pylist()
+            sets = [shingle_set(t) for t in texts]
+            whole = lambda values: pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
+            bands = pa.array([band_keys(x).view(np.int64) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), whole([fingerprint(t) for t in texts]), whole([set_key(x) for x in sets]), pa.array([len(x) for x in sets], pa.int32()), bands], names=[id_col, "fp", "s", "n", "bands"])
+
+        return work
+
+    return map_slices(docs.select(id_col, text_col), make, f"`{id_col}` {id_type}, fp long, s long, n int, bands array<long>")
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of shingle sets ``s`` that share a band, have sizes ``n`` that allow the
+    similarity and aren't connected yet (``root``)."""
+    dealt = nodes.select(F.explode("bands").alias("band"), "root", "s", "n").repartition("band").sortWithinPartitions("band", "root", "s")
+
+    def pairs(band: np.ndarray, root: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+        a, b, held = [], [], 0
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(band)], strict=True):
+            if root[lo] == root[hi - 1]:
+                continue
+            for i in range(lo, hi):
+                j = i + 1 + int(np.searchsorted(root[i + 1 : hi], root[i], "right"))
+                near = s[j:hi][(10 * np.minimum(n[j:hi], n[i]) >= 8 * np.maximum(n[j:hi], n[i])) & (s[j:hi] != s[i])]
+                a.append(np.full(len(near), s[i]))
+                b.append(near)
+                held += len(near)
+                if held >= PAIR_ROWS:
+                    yield batch_of(a, b)
+                    a, b, held = [], [], 0
+        if held:
+            yield batch_of(a, b)
+
+    def batch_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # parts of the last band key seen
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("band", "root", "s", "n")]
+            if held and held[-1][0][-1] != now[0][0]:
+                yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
+                held = []
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if last:
+                yield from pairs(*map(np.concatenate, zip(*held, [c[:last] for c in now], strict=True)))
+                held = []
+            held.append([c[last:] for c in now])
+        if held:
+            yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_roots(spark: SparkSession, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) for the roots in ``rows`` (id_col, root, s, n, bands) that equal shingle sets, or
+    sets with a similarity of 0.8 or more, connect. Candidates come from bands of minima; their
+    similarity is then told from the sets themselves."""
+    nodes = stored(spark, rows.groupBy("s").agg(F.min("root").alias("root"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    pairs = stored(spark, candidates(nodes), "pairs")
+    members = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+    wanted = rows.join(members, "s", "left_semi").select(F.col(id_col).alias("__id")).distinct()
+    texts = docs.select(id_col, text_col).join(wanted.hint("shuffle_hash"), docs[id_col].eqNullSafe(wanted["__id"]), "left_semi").select(text_col)
+
+    def make():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t) for t in batch.column(0).to_pylist()]
+            keys = np.array([set_key(x) for x in sets], np.uint64).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["s", "items"])
+
+        return work
+
+    sets = stored(spark, map_slices(texts, make, "s long, items array<long>").dropDuplicates(["s"]), "shingles")
+    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    common = F.size(F.array_intersect("x", "y"))
+    linked = pairs.join(left, "a").join(right, "b").where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    root = nodes.select("s", "root")
+    across = linked.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select("ra", "rb")
+    equal = rows.select("s", F.col("root").alias("ra")).distinct().join(root.toDF("s", "rb"), "s").select("ra", "rb")
+    return connected(spark, across.union(equal).toDF("a", "b"))
+
+
+def classes(spark: SparkSession, rows: DataFrame, id_col: str, radius: int) -> DataFrame:
+    """(fp, root, component_id) for the fingerprints of ``rows`` (id_col, fp) that aren't alone."""
     groups = stored(spark, rows.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "distinct")
     nodes = stored(spark, connected(spark, bucket_edges(groups, radius)), "components").withColumnRenamed("node", "fp")
     found = nodes.join(groups, "fp")
     least = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = found.join(least, "root").select("fp", "root", "component_id")
     alone = groups.where("n > 1").join(nodes, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least_id").alias("component_id"))
-    classes = stored(spark, linked.union(alone), "classes")
-    at = rows.join(classes, "fp", "left")
+    return stored(spark, linked.union(alone), "classes")
+
+
+def components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """(id_col, fp, root, component_id) for every row: the fingerprint, the component's smallest
+    fingerprint (as a long) and its smallest id."""
+    importable(spark)
+    rows = stored(spark, fingerprints(docs, id_col, text_col), "fingerprints")
+    at = rows.join(classes(spark, rows, id_col, radius), "fp", "left")
     return at.select(id_col, "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similar: bool = False) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id (null ids last), then
-    the smallest fingerprint. Of rows equal in both, any one."""
-    found = stored(spark, components(spark, docs, id_col, text_col, radius), "found")
+    the smallest fingerprint. Of rows equal in both, any one. If ``similar``, texts with a similarity
+    of 0.8 or more over shingles of five words are linked too."""
+    if similar:
+        importable(spark)
+        sketched = stored(spark, sketches(docs, id_col, text_col), "sketches")
+        near = classes(spark, sketched.select(id_col, "fp"), id_col, radius).select("fp", "root")
+        rows = sketched.join(near, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        wider = similar_roots(spark, docs, rows, id_col, text_col).toDF("root", "__root")
+        found = stored(spark, rows.select(id_col, "fp", "root").join(wider, "root", "left").select(id_col, "fp", F.coalesce("__root", "root").alias("root")), "found")
+    else:
+        found = stored(spark, components(spark, docs, id_col, text_col, radius), "found")
     best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "fp")).alias("k"))
     keep = best.select(F.col("k.id").alias("__keep_id"), F.col("k.fp").alias("__keep_fp"))
     if not found.groupBy(id_col).count().where("count > 1").limit(1).count():

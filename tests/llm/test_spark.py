@@ -226,6 +226,41 @@ def test_simhash(spark, docs, empty):
     assert simhash.components(spark, empty).count() == 0 and simhash.keep_one(spark, empty).count() == 0
 
 
+def test_simhash_similar(spark):
+    rng = random.Random(8)
+    base = [[f"v{rng.randrange(5000)}" for _ in range(rng.randint(40, 160))] for _ in range(60)]
+    texts = [None, "", "a b", "A  B"]
+    for words in base:
+        texts.append(" ".join(words))
+        for changes in (1, 2, 3, 6):
+            other = list(words)
+            for _ in range(changes):
+                other[rng.randrange(len(other))] = "changed"
+            texts.append(" ".join(other))
+    data = [*enumerate(texts), (None, texts[4]), (5, texts[9])]
+    shingles = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})((t or "").lower().split()) for _, t in data]
+    prints = [slow_fingerprint(t) for _, t in data]
+    group, beyond = list(range(len(data))), 0
+    for a in range(len(data)):
+        for b in range(a):
+            alike = len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
+            close = (prints[a] ^ prints[b]).bit_count() <= 4
+            beyond += alike and not close
+            if (alike or close) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")  # bands run over batches
+    try:
+        kept = simhash.keep_one(spark, df, similar=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first = {}
+    for (i, t), g in zip(data, group, strict=True):
+        first[g] = min(first.get(g, (True, 0)), (i is None, i or 0))
+    assert beyond > 50 and sorted(r["doc_id"] for r in kept) == sorted(i for _, i in first.values())
+    assert simhash.keep_one(spark, df.limit(0), similar=True).count() == 0
+
+
 def test_simhash_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {tuple(r) for r in simhash.connected(spark, edges).collect()}
