@@ -5,10 +5,10 @@ of all sizes; a target stops at the most copies' worth of its source and the exc
 A document's expected copies are its source's target over its size; the whole part is given, the
 fraction is rounded. Rounding pairs two fractions and moves words from one to the other, either way
 with the chance that keeps both expectations, until one of them is none or whole. Bounded chunks of
-a source are folded so, each leaving at most one fraction, and the chunks' fractions go up a
-reduction tree until one is left for each source. At the root it goes up or down, and documents that
-the root has settled change sides where that brings the source's words nearer to the target. Chunks
-take their documents from the largest to the smallest, so what is left is small.
+a source are folded so, each leaving at most one fraction, and the chunks' fractions go up the
+source's own reduction tree until one is left, each with a bounded set of settled documents. At the
+root the fraction goes up or down, and documents that are settled there or came with the fractions
+change sides where that brings the source's words nearer to the target. Chunks take their documents from the largest to the smallest, so what is left is small.
 
 Defined cases: a null text has size 0; rows that share source and id (null ids too) are rounded as
 one and get equal copies; documents of size 0 get the rounded copies of their source; an empty table
@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 SHARE, MOST_COPIES = 1.5, 2
 #: Documents in a chunk, and chunks whose fractions meet in one node of the tree, on average.
 CHUNK, FAN = 256, 64
+#: Settled documents that go up beside a fraction: so many of the largest, and of the smallest.
+SPARE = 32
 SEED = 20_240_607
 
 
@@ -58,16 +60,16 @@ def targets(spark: SparkSession, sizes: DataFrame, weights: tuple[int, ...] = WE
 
 
 def _last(id_type: str) -> str:
-    """SQL for a tree's root: ``f.done`` with the fraction that is left. That goes up or down, and
-    documents of the root, the largest first, change sides where this brings the words nearer."""
-    every = "reverse(array_sort(concat(f.done, array(named_struct('id', f.cur.id, 's', f.cur.s, 'up', 0))), (l, r) -> case when l.s < r.s then -1 when l.s > r.s then 1 else 0 end))"
+    """SQL for a source's root: ``every`` (largest first) with the fraction that is left. That goes up
+    or down, and documents change sides where this brings the words nearer."""
+    every = "reverse(array_sort(concat(every, array(named_struct('s', f.cur.s, 'id', f.cur.id, 'up', 0)))))"
     zero = f"named_struct('e', f.cur.m, 'out', cast(array() as array<struct<id: {id_type}, up: int>>))"
     step = """case when x.up = 0 and abs(acc.e - x.s) < abs(acc.e)
             then named_struct('e', acc.e - x.s, 'out', concat(acc.out, array(named_struct('id', x.id, 'up', 1))))
         when x.up = 1 and abs(acc.e + x.s) < abs(acc.e)
             then named_struct('e', acc.e + x.s, 'out', concat(acc.out, array(named_struct('id', x.id, 'up', 0))))
         else named_struct('e', acc.e, 'out', concat(acc.out, array(named_struct('id', x.id, 'up', x.up)))) end"""
-    return f"case when f.cur is null then transform(f.done, d -> named_struct('id', d.id, 'up', d.up)) else aggregate({every}, {zero}, (acc, x) -> {step}).out end"
+    return f"case when f.cur is null then transform(every, d -> named_struct('id', d.id, 'up', d.up)) else aggregate({every}, {zero}, (acc, x) -> {step}).out end"
 
 
 def _fold(id_type: str) -> str:
@@ -102,21 +104,27 @@ def copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
         units.where("size > 0").join(g, F.col("source").eqNullSafe(F.col("of")))
         .withColumn("p", rate - F.floor(rate)).where("p > 0")
         .withColumn("chunk", F.pmod(F.xxhash64(F.lit(SEED), "id"), F.ceil(F.col("n_units") / CHUNK)))
-        .select("source", "chunk", F.struct(F.col("id"), F.col("size").cast("double").alias("s"), (F.col("size") * F.col("p")).alias("m")).alias("item"))
+        .select("source", F.ceil(F.col("n_units") / CHUNK).alias("width"), "chunk", F.struct(F.col("id"), F.col("size").cast("double").alias("s"), (F.col("size") * F.col("p")).alias("m")).alias("item"))
     )
     id_type = rows.schema["id"].dataType.simpleString()
     fold = _fold(id_type)
     level, width = open_units, goal.agg(F.max(F.ceil(F.col("n_units") / CHUNK))).first()[0] or 0
     settled: list[DataFrame] = []
-    order = F.transform(F.sort_array(F.collect_list(F.struct(F.col("item.s").alias("s"), F.col("item.id").alias("id"), F.col("item.m").alias("m"))), asc=False), lambda x: F.struct(x["id"].alias("id"), x["s"].alias("s"), x["m"].alias("m")))
+    order = F.transform(F.sort_array(F.collect_list(F.when(F.col("item").isNotNull(), F.struct(F.col("item.s").alias("s"), F.col("item.id").alias("id"), F.col("item.m").alias("m")))), asc=False), lambda x: F.struct(x["id"].alias("id"), x["s"].alias("s"), x["m"].alias("m")))
+    spares = F.expr(f"cast(array() as array<struct<s: double, id: {id_type}, up: int>>)")
+    every = "reverse(array_sort(concat(spares, transform(f.done, d -> named_struct('s', d.s, 'id', d.id, 'up', d.up)))))"
+    inner = f"transform(slice(every, {SPARE + 1}, greatest(size(every) - {2 * SPARE}, 0)), d -> named_struct('id', d.id, 'up', d.up))"
+    beside = f"concat(slice(every, 1, {SPARE}), slice(every, greatest(size(every) - {SPARE}, {SPARE}) + 1, {SPARE}))"
     while width:
-        folded = stored(spark, level.groupBy("source", "chunk").agg(order.alias("items")).select("source", "chunk", F.expr(fold).alias("f")), "rounded")
-        done = F.col("f.done") if width > 1 else F.expr(_last(id_type))
+        chunks = level.groupBy("source", "width", "chunk").agg(order.alias("items"), *([] if level is open_units else [F.flatten(F.collect_list("spares")).alias("spares")]))
+        chunks = chunks.withColumn("spares", spares) if level is open_units else chunks
+        folded = stored(spark, chunks.select("source", "width", "chunk", "spares", F.expr(fold).alias("f")).select("source", "width", "chunk", "f", F.expr(every).alias("every")), "rounded")
+        done = F.when(F.col("width") == 1, F.expr(_last(id_type))).otherwise(F.expr(inner))
         settled.append(folded.select("source", F.explode(done).alias("d")).select("source", "d.id", "d.up"))
         if width == 1:
             break
         width = -(-width // FAN)
-        level = folded.where("f.cur is not null").select("source", F.expr(f"chunk div {FAN}").alias("chunk"), F.col("f.cur").alias("item"))
+        level = folded.where("width > 1").select("source", F.expr(f"(width + {FAN - 1}) div {FAN}").alias("width"), F.expr(f"chunk div {FAN}").alias("chunk"), F.col("f.cur").alias("item"), F.expr(beside).alias("spares"))
     joined = rows.join(g, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     if not settled:
         return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", F.lit(0).alias("copies"))

@@ -171,6 +171,17 @@ def test_mixing_words(spark):
     assert shares and all(abs(r["c"] - r["p"]) < 0.12 for r in shares)  # large and small documents alike
 
 
+def test_mixing_long_document(spark):
+    rng = random.Random(9)
+    data = [(i, "w " * rng.randint(1, 40), "c") for i in range(2000)]
+    for source, n in (("a", 60), ("b", 700)):
+        data += [(10_000 + i, "w " * rng.randint(500, 2999), source) for i in range(n)] + [(20_000, "w " * 20_020, source)]
+    found = mixing.copies(spark, spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(1, 20, 1), share=0.6)
+    per = {r["source"]: r for r in found.groupBy("source").agg(F.max("target").alias("t"), F.max("source_size").alias("s"), F.count("*").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("k")).collect()}
+    assert {k: r["n"] for k, r in per.items()} == {"a": 61, "b": 701, "c": 2000}
+    assert 0 < per["a"]["t"] < per["a"]["s"] and all(abs(r["k"] - r["t"]) <= 0.01 * r["t"] for r in per.values())
+
+
 def test_secrets(spark, docs, empty):
     out = {r["doc_id"]: r for r in secrets.listing(secrets.spans(spark, docs)).collect()}
     at = next(i for i, t, *_ in rows() if t and "token" in t)
