@@ -2,9 +2,12 @@
 
 A text is lower-cased (A-Z) and reduced to its words joined by single spaces. A notice that may
 differ in k edits is split into k + 1 pieces, one of which must occur unchanged in any match
-(pigeonhole). One Aho-Corasick pass over the words finds the pieces of all notices; around each hit
-the regex library's bounded-error matching decides, and reports the words of the match and its
-edits; matches begin and end with words. Places where a base phrase's words stand unchanged are told from the hits of its first piece.
+(pigeonhole). One Aho-Corasick pass over the words finds the pieces of all notices; at each word that
+a hit lets a match begin with, the regex library's bounded-error matching decides, and reports the
+words of the match and its edits (characters; matches begin and end with words). Of places of one
+notice that overlap the one with fewest edits is taken, the first of equal ones. A word is tried once
+for a notice, so time is in proportion to the text however dense the notices are. Places where a base
+phrase's words stand unchanged are told from the hits of its first piece.
 
 Defined cases: a null text counts as empty and has no places; score is 0 without a match; repeated
 rows give repeated rows; null ids stay; empty tables give empty results; other columns are ignored.
@@ -12,6 +15,7 @@ rows give repeated rows; null ids stay; empty tables give empty results; other c
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -87,49 +91,44 @@ class Finder:
         for piece, uses in seeds.items():
             self.automaton.add_word(piece, (len(piece), uses))
         self.automaton.make_automaton()
-        self.patterns = [regex.compile(f"(?b)(?<= )(?:{regex.escape(n.phrase)}){{e<={n.edits}}}(?= )") for n in self.notices]
+        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(n.phrase)}){{e<={n.edits}}}(?= )") for n in self.notices]
 
     def find(self, text: str | None) -> tuple[int, list[tuple[int, str]], list[Match]]:
         """The number of words, the places (word, label) of base phrases, and all matches."""
         words = (text or "").encode().translate(_TABLE).split()
-        line = f" {b' '.join(words).decode('latin-1')} "  # a character for each byte
+        line = f" {b' '.join(words).decode()} "
         starts: list[tuple[int, str]] = []
-        windows: dict[int, list[list[int]]] = {}
+        begins: dict[int, set[int]] = {}
         for end, (size, uses) in self.automaton.iter(line):
             for i, offset in uses:
                 notice = self.notices[i]
                 at = end + 1 - size - offset
                 if offset == 0 and notice.base and line[at - 1 : at + len(notice.phrase) + 1] == f" {notice.phrase} ":
                     starts.append((at, notice.label))
-                slack = 4 * notice.edits + 1  # an edit is a character, of four bytes at most; a space on each side
-                lo, hi = max(0, at - slack), at + len(notice.phrase) + slack
-                spans = windows.setdefault(i, [])
-                if spans and lo <= spans[-1][1]:
-                    spans[-1][0], spans[-1][1] = min(lo, spans[-1][0]), max(hi, spans[-1][1])
-                else:
-                    spans.append([lo, hi])
-        if not windows:
-            return len(words), [], []
+                k = notice.edits  # so many characters at most may be missing, or be too many, before the piece
+                begins.setdefault(i, set()).update(s for s in range(max(1, at - k), at + k + 1) if line[s - 1 : s] == " ")
         found = []
-        for i, spans in windows.items():
-            notice = self.notices[i]
-            for lo, hi in spans:
-                part = line[lo:hi].encode("latin-1").decode("utf-8", "surrogateescape")
-                for m in self.patterns[i].finditer(part):
-                    a = lo + len(part[: m.start()].encode("utf-8", "surrogateescape"))
-                    b = lo + len(part[: m.end()].encode("utf-8", "surrogateescape"))
-                    edits = sum(m.fuzzy_counts)
+        for i, tried in begins.items():
+            notice, pattern = self.notices[i], self.patterns[i]
+            longest = len(notice.phrase) + notice.edits + 1  # with the space behind it
+            near = sorted((sum(m.fuzzy_counts), s, m.end()) for s in tried if (m := pattern.match(line, s, min(s + longest, len(line)))) and m.end() > s)
+            taken: list[tuple[int, int]] = []
+            for edits, a, b in near:
+                at = bisect_left(taken, (a, b))
+                if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or taken[at][0] >= b):
+                    taken.insert(at, (a, b))
                     found.append((a, b, notice.label, edits, 1 - edits / len(notice.phrase)))
+        if not found:
+            return len(words), [], []
         # Word numbers: spaces before each place, counted once from left to right.
-        order = sorted({p for p, _ in starts} | {x for a, b, *_ in found for x in (a, max(a, b - 1))})
+        order = sorted({p for p, _ in starts} | {x for a, b, *_ in found for x in (a, b - 1)})
         number, spaces, done = {}, 0, 0
         for p in order:
             spaces += line.count(" ", done, p)
             done, number[p] = p, spaces
-        word = lambda p: min(max(number[p] - 1 + (line[p] == " "), 0), len(words) - 1)
-        last = lambda p: min(max(number[p] - 1, 0), len(words) - 1)
+        word = lambda p: number[p] - 1
         places = sorted((word(p), label) for p, label in starts)
-        return len(words), places, sorted({Match(word(a), last(max(a, b - 1)), label, e, s) for a, b, label, e, s in found}, key=lambda m: (m.first, m.last, m.label, m.edits))
+        return len(words), places, sorted({Match(word(a), word(b - 1), label, e, s) for a, b, label, e, s in found}, key=lambda m: (m.first, m.last, m.label, m.edits))
 
 
 @lru_cache(maxsize=2)

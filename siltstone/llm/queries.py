@@ -27,6 +27,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels("places.label").alias("base_labels"),
         labels("places.label", "matches.label").alias("labels"),
         F.coalesce(F.array_max("matches.score"), F.lit(0.0)).alias("score"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["label"], m["first"], m["last"], m["edits"])), ",").alias("spans"),
     )
 
 

@@ -65,6 +65,55 @@ def test_license_none():
     assert finder.find("it is licensed under public licenses of submit licenses")[2] == []
 
 
+def slow_places(words, phrase, edits):
+    """Every (edits, first, last) by dynamic programming, and those that stay where places overlap."""
+    found = []
+    for a in range(len(words)):
+        row = list(range(len(phrase) + 1))
+        best = None
+        text = " ".join(words[a:])
+        for i, c in enumerate(text[: len(phrase) + edits]):
+            old, row[0] = row[0], i + 1
+            for j, p in enumerate(phrase):
+                old, row[j + 1] = row[j + 1], min(old + (c != p), row[j] + 1, row[j + 1] + 1)
+            if (i + 1 == len(text) or text[i + 1] == " ") and c != " " and row[-1] <= edits and (best is None or row[-1] < best[0]):
+                best = (row[-1], a, a + text[: i + 1].count(" "))
+        found += [best] if best else []
+    taken = []
+    for e, a, b in sorted(found):
+        if all(b < x or y < a for _, x, y in taken):
+            taken.append((e, a, b))
+    return sorted((a, e) for e, a, _ in taken)
+
+
+def test_license_edits_of_all_places():
+    """Random near notices, close to each other, against dynamic programming over all words."""
+    rng = random.Random(4)
+    finder = licenses.Finder(licenses.BASE, licenses.NOTICES)
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            text = list(rng.choice(finder.notices).phrase)
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 3))):
+                i = rng.randrange(len(text))
+                text[i] = rng.choice(["", "x", "é", " ", text[i] + "q"])
+            parts.append("".join(text) + rng.choice(["", " a", " the license", " mit"]))
+        words = re.findall(WORD, " ".join(parts))
+        got = finder.find(" ".join(parts))[2]
+        for label in {n.label for n in finder.notices}:
+            want = {x for n in finder.notices if n.label == label for x in slow_places(words, n.phrase, n.edits)}
+            assert {(m.first, m.edits) for m in got if m.label == label} == want
+    spans = lambda text: [(m.first, m.last, m.edits) for m in finder.find(text)[2] if m.label == "mit"]
+    assert spans("mit licens foo mit license") == [(0, 1, 1), (3, 4, 0)]
+    assert spans("mit licens mit licens mit license") == [(0, 1, 1), (2, 3, 1), (4, 5, 0)]
+
+
+def test_license_dense_text():
+    began = time.perf_counter()
+    assert len(licenses.Finder(licenses.BASE, licenses.NOTICES).find("mit licens " * 90_000)[2]) == 90_000
+    assert time.perf_counter() - began < 30
+
+
 def test_quality_features():
     assert quality.features("") .size == 0 and quality.features(None).size == 0
     text = "abcabc"
