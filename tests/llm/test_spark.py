@@ -185,6 +185,53 @@ def test_mixing_long_document(spark):
     assert 0 < per["a"]["t"] < per["a"]["s"] and all(abs(r["k"] - r["t"]) <= 0.01 * r["t"] for r in per.values())
 
 
+@pytest.mark.parametrize(("head", "chunk", "fan"), [(256, 256, 64), (3, 4, 3), (1, 6, 2)])
+def test_mixing_expectations(spark, monkeypatch, head, chunk, fan):
+    """Over many sources of equal documents, the mean of a document's copies is what its target says;
+    and each source's words come near the target. Few large ones, small chunks and only chunks."""
+    for name, value in (("HEAD", head), ("CHUNK", chunk), ("FAN", fan)):
+        monkeypatch.setattr(mixing, name, value)
+    sizes = [1500, 700, 650, 300, *(range(20, 220, 10))]
+    data = [(1000 * k + i, "w " * n, f"s{k}") for k in range(400) for i, n in enumerate(sizes)]
+    found = mixing.copies(spark, spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4), weights=(1,), share=1.3).collect()
+    mean = np.zeros(len(sizes))
+    taken = Counter()
+    for r in found:
+        mean[r["doc_id"] % 1000] += r["copies"] / 400
+        taken[r["source"]] += r["copies"] * r["size"]
+        assert r["copies"] in (1, 2) and r["target"] == pytest.approx(1.3 * sum(sizes))
+    assert np.abs(mean - 1.3).max() < 4.5 * (0.3 * 0.7 / 400) ** 0.5
+    miss = np.array([taken[f"s{k}"] - 1.3 * sum(sizes) for k in range(400)])
+    assert abs(miss.mean()) < 4.5 * max(1, miss.std()) / 20
+    assert np.abs(miss).max() < 1500 and (np.abs(miss) < 300).mean() > (0.9 if head > 1 else 0.6)
+
+
+def test_mixing_alone_and_beside(spark):
+    """A source with the same target is treated alike whatever stands beside it."""
+    rng = random.Random(11)
+    own = [(i, "w " * rng.choice([5, 40, 900]), "a") for i in range(400)] + [(9999, "w " * 12_000, "a")]
+    words = sum(len(t) // 2 for _, t, _ in own)
+    other = [(20_000 + i, "w " * (words // 1500), "b") for i in range(1500)]
+    other[0] = (20_000, "w " * (words - 1499 * (words // 1500)), "b")
+    of = lambda rows: {r["doc_id"]: (r["target"], r["copies"]) for r in mixing.copies(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,), share=0.5).where("source = 'a'").collect()}
+    alone = of(own)
+    assert alone == of(own + other) and len(alone) == 401
+
+
+def test_mixing_order(spark):
+    """Weights follow the order of thousands of sources, and targets add up."""
+    names = [f"h{i * 7919 % 3001:04}" for i in range(3000)]
+    sizes = [(n, (i * 31) % 50 + (i % 7 == 0) * 2000) for i, n in enumerate(names)]
+    got = {r["source"]: r["target"] for r in mixing.targets(spark, spark.createDataFrame(sizes, "source string, size long").repartition(5)).collect()}
+    total, level = 1.5 * sum(n for _, n in sizes), 0.0
+    weight = {n: (5, 2, 1)[k % 3] for k, n in enumerate(sorted(names))}
+    low, high = 0.0, 1e6
+    for _ in range(100):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * n, level * weight[s]) for s, n in sizes) < total else (low, level)
+    assert all(got[s] == pytest.approx(min(2 * n, level * weight[s])) for s, n in sizes)
+
+
 def test_secrets(spark, docs, empty):
     out = {r["doc_id"]: r for r in secrets.listing(secrets.spans(spark, docs)).collect()}
     at = next(i for i, t, *_ in rows() if t and "token" in t)
