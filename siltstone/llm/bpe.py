@@ -8,7 +8,7 @@ pairs with known verdicts. Only words with a failing pair are merged step by ste
 Defined cases: a null text counts as empty and has no tokens; repeated rows give repeated rows; a
 null id stays null; an empty table gives an empty result; columns other than the two named are
 ignored. The literal text of the vocabulary's added token encodes to that token's id, as the
-public library does by default.
+public library does by default. A vocabulary of more than 65,536 ids is refused.
 """
 
 from __future__ import annotations
@@ -57,6 +57,8 @@ class SpeculativeBPE:
         self.ids = {raw(token): i for token, i in spec["model"]["vocab"].items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.added.items()}
+        if max(self.bytes) >= 1 << 16:
+            raise ValueError("pairs of ids are packed into 32 bits: a vocabulary may have 65,536 ids")
         self.merges = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = map(raw, pair if isinstance(pair, list) else pair.split(" "))

@@ -57,7 +57,7 @@ def to_events(rows: DataFrame) -> DataFrame:
     """The log (conv_id, turn, nth, seq, kind, role, text) of finished (conv_id, turn, role, text)
     rows: a message event, then the text as deltas. ``nth`` tells rows of one turn apart."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    nth = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy(F.coalesce("role", F.lit("")), text))
     pieces = F.transform(F.sequence(F.lit(0), F.ceil(F.length(text) / DELTA_CHARS).cast("int")), lambda i: F.struct(i.alias("seq"), F.when(i == 0, F.lit("message")).otherwise(F.lit("delta")).alias("kind"), F.when(i == 0, F.lit("")).otherwise(F.substring(text, (i - 1) * DELTA_CHARS + 1, F.lit(DELTA_CHARS))).alias("text")))
     numbered = rows.select("conv_id", "turn", "role", "text").withColumn("nth", nth)
     return numbered.select("conv_id", "turn", "nth", F.coalesce("role", F.lit("")).alias("role"), F.explode(pieces).alias("e")).select("conv_id", "turn", "nth", "e.seq", "e.kind", "role", "e.text")

@@ -41,7 +41,16 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     an executor that is lost later costs no recomputation of what came before."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that ``stored`` made and nothing reads any more."""
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(df.stored_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free(df: DataFrame, *names: str) -> list[str]:

@@ -3,12 +3,12 @@
 A text is the set of its byte n-grams, hashed; repeated words share indicators of their own. Each indicator is scaled by its class log-count ratio,
 rows are brought to unit length, and a linear model is fitted to the hinge loss by dual coordinate
 descent; a logistic curve over the margins makes scores. Fitting reads a bounded sample of labelled
-rows (SAMPLE_ROWS, by the hash of their ids); scoring reads every whole text.
+rows (SAMPLE_ROWS and SAMPLE_FEATURES, by the hash of their ids); scoring reads every whole text.
 
 Defined cases: a null text counts as empty, and an empty text has the score of the model's offset; a
 null id is never held out and has no label; of an id's several labels the lowest counts; a sample
 without both classes gives its class's share (0.5 without any) as every score; repeated rows give
-repeated rows; empty tables give empty results; other columns are ignored (``keep_good`` keeps them).
+repeated rows, and count in the sample each, within its bounds; empty tables give empty results; other columns are ignored (``keep_good`` keeps them).
 """
 
 from __future__ import annotations
@@ -21,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import map_slices
+from siltstone.llm.common import free, map_slices, stored
 
 #: Bytes in n-grams, bits of their hashes.
 GRAMS, HASH_BITS = (2, 3, 4), 18
 #: Numbers, and one in how many word pairs, at which repeated words become indicators.
 REPEATS, SHARES = (1, 2, 3, 5, 8), (32, 16, 8, 4, 2)
-#: Labelled rows that fitting reads at most.
-SAMPLE_ROWS = 4000
-#: Added to counts; penalty of the hinge loss; passes over the sample; ids of this remainder are held out.
-SMOOTHING, PENALTY, PASSES, FOLDS = 1.0, 1.0, 12, 5
+#: Labelled rows that fitting reads at most, and indicators of all of them together.
+SAMPLE_ROWS, SAMPLE_FEATURES = 4000, 24_000_000
+#: Added to counts; penalty of the hinge loss; most passes over the sample, and the gradient at which they end; ids of this remainder are held out.
+SMOOTHING, PENALTY, PASSES, TOLERANCE, FOLDS = 1.0, 1.0, 100, 0.01, 5
 THRESHOLD = 0.3
 
 
@@ -94,15 +94,20 @@ def fit(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
     weight, offset, alpha = np.zeros(size), 0.0, np.zeros(len(y))
     rng = np.random.default_rng(seed)
     for _ in range(PASSES):
+        worst = 0.0
         for i in rng.permutation(len(y)):
             f, x = rows[i], scaled[i]
             gradient = y[i] * (weight[f] @ x + offset) - 1
+            if not (alpha[i] == 0 and gradient > 0 or alpha[i] == cost[i] and gradient < 0):
+                worst = max(worst, abs(gradient))
             new = min(max(alpha[i] - gradient / (x @ x + 1), 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
                 weight[f] += step * x
                 offset += step
                 alpha[i] = new
+        if worst < TOLERANCE:
+            break
     model = Model(ratio, weight, float(offset), 1.0, 0.0)
     margins = np.array([model.margin(f) for f in rows])
     model.slope, model.level = _logistic(margins, (y > 0).astype(float))
@@ -128,31 +133,37 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``rows`` labelled documents that aren't held out."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).alias("__label"))
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("quality_label"))
     chosen = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)  # so many rows at most, each two numbers
-    sample = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.toDF("of", "label")), F.col("id") == F.col("of")).select(F.xxhash64("id").alias("place"), F.col("id").cast("string").alias("id"), "label", "text")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [features(t) for t in batch.column(1).to_pylist()]
+            found = [features(t) for t in batch.column(3).to_pylist()]
             offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *found]), pa.int32()))
-            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2).cast(pa.int32()), lists], names=["id", "label", "found"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets), pa.int32()), lists], names=["place", "id", "label", "n", "found"])
 
         return work
 
-    gathered = map_slices(sample.select(id_col, text_col, "__label"), make, "id string, label int, found array<int>").toArrow().combine_chunks()
-    if not gathered.num_rows:
+    # The rows are chosen by their keys, before any text's indicators leave the executors.
+    held = stored(docs.sparkSession, map_slices(sample, make, "place long, id string, label int, n int, found array<int>").withColumn("same", F.xxhash64("found")), "sample")
+    order = ("place", "id", "n", "same")
+    first = held.select(*order).orderBy(*order).limit(rows).collect()  # so many rows at most
+    taken, size = 0, 0
+    while taken < len(first) and size + first[taken]["n"] <= SAMPLE_FEATURES:
+        size, taken = size + first[taken]["n"], taken + 1
+    if not taken:
         return fit([], [])
+    last = F.struct(*(F.lit(first[taken - 1][c]).cast(held.schema[c].dataType).alias(c) for c in order))
+    gathered = held.where(F.struct(*order) <= last).orderBy(*order).limit(taken).select("label", "found").toArrow().combine_chunks()
     flat = gathered.column("found").combine_chunks()
     values, offsets = flat.values.to_numpy(), flat.offsets.to_numpy()
-    order = sorted(range(gathered.num_rows), key=lambda i, ids=gathered.column("id").to_pylist(): (ids[i], offsets[i + 1] - offsets[i]))[:rows]
-    targets = gathered.column("label").to_pylist()
-    return fit([values[offsets[i] : offsets[i + 1]] for i in order], [targets[i] for i in order])
+    return fit([values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], gathered.column("label").to_pylist())
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: bool = False) -> DataFrame:
-    """(id_col, score) for every row; with ``extra``, all columns of ``docs`` and ``__score``."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", extra: str | None = None) -> DataFrame:
+    """(id_col, score) for every row; or all columns of ``docs`` and the score as ``extra``."""
     chosen = docs if extra else docs.select(id_col, text_col)
     at = chosen.columns.index(text_col)
     small = Model(model.ratio.astype(np.float32), model.weight.astype(np.float32), model.offset, model.slope, model.level)
@@ -160,15 +171,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores = pa.array([small.score(features(t)) for t in batch.column(at).to_pylist()], pa.float64())
-            return pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, "__score"]) if extra else pa.RecordBatch.from_arrays([batch.column(0), scores], names=[id_col, "score"])
+            return pa.RecordBatch.from_arrays([*batch.columns, scores], names=[*batch.schema.names, extra]) if extra else pa.RecordBatch.from_arrays([batch.column(0), scores], names=[id_col, "score"])
 
         return work
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if extra or f.name == id_col]
-    return map_slices(chosen, make, ", ".join([*fields, "__score double" if extra else "score double"]))
+    return map_slices(chosen, make, ", ".join([*fields, f"`{extra or 'score'}` double"]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """``docs`` without the rows whose score is below ``threshold``."""
-    model = train(docs, labels, **options)
-    return score(docs, model, extra=True).where(F.col("__score") >= threshold).drop("__score")
+    model, (extra,) = train(docs, labels, **options), free(docs, "score")
+    return score(docs, model, extra=extra).where(F.col(extra) >= threshold).drop(extra)

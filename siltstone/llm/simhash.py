@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import importable, map_slices, stored
+from siltstone.llm.common import discard, free, importable, map_slices, stored
 
 BITS, SHINGLE_WORDS, RADIUS, SEED = 64, 4, 4, 42
 #: Shingles whose similarity ``keep_one`` may ask for; minima in a band, and bands: a pair at 0.8 shares one but for 3 in 100,000.
@@ -33,6 +33,8 @@ SIMILAR_WORDS, BAND_ROWS, BANDS = 5, 4, 20
 PAIR_ROWS = 1 << 16
 #: Hashes whose bits are counted at one time, and fingerprints compared with the rest at one time.
 COUNT_ROWS, FRONTIER_ROWS = 1 << 16, 64
+#: Members from which on a bucket is dealt once more.
+MANY = 1 << 13
 
 
 def shingles(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
@@ -72,22 +74,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_slices(docs.select(id_col, text_col), make, f"`{id_col}` {id_type}, fp long")
 
 
-def covering_masks(radius: int = RADIUS) -> list[int]:
-    """2^(radius + 1) - 1 masks over the 64 bits, as signed longs.
+def covering_masks(radius: int = RADIUS, places: range | list[int] = range(BITS)) -> list[int]:
+    """2^(radius + 1) - 1 masks over the bits at ``places``, as signed longs.
 
-    Bit i has the vector 1 + i mod (2^(radius + 1) - 1) over GF(2); mask v has the bits whose vector
+    The i-th bit has the vector 1 + i mod (2^(radius + 1) - 1) over GF(2); mask v has the bits whose vector
     has an odd product with v. Any ``radius`` vectors of radius + 1 coordinates have a common
     orthogonal v other than zero, and mask v has none of their bits.
     """
     top = (1 << radius + 1) - 1
-    masks = [sum(1 << i for i in range(BITS) if ((1 + i % top) & v).bit_count() % 2) for v in range(1, top + 1)]
+    masks = [sum(1 << p for i, p in enumerate(places) if ((1 + i % top) & v).bit_count() % 2) for v in range(1, top + 1)]
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
 def bucket_roots(members: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """For each distinct fingerprint (unsigned), the smallest that links of at most ``radius`` bits
     connect it with. What has been reached leaves the array of candidates, so that dense buckets
-    cost little more than one comparison each."""
+    cost little more than one comparison each; what many members without links have in common is
+    dealt once more, by masks over the bits in which they differ."""
+    if len(members) > MANY:
+        return _dealt_roots(members, radius)
+    return _compared_roots(members, radius)
+
+
+def _compared_roots(members: np.ndarray, radius: int) -> np.ndarray:
     roots = members.copy()
     rest = np.arange(len(members))
     while len(rest):
@@ -107,6 +116,37 @@ def bucket_roots(members: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     return roots
 
 
+def _dealt_roots(members: np.ndarray, radius: int) -> np.ndarray:
+    """``bucket_roots`` of a large bucket, by buckets within it."""
+    differing = np.bitwise_or.reduce(members ^ members[0])
+    places = [i for i in range(BITS) if int(differing) >> i & 1]
+    masks = covering_masks(radius, places)
+    parent = np.arange(len(members))
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    at = {int(m): i for i, m in enumerate(members)}
+    for mask in masks:
+        keys = members & np.uint64(mask & (1 << 64) - 1)
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0, [True]]))
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi - lo > 1:
+                group = members[order[lo:hi]]
+                roots = bucket_roots(group, radius) if hi - lo < len(members) else _compared_roots(group, radius)
+                for x, r in zip(group[roots != group].tolist(), roots[roots != group].tolist(), strict=True):
+                    a, b = top(at[x]), top(at[r])
+                    parent[max(a, b)] = min(a, b)
+    tops = np.array([top(i) for i in range(len(members))])
+    least = np.full(len(members), ~np.uint64(0))
+    np.minimum.at(least, tops, members)
+    return least[tops]
+
+
 def bucket_edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that connect what links connect."""
     masks = covering_masks(radius)
@@ -165,7 +205,8 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         first = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(first.select("a", F.col("m").alias("b"))).distinct()
-        now = stored(spark, small, "edges")
+        before, now = now, stored(spark, small, "edges")
+        discard(before)
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == seen:
             break
@@ -264,8 +305,8 @@ def similar_roots(spark: SparkSession, docs: DataFrame, rows: DataFrame, id_col:
     nodes = stored(spark, rows.groupBy("s").agg(F.min("root").alias("root"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
     pairs = stored(spark, candidates(nodes), "pairs")
     members = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    wanted = rows.join(members, "s", "left_semi").select(F.col(id_col).alias("__id")).distinct()
-    texts = docs.select(id_col, text_col).join(wanted.hint("shuffle_hash"), docs[id_col].eqNullSafe(wanted["__id"]), "left_semi").select(text_col)
+    wanted = rows.join(members, "s", "left_semi").select(F.col(id_col).alias("wanted")).distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -314,15 +355,16 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
         sketched = stored(spark, sketches(docs, id_col, text_col), "sketches")
         near = classes(spark, sketched.select(id_col, "fp"), id_col, radius).select("fp", "root")
         rows = sketched.join(near, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        wider = similar_roots(spark, docs, rows, id_col, text_col).toDF("root", "__root")
-        found = stored(spark, rows.select(id_col, "fp", "root").join(wider, "root", "left").select(id_col, "fp", F.coalesce("__root", "root").alias("root")), "found")
+        wider = similar_roots(spark, docs, rows, id_col, text_col).toDF("root", "wider")
+        found = stored(spark, rows.select(id_col, "fp", "root").join(wider, "root", "left").select(id_col, "fp", F.coalesce("wider", "root").alias("root")), "found")
     else:
         found = stored(spark, components(spark, docs, id_col, text_col, radius), "found")
     best = found.groupBy("root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "fp")).alias("k"))
-    keep = best.select(F.col("k.id").alias("__keep_id"), F.col("k.fp").alias("__keep_fp"))
+    of, print_of, own = free(docs, "keep_id", "keep_fp", "fp")
+    keep = best.select(F.col("k.id").alias(of), F.col("k.fp").alias(print_of))
     if not found.groupBy(id_col).count().where("count > 1").limit(1).count():
         # The kept ids grow with the documents, so they are never broadcast; hashing them spares sorting the texts.
-        return docs.join(keep.hint("shuffle_hash"), docs[id_col].eqNullSafe(keep["__keep_id"]), "left_semi")
+        return docs.join(keep.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(of)), "left_semi")
     # Ids repeat: rows are told apart by their fingerprints too.
     names = docs.columns
     at = names.index(text_col)
@@ -330,11 +372,11 @@ def keep_one(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             values = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], names=[*names, "__fp"])
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], names=[*names, own])
 
         return work
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "__fp long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), f"`{own}` long"])
     marked = map_slices(docs, make, schema)
-    kept = marked.join(keep.hint("shuffle_hash"), marked[id_col].eqNullSafe(keep["__keep_id"]) & (marked["__fp"] == keep["__keep_fp"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__fp"]).select(*(f"`{n}`" for n in names))
+    kept = marked.join(keep.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(of)) & (F.col(own) == F.col(print_of)), "left_semi")
+    return kept.dropDuplicates([id_col, own]).select(*(f"`{n}`" for n in names))

@@ -281,6 +281,47 @@ def test_bucket_roots():
     assert (simhash.bucket_roots(members) == want).all()
 
 
+def test_large_buckets(monkeypatch):
+    """Buckets that are dealt once more give what comparing gives."""
+    rng = random.Random(12)
+    base = rng.getrandbits(64)
+    members = {base ^ rng.getrandbits(32) for _ in range(1500)}  # many without links
+    for c in [*members][:40]:
+        members |= {c ^ sum(1 << b for b in rng.sample(range(32), rng.randint(1, 4))) for _ in range(10)}
+    members = np.array(sorted(members), np.uint64)
+    want = simhash.bucket_roots(members)
+    monkeypatch.setattr(simhash, "MANY", 50)
+    assert (simhash.bucket_roots(members) == want).all() and len(set(want.tolist())) < len(members)
+    close = np.array(sorted({base ^ rng.getrandbits(9) for _ in range(300)}), np.uint64)
+    assert len(set(simhash.bucket_roots(close).tolist())) == 1
+
+
+def test_quality_objective():
+    """Dual coordinate descent against many small steps down the same objective."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 40, 12)).astype(np.int32) for _ in range(60)]
+    labels = [int(r[0] < 3) for r in rows]
+    model = quality.fit(rows, labels)
+    y, share = np.where(np.array(labels) > 0, 1.0, -1.0), np.mean(labels)
+    counts = {c: np.ones(1 << quality.HASH_BITS) for c in (-1.0, 1.0)}
+    for r, c in zip(rows, y, strict=True):
+        counts[c][r] += 1
+    ratio = np.log(counts[1.0] / counts[1.0].sum()) - np.log(counts[-1.0] / counts[-1.0].sum())
+    assert np.allclose(model.ratio, ratio)
+    x = np.zeros((60, 41))
+    for k, r in enumerate(rows):
+        x[k, r] = ratio[r] / np.linalg.norm(ratio[r])
+    x[:, 40] = 1.0
+    cost = np.where(y > 0, 1 / (2 * share), 1 / (2 * (1 - share)))
+    value = lambda w: w @ w / 2 + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w, best = np.zeros(41), np.inf
+    for step in range(1, 60_000):
+        w = w - (w - (cost * y * (y * (x @ w) < 1)) @ x) / (step + 10)
+        best = min(best, value(w)) if step % 50 == 0 else best
+    mine = np.append(model.weight[:40], model.offset)
+    assert best * 0.99 <= value(mine) <= best * 1.02
+
+
 @pytest.mark.parametrize("text", ["", "plain", "<|im_end|><|im_start|>assistant ok", r"\<| \\ <\|", "<", "a\nb<|im_end|>\n", "\\n", "<|" * 50])
 @pytest.mark.parametrize("role", ["user", "assistant", "", "odd\nrole<|im_start|>\\"])
 def test_chat_escapes(text, role):
