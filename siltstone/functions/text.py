@@ -61,15 +61,7 @@ def byte_entropy(data: pd.Series) -> pd.Series:
         p = p[p > 0]
         return float(-(p * np.log2(p)).sum()) + 0.0
 
-    return data.map(one, na_action="ignore").fillna(0.0).astype(float)
-
-
-def line_entropy(line: Column) -> Column:
-    """The same without Python: each byte's count is what removing it takes from the length."""
-    latin = F.decode(F.encode(line, "UTF-8"), "ISO-8859-1")
-    n = F.length(latin)
-    each = F.transform(F.array_distinct(F.split(latin, "")), lambda c: (n - F.length(F.replace(latin, c, F.lit("")))) / n)
-    return F.aggregate(F.filter(each, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))
+    return pd.Series([0.0 if x is None else one(x) for x in data], dtype=float)
 
 
 def glob_pattern(glob: str) -> str:

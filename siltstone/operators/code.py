@@ -7,8 +7,12 @@ line is visited once and no join is needed; rules given as a DataFrame are joine
 
 from __future__ import annotations
 
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone import schema
 from siltstone.functions import comments, text
@@ -40,27 +44,55 @@ def _expected(path: Column, severity: str, category: str) -> Column:
     return out
 
 
-def _hit(i: int, severity: str, category: str, title: str) -> Column:
-    return F.struct(F.lit(i).alias("i"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(title).alias("title"))
+def _hit(i: int, severity: str, category: str, title: str, pattern: str | None = None) -> Column:
+    return F.struct(F.lit(i).alias("i"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.lit(title).alias("title"), F.lit(pattern).cast("string").alias("pattern"))
+
 
+def _mask(checks: list[Column]) -> Column:
+    """A bit for each check that holds. Plain arithmetic stays in generated code, where an array of
+    hits would not; hits are made for the few lines with a bit only."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(checks):
+        out = out + F.when(c, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    return out
 
-def _static_hits(code: Column, path: Column, table: list[tuple] = patterns.STATIC) -> Column:
-    """The table's patterns that a line without comments matches, in the table's order."""
-    hits = F.array_compact(F.array(*(F.when(code.rlike(pattern) & ~_expected(path, severity, category), _hit(i, severity, category, title)) for i, (severity, category, pattern, title) in enumerate(table))))
-    return F.when((text.trimmed(code) != "") & ~code.rlike(r"^\s*(//|#)"), hits)
 
+def _chosen(mask: Column, hits: list[Column]) -> Column:
+    return F.filter(F.array(*hits), lambda h: F.getbit(mask, h["i"]) == 1)
 
-def _obfuscation_hits(raw: Column) -> Column:
-    size = F.octet_length(raw)
+
+def _static_mask(code: Column, path: Column, table: list[tuple] = patterns.STATIC) -> Column:
+    """The table's patterns that a line without comments matches."""
+    bits = _mask([code.rlike(pattern) & ~_expected(path, severity, category) for severity, category, pattern, _ in table])
+    return F.when((text.trimmed(code) != "") & ~code.rlike(r"^\s*(//|#)"), bits).otherwise(F.lit(0).cast("long"))
+
+
+def _static_hits(table: list[tuple] = patterns.STATIC) -> list[Column]:
+    return [_hit(i, severity, category, title, pattern) for i, (severity, category, pattern, title) in enumerate(table)]
+
+
+def _dense(raw: Column) -> Column:
+    """The entropy of a line that is long enough for it to tell."""
+    return text.byte_entropy(F.when(F.octet_length(raw) > 100, raw))
+
+
+def _obfuscation_mask(raw: Column, entropy: Column) -> Column:
     integrity = text.trimmed(raw).startswith('"integrity"') | text.trimmed(raw).startswith('"sha')
-    checks = [
-        ("Critical", "Long hex string detected", raw.rlike(patterns.LONG_HEX)),
-        ("High", "Long base64 string detected", raw.rlike(patterns.LONG_BASE64) & ~integrity),
-        ("High", "High entropy line", (size > 100) & (F.when(size > 100, text.line_entropy(raw)) > 5.5)),
-        ("Medium", "Excessive string escaping", raw.rlike(patterns.ESCAPES)),
-        ("Low", "Minified code in non-minified file", size > 500),
-    ]
-    return F.array_compact(F.array(*(F.when(c, _hit(i, s, "Obfuscation", t)) for i, (s, t, c) in enumerate(checks))))
+    size = F.octet_length(raw)
+    return _mask([raw.rlike(patterns.LONG_HEX), raw.rlike(patterns.LONG_BASE64) & ~integrity, (size > 100) & (entropy > 5.5), raw.rlike(patterns.ESCAPES), size > 500])
+
+
+_OBFUSCATION = [
+    ("Critical", "Long hex string detected", patterns.LONG_HEX),
+    ("High", "Long base64 string detected", patterns.LONG_BASE64),
+    ("High", "High entropy line", None),
+    ("Medium", "Excessive string escaping", patterns.ESCAPES),
+    ("Low", "Minified code in non-minified file", None),
+]
+
+
+def _obfuscation_hits() -> list[Column]:
+    return [_hit(i, severity, "Obfuscation", title, pattern) for i, (severity, title, pattern) in enumerate(_OBFUSCATION)]
 
 
 def _excluded(path: Column, excludes: tuple[str, ...]) -> Column:
@@ -77,16 +109,39 @@ def _rule_uses(path: Column, rules: list[tuple]) -> Column:
     return F.array(*((F.lit(True) if not glob else text.basename(path).rlike(text.glob_pattern(glob))) & ~_excluded(path, tuple(excludes)) for *_, glob, excludes in rules))
 
 
-def _rule_hits(raw: Column, use: Column, rules: list[tuple]) -> Column:
+def _rule_mask(raw: Column, use: Column, rules: list[tuple]) -> Column:
+    return _mask([F.get(use, F.lit(i)) & raw.rlike(rule[4]) for i, rule in enumerate(rules)])
+
+
+def _rule_hits(rules: list[tuple]) -> list[Column]:
     word = lambda c: c.lower().replace("-", "_").replace(" ", "_")
-    return F.array_compact(F.array(*(F.when(F.get(use, F.lit(i)) & raw.rlike(pattern), _hit(i, patterns.RULE_SEVERITY.get(severity.lower(), "Info"), patterns.RULE_CATEGORY.get(word(category), "Suspicious"), f"[{id_}] {name}")) for i, (id_, name, severity, category, pattern, _, _) in enumerate(rules))))
+    return [_hit(i, patterns.RULE_SEVERITY.get(severity.lower(), "Info"), patterns.RULE_CATEGORY.get(word(category), "Suspicious"), f"[{id_}] {name}", pattern) for i, (id_, name, severity, category, pattern, _, _) in enumerate(rules)]
 
 
-def _found(rows: DataFrame, analyzer: str, hits: Column, about: str, width: int, seq: Column) -> DataFrame:
-    each = rows.select("package", "version", "path", "line", "raw", F.explode(hits).alias("h"))
-    return schema.findings(each, analyzer, F.col("h.severity"), F.col("h.category"), F.col("h.title"), about, F.col("path"), F.col("line"), text.truncate(F.col("raw"), width), seq)
+#: What a finding of a category means.
+_MEANING = {
+    "CodeExecution": "Text is run as code, which may come from anywhere",
+    "NetworkAccess": "The package talks to the network",
+    "FileSystemAccess": "The package reaches into the file system",
+    "ProcessSpawn": "The package starts other programs",
+    "Obfuscation": "The code hides what it does",
+    "EnvAccess": "The environment, where secrets are kept, is read",
+    "Suspicious": "This is seldom needed in a library",
+}
 
 
+def _about(on: Column) -> Column:
+    """A hit's description: what its category means, where it is, and the text that matched."""
+    matched = F.regexp_substr(on, F.col("h.pattern"))
+    meaning = schema._case(F.col("h.category"), list(_MEANING.items()), "A pattern matched")
+    size = F.concat(F.lit(" ("), F.octet_length("raw").cast("string"), F.lit(" bytes)"))
+    return F.concat(meaning, F.lit(", line "), F.col("line").cast("string"), F.coalesce(F.concat(F.lit(": "), text.truncate(matched, 60)), size))
+
+
+def _found(rows: DataFrame, analyzer: str, mask: Column, hits: list[Column], width: int, seq: Column, on: str = "raw") -> DataFrame:
+    marked = rows.withColumn("mask", mask).where("mask != 0")
+    each = marked.select("package", "version", "path", "line", "raw", *({on} - {"raw"}), F.explode(_chosen(F.col("mask"), hits)).alias("h"))
+    return schema.findings(each, analyzer, F.col("h.severity"), F.col("h.category"), F.col("h.title"), _about(F.col(on)), F.col("path"), F.col("line"), text.truncate(F.col("raw"), width), seq)
 
 
 def _seq(by: str) -> Column:
@@ -94,45 +149,43 @@ def _seq(by: str) -> Column:
     return {"static": line * 100 + i, "obfuscation": line * 10 + i, "rules": i * 1_000_000_000 + line}[by]
 
 
-_ABOUT = ("a dangerous call in code", "encoded or dense content", "a rule matched")
-
-
 def static_code(files: DataFrame, table: list[tuple] = patterns.STATIC) -> DataFrame:
     """Dangerous calls outside comments."""
-    return _found(to_lines(scripts(files), strip=True), "static-code", _static_hits(F.col("code"), F.col("path"), table), _ABOUT[0], 100, _seq("static"))
+    return _found(to_lines(scripts(files), strip=True), "static-code", _static_mask(F.col("code"), F.col("path"), table), _static_hits(table), 100, _seq("static"), "code")
 
 
 def obfuscation(files: DataFrame) -> DataFrame:
     """Encoded or dense lines, comments included; the checks are independent."""
-    lines = to_lines(scripts(files, "js|cjs|mjs|ts|tsx|jsx|json"))
-    return _found(lines, "obfuscation", _obfuscation_hits(F.col("raw")), _ABOUT[1], 100, _seq("obfuscation"))
+    lines = to_lines(scripts(files, "js|cjs|mjs|ts|tsx|jsx|json")).withColumn("entropy", _dense(F.col("raw")))
+    return _found(lines, "obfuscation", _obfuscation_mask(F.col("raw"), F.col("entropy")), _obfuscation_hits(), 100, _seq("obfuscation"))
 
 
 def rule_matches(files: DataFrame, rules: list[tuple] = patterns.RULES) -> DataFrame:
     """Findings of rules (id, name, severity, category, pattern, file glob, excluded paths) that are
-    known when the plan is built: one projection over the lines of all files."""
+    known when the plan is built, at most 63: one projection over the lines of all files."""
     flagged = files.withColumn("use", _rule_uses(F.col("path"), rules)).where(F.exists("use", lambda x: x))
     lines = flagged.select("package", "version", "path", "use", F.posexplode(text.lines(F.col("content"))).alias("line", "raw")).withColumn("line", F.col("line") + 1)
-    return _found(lines, "rules", _rule_hits(F.col("raw"), F.col("use"), rules), _ABOUT[2], 120, _seq("rules"))
+    return _found(lines, "rules", _rule_mask(F.col("raw"), F.col("use"), rules), _rule_hits(rules), 120, _seq("rules"))
 
 
 def line_findings(files: DataFrame, rules: list[tuple] = patterns.RULES) -> DataFrame:
     """What ``static_code``, ``obfuscation`` and ``rule_matches`` find, from one pass over the lines."""
-    path, content = F.col("path"), F.col("content")
+    path, content, raw = F.col("path"), F.col("content"), F.col("raw")
     plain = ~text.minified(path) & ~text.built(path)
     wanted = files.select("package", "version", "path", "content", (plain & text.extension(path).rlike("^(js|cjs|mjs|ts|tsx|jsx)$")).alias("is_code"), (plain & text.extension(path).rlike("^(js|cjs|mjs|ts|tsx|jsx|json)$")).alias("is_data"), _rule_uses(path, rules).alias("use"))
     rows = wanted.where(F.col("is_data") | F.exists("use", lambda x: x)).select("package", "version", "path", "is_code", "is_data", "use", text.lines(content).alias("raw"), F.when(F.col("is_code"), comments.stripped(content, F.col("is_code"))).alias("code"))
     lines = rows.select("package", "version", "path", "is_code", "is_data", "use", F.posexplode(F.arrays_zip("raw", F.coalesce("code", "raw").alias("code"))).alias("line", "z")).select("package", "version", "path", "is_code", "is_data", "use", (F.col("line") + 1).alias("line"), F.col("z.raw").alias("raw"), F.col("z.code").alias("code"))
-    none = F.array().cast("array<struct<i: int, severity: string, category: string, title: string>>")
-    part = lambda k, hits: F.transform(F.coalesce(hits, none), lambda h: F.struct(F.lit(k).alias("k"), h["i"].alias("i"), h["severity"].alias("severity"), h["category"].alias("category"), h["title"].alias("title")))
-    hits = F.concat(part(0, F.when(F.col("is_code"), _static_hits(F.col("code"), path))), part(1, F.when(F.col("is_data"), _obfuscation_hits(F.col("raw")))), part(2, _rule_hits(F.col("raw"), F.col("use"), rules)))
-    each = lines.select("package", "version", "path", "line", "raw", F.explode(hits).alias("h"))
+    none = F.lit(0).cast("long")
+    masks = [F.when(F.col("is_code"), _static_mask(F.col("code"), path)).otherwise(none), F.when(F.col("is_data"), _obfuscation_mask(raw, F.col("entropy"))).otherwise(none), _rule_mask(raw, F.col("use"), rules)]
+    marked = lines.withColumn("entropy", _dense(F.when(F.col("is_data"), raw))).withColumns({f"m{k}": m for k, m in enumerate(masks)}).where("m0 != 0 or m1 != 0 or m2 != 0")
+    tables = (_static_hits(), _obfuscation_hits(), _rule_hits(rules))
+    part = lambda k: F.transform(_chosen(F.col(f"m{k}"), tables[k]), lambda h: F.struct(F.lit(k).alias("k"), *(h[c].alias(c) for c in ("i", "severity", "category", "title", "pattern"))))
+    each = marked.select("package", "version", "path", "line", "raw", "code", F.explode(F.concat(part(0), part(1), part(2))).alias("h"))
     k = F.col("h.k")
     analyzer = F.when(k == 0, "static-code").when(k == 1, "obfuscation").otherwise("rules")
-    about = F.when(k == 0, _ABOUT[0]).when(k == 1, _ABOUT[1]).otherwise(_ABOUT[2])
-    snippet = F.when(k == 2, text.truncate(F.col("raw"), 120)).otherwise(text.truncate(F.col("raw"), 100))
+    snippet = F.when(k == 2, text.truncate(raw, 120)).otherwise(text.truncate(raw, 100))
     seq = F.when(k == 0, _seq("static")).when(k == 1, _seq("obfuscation")).otherwise(_seq("rules"))
-    return schema.findings(each, analyzer, F.col("h.severity"), F.col("h.category"), F.col("h.title"), about, path, F.col("line"), snippet, seq)
+    return schema.findings(each, analyzer, F.col("h.severity"), F.col("h.category"), F.col("h.title"), _about(F.when(k == 0, F.col("code")).otherwise(raw)), path, F.col("line"), snippet, seq)
 
 
 def rule_joins(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -192,13 +245,38 @@ _SOURCES = [
 ]
 
 
-def dataflow(files: DataFrame, rounds: int = 3) -> DataFrame:
+_FLOW = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("since", T.IntegerType())]))
+
+
+@F.pandas_udf(_FLOW)
+def _spread(assigned: pd.Series) -> pd.Series:
+    """Taints of a file's variables from its assignments (line, name, kind or null, words) in order:
+    a variable has a taint from the first line on that gives it. A taint passes to later lines only,
+    so one pass in order finds flows of any length."""
+
+    def one(rows) -> list[dict]:
+        since: dict[tuple[str, str], int] = {}
+        kinds: dict[str, set[str]] = {}
+        for _, same in groupby(sorted(rows, key=lambda r: r["line"]), key=lambda r: r["line"]):
+            new = []
+            for r in same:
+                got = {k for w in r["words"] for k in kinds.get(w, ())}
+                new += [(r["name"], k, r["line"]) for k in got | ({r["kind"]} if r["kind"] else set())]
+            for name, k, line in new:
+                kinds.setdefault(name, set()).add(k)
+                since.setdefault((name, k), line)
+        return [{"name": n, "kind": k, "since": s} for (n, k), s in sorted(since.items())]
+
+    return assigned.map(one)
+
+
+def dataflow(files: DataFrame) -> DataFrame:
     """Taint from sources to sinks within a file.
 
-    Assignments give variables taints from sources; each round an assignment whose right side names
-    a tainted variable of an earlier line passes the taint on (a join on the variable's name). Sinks
-    are lines that call the network, eval or Function, a command, or a file write with a tainted
-    variable or a source. A file's flows of more than ``rounds`` steps aren't followed."""
+    Assignments give variables taints from sources, and pass taints of variables on to later lines
+    without a bound. A file's assignments, which its size of 1 MiB bounds, are gathered for that.
+    Sinks are lines that call the network, eval or Function, a command, or a file write with a
+    tainted variable or a source."""
     key = ["package", "version", "path"]
     lines = _statements(files, "js|cjs|mjs").select(*key, "line", "raw", "code")
     words = F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))
@@ -206,13 +284,8 @@ def dataflow(files: DataFrame, rounds: int = 3) -> DataFrame:
     kind = None
     for k, p in _SOURCES:
         kind = F.when(F.col("code").rlike(p), k) if kind is None else kind.when(F.col("code").rlike(p), k)
-    tainted = assigned.select(*key, "line", "name", kind.alias("kind")).where("kind is not null")
-    uses = assigned.select(*key, F.col("line").alias("at"), F.col("name").alias("target"), F.explode(words).alias("name"))
-    frontier = tainted
-    for _ in range(rounds):
-        frontier = uses.join(frontier, [*key, "name"]).where("at > line").select(*key, F.col("at").alias("line"), F.col("target").alias("name"), "kind").distinct()
-        tainted = tainted.unionByName(frontier)
-    tainted = tainted.groupBy(*key, "name", "kind").agg(F.min("line").alias("since"))
+    gathered = assigned.groupBy(*key).agg(F.collect_list(F.struct("line", "name", kind.alias("kind"), words.alias("words"))).alias("assigned"))
+    tainted = gathered.select(*key, F.explode(_spread("assigned")).alias("t")).select(*key, "t.name", "t.kind", "t.since")
     code = F.col("code")
     sink = F.when(code.rlike(r"\b(?:eval|Function)\s*\("), "eval").when(code.rlike(r"\b(?:exec|execSync|spawn|spawnSync|execFile|fork)\s*\("), "exec").when(code.rlike(r"writeFile(?:Sync)?\s*\("), "write").when(code.rlike(_NETWORK), "network")
     sinks = lines.withColumn("sink", sink).where("sink is not null")

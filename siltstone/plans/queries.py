@@ -103,7 +103,7 @@ def _obfuscation(spark, sf):
 @query("line_entropy", f"WITH {fx.FILES_SQL} SELECT path, line::INT AS line, round({_ENTROPY_SQL}, 6) AS entropy FROM lines WHERE octet_length(encode(raw)) > 100")
 def _line_entropy(spark, sf):
     lines = code.to_lines(fx.files(spark, sf)).where(F.octet_length("raw") > 100)
-    return lines.select("path", "line", F.round(text.line_entropy(F.col("raw")), 6).alias("entropy"))
+    return lines.select("path", "line", F.round(text.byte_entropy("raw"), 6).alias("entropy"))
 
 
 def _rule_sql(rule: tuple) -> str:
@@ -221,17 +221,45 @@ def _summary(spark, sf):
     return report.summary(report.reports(*_found(spark, sf)))
 
 
-@query("report_json")
+# Documents are read back, so that their fields are compared and not how JSON is spelled.
+_PLACED = f"placed AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY {_RANK} DESC, a, seq) AS k FROM all_found)"
+
+
+@query(
+    "report_json",
+    f"""WITH {_ALL_SQL}, {_PLACED}, per AS (SELECT package, count(*) AS n, string_agg(severity || ' ' || category || ' ' || title || ' ' || path || ' ' || cast(line AS VARCHAR), '; ' ORDER BY k) AS found, string_agg({fx.cut_sql("raw", 100)}, '; ' ORDER BY k) FILTER (a < 2) AS snippets FROM placed GROUP BY package)
+    SELECT r.package, r.version, risk_score, risk_label, coalesce(n, 0) AS n_findings, coalesce(found, '') AS found, coalesce(snippets, '') AS snippets FROM reported r LEFT JOIN per ON per.package = r.package""",
+)
 def _json(spark, sf):
-    return report.as_json(report.reports(*_found(spark, sf)))
+    fields = "package_name string, version string, risk_score double, risk_label string, findings array<struct<severity: string, category: string, title: string, description: string, file: string, line: int, snippet: string>>"
+    read_ = report.as_json(report.reports(*_found(spark, sf))).select(F.from_json("json", fields).alias("j")).select("j.*")
+    shown_ = F.transform("findings", lambda f: F.concat_ws(" ", f["severity"], f["category"], f["title"], f["file"], f["line"].cast("string")))
+    cut = F.transform(F.filter("findings", lambda f: ~f["title"].startswith("[")), lambda f: f["snippet"])
+    return read_.select(F.col("package_name").alias("package"), "version", "risk_score", "risk_label", F.size("findings").cast("long").alias("n_findings"), F.array_join(shown_, "; ").alias("found"), F.array_join(cut, "; ").alias("snippets"))
+
+
+_CLEAN_RULES = f"(SELECT package, string_agg(id || '=' || level, ',' ORDER BY id) AS rules FROM (SELECT package, {_RULE_ID} AS id, arg_min({_LEVEL}, k) AS level FROM placed GROUP BY package, category) GROUP BY package)"
 
 
-@query("report_sarif")
+@query(
+    "report_sarif",
+    f"""WITH {_ALL_SQL}, {_PLACED}, per AS (SELECT package, string_agg({_RULE_ID} || ' ' || {_LEVEL} || ' ' || path || ' ' || cast(line AS VARCHAR), '; ' ORDER BY k) AS results FROM placed GROUP BY package)
+    SELECT r.package, r.version, 'https://json.schemastore.org/sarif-2.1.0.json' AS schema_uri, '2.1.0' AS sarif_version, coalesce(rules, '') AS rules, coalesce(results, '') AS results FROM reported r LEFT JOIN per ON per.package = r.package LEFT JOIN {_CLEAN_RULES} u ON u.package = r.package""",
+)
 def _sarif(spark, sf):
-    return report.as_sarif(_found(spark, sf)[1])
+    fields = "`$schema` string, version string, runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string, defaultConfiguration: struct<level: string>>>>>, results: array<struct<ruleId: string, level: string, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>>>>>"
+    read_ = report.as_sarif(report.reports(*_found(spark, sf))).select("package", "version", F.from_json("sarif", fields).alias("j"))
+    run = F.col("j.runs")[0]
+    rules = F.transform(run["tool"]["driver"]["rules"], lambda r: F.concat_ws("=", r["id"], r["defaultConfiguration"]["level"]))
+    results = F.transform(run["results"], lambda r: F.concat_ws(" ", r["ruleId"], r["level"], r["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], r["locations"][0]["physicalLocation"]["region"]["startLine"].cast("string")))
+    return read_.select("package", "version", F.col("j.$schema").alias("schema_uri"), F.col("j.version").alias("sarif_version"), F.array_join(rules, ",").alias("rules"), F.array_join(results, "; ").alias("results"))
 
 
-@query("report_text")
+@query(
+    "report_text",
+    f"""WITH {_ALL_SQL}, {_PLACED}, per AS (SELECT package, string_agg(chr(10) || '  [' || upper(severity) || '] ' || {_map_sql("category", [(c, d) for c, d, _ in schema.CATEGORIES])} || ': ' || title || ' (' || path || ':' || cast(line AS VARCHAR) || ')', '' ORDER BY k) AS rows FROM placed GROUP BY package)
+    SELECT r.package, r.version, r.package || '@' || r.version || ' ' || upper(risk_label) || coalesce(rows, '') AS text FROM reported r LEFT JOIN per ON per.package = r.package""",
+)
 def _text(spark, sf):
     return report.terminal(report.reports(*_found(spark, sf)))
 
@@ -455,7 +483,21 @@ def _totals(spark, sf):
     return versions.totals(versions.paired(*_sides(spark, sf)))
 
 
-@query("diff_findings")
+def _diff_sql() -> str:
+    first = [f"SELECT n.package, n.path, {i} AS i, {q(s)} AS severity, {q(c)} AS category, {q(t)} AS title, (SELECT min(line) FROM lines l WHERE l.doc_id = n.doc_id AND regexp_matches(l.raw, {q(p)})) AS line, n.doc_id FROM newer n LEFT JOIN old o ON o.package = n.package AND o.path = n.path WHERE regexp_matches(lower(n.path), '\\.(js|cjs|mjs|ts|tsx|jsx)$') AND regexp_matches(n.content, {q(p)}) AND NOT regexp_matches(coalesce(o.content, ''), {q(p)})" for i, (s, c, p, t) in enumerate(patterns.NEWLY)]
+    blank = "NULL::VARCHAR, NULL::INT, NULL::VARCHAR"
+    return f"""WITH {fx.FILES_SQL}, {_OLD_SQL}, newer AS (SELECT package, path, content, doc_id FROM files WHERE doc_id % 11 <> 0), first AS ({" UNION ALL ".join(first)}), sums AS ({{totals}}),
+    added AS (SELECT n.package, n.path FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.package = n.package AND o.path = n.path))
+    SELECT package, '1.0.1' AS version, 'Low' AS severity, 'Suspicious' AS category, 'New file added between versions' AS title, path AS file, NULL::INT AS line, NULL::VARCHAR AS snippet FROM added
+    UNION ALL SELECT f.package, '1.0.1', severity, category, title, f.path, f.line::INT, {fx.cut_sql("l.raw", 120)} FROM first f LEFT JOIN lines l ON l.doc_id = f.doc_id AND l.line = f.line
+    UNION ALL SELECT package, '1.0.1', 'Medium', 'Obfuscation', 'Significant increase in obfuscated/minified code', {blank} FROM sums WHERE new_score > old_score + 5
+    UNION ALL SELECT package, '1.0.1', 'Medium', 'Suspicious', 'Significant decrease in package size', {blank} FROM sums WHERE old_size > 0 AND removed > 0 AND (old_size - new_size) / old_size * 100 > 30
+    UNION ALL SELECT package, '1.0.1', 'Low', 'Suspicious', 'Patch version with many changes', {blank} FROM sums WHERE added + removed + modified > 10"""
+
+
+# Totals are those of the query above; no file here has a suspicious or a binary's name, nor is a manifest.
+
+@query("diff_findings", _diff_sql().replace("{totals}", ORACLES["diff_totals"].split(f"{_OLD_SQL}, ", 1)[1].join(["WITH ", ""])))
 def _diff(spark, sf):
     old, new = _sides(spark, sf)
     v = new.select("package").distinct().withColumns({"old_version": F.lit("1.0.0"), "new_version": F.lit("1.0.1")})
@@ -478,19 +520,23 @@ def _graph(spark, sf):
     return roots, deps, vers
 
 
-@query(
-    "dependency_tree",
-    f"""WITH RECURSIVE {_EDGE_SQL}, walk(root, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey <= 40 UNION SELECT root, b, depth + 1 FROM walk JOIN edges ON a = node WHERE depth < 3)
-    SELECT cast(root as string) AS root, cast(node as string) AS name, min(depth)::INT AS depth FROM walk WHERE NOT (depth > 0 AND root = node AND false) GROUP BY root, node HAVING NOT (root = node AND min(depth) > 0)
-    UNION ALL SELECT cast(root as string), cast(root as string), min(depth)::INT FROM walk WHERE root = node AND depth > 0 GROUP BY root""",
-)
+_TREE_SQL = f"""{_EDGE_SQL}, d1 AS (SELECT a AS root, b AS node FROM edges), d2 AS (SELECT DISTINCT root, b AS node FROM d1 JOIN edges ON a = node), d3 AS (SELECT DISTINCT root, b AS node FROM d2 JOIN edges ON a = node),
+    reached AS (SELECT root, node, min(depth) AS depth FROM (SELECT *, 1 AS depth FROM d1 UNION ALL SELECT *, 2 FROM d2 UNION ALL SELECT *, 3 FROM d3) GROUP BY root, node)"""
+
+
+@query("dependency_tree", f"WITH {_TREE_SQL} SELECT cast(p_partkey as string) AS root, cast(p_partkey as string) AS name, 0 AS depth FROM part UNION ALL SELECT cast(root as string), cast(node as string), depth::INT FROM reached")
 def _tree(spark, sf):
     # The root's own specifier differs from the ranges that lead back to it, so it can come again.
-    roots, deps, vers = _graph(spark, sf)
-    return versions.tree(roots.where("cast(root as int) <= 40"), deps, vers).select("root", "name", "depth")
+    return versions.tree(*_graph(spark, sf)).select("root", "name", "depth")
 
 
-@query("dependency_risks")
+@query(
+    "dependency_risks",
+    f"""WITH {_TREE_SQL}, known AS (SELECT cast(root as string) AS package, node FROM reached JOIN part ON p_partkey = node)
+    SELECT package, 'High' AS severity, 'Transitive dependency has install scripts: ' || cast(node as string) || '@1.0.0' AS title FROM known WHERE node % 19 = 0
+    UNION ALL SELECT package, 'Medium', 'Transitive dependency is deprecated: ' || cast(node as string) || '@1.0.0' FROM known WHERE node % 13 = 0
+    UNION ALL SELECT package, 'High', 'Transitive dependency is very new: ' || cast(node as string) || '@1.0.0' FROM known WHERE node % 34 = 0""",
+)
 def _tree_risks(spark, sf):
     roots, deps, vers = _graph(spark, sf)
     scripts = vers.where("cast(package as int) % 19 = 0").select("package", "version", F.lit("postinstall").alias("hook"))
@@ -620,7 +666,19 @@ def _binary_strings(spark, sf):
     return d.select("doc_id", "path").join(counted, "path", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_strings"))
 
 
-@query("binary_scan")
+_HOLDS = lambda words: " OR ".join(f"contains(s, {q(w)})" for w in words)
+
+
+# No prose comes near 7.5 bits a byte, so no entropy is told here; a test of the operator does.
+@query(
+    "binary_scan",
+    f"""WITH {fx.FILES_SQL}, b AS (SELECT package, version, path || '.node' AS path, content FROM files), t AS (SELECT package, version, path, unnest(regexp_extract_all(content, '[ -~]{{4,}}')) AS s FROM b),
+    c AS (SELECT *, CASE WHEN octet_length(encode(s)) <= 100 THEN s ELSE left(s, 100) || '...' END AS snippet FROM t)
+    SELECT package, version, 'High' AS severity, 'BinaryFile' AS category, 'Native binary file: ' || path AS title, path AS file, NULL::INT AS line, NULL::VARCHAR AS snippet FROM b
+    UNION ALL SELECT package, version, 'Critical', 'BinaryFile', 'Shell command in binary: ' || path, path, NULL, snippet FROM c WHERE {_HOLDS(["/bin/sh", "/bin/bash", "/bin/zsh", "cmd.exe", "powershell", "command.com"])}
+    UNION ALL SELECT package, version, 'Critical', 'BinaryFile', 'Credential string in binary: ' || path, path, NULL, snippet FROM c WHERE {_HOLDS(["AWS_SECRET", "AWS_ACCESS_KEY", "NPM_TOKEN", "npm_token", "password", "passwd", ".npmrc", ".ssh/", "id_rsa", "id_ed25519", "GITHUB_TOKEN", "GH_TOKEN", "PRIVATE_KEY"])}
+    UNION ALL SELECT package, version, 'Critical', 'BinaryFile', 'URL embedded in binary: ' || path, path, NULL, snippet FROM c WHERE {_HOLDS(["http://", "https://", "ftp://", "ws://", "wss://"])}""",
+)
 def _binary_scan(spark, sf):
     f = fx.files(spark, sf).select("package", "version", F.concat("path", F.lit(".node")).alias("path"), F.expr("cast(content as binary)").alias("data"))
     return shown(binary.scan(f))

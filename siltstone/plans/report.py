@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone import schema
@@ -10,9 +10,9 @@ from siltstone import schema
 
 def score(critical: Column, high: Column, medium: Column, low: Column) -> Column:
     """The capped sum of weights, added in the order of severity: the tenths of low findings are
-    folded one after the other, since their sum isn't exact in binary."""
+    folded one after the other, since their sum isn't exact in binary. More than 101 of them exceed the cap."""
     whole = 3.0 * critical + 1.5 * high + 0.5 * medium
-    return F.least(F.aggregate(F.array_repeat(F.lit(0.1), low.cast("int")), whole.cast("double"), lambda a, x: a + x), F.lit(10.0))
+    return F.least(F.aggregate(F.array_repeat(F.lit(0.1), F.least(low, F.lit(101)).cast("int")), whole.cast("double"), lambda a, x: a + x), F.lit(10.0))
 
 
 def label(points: Column) -> Column:
@@ -70,11 +70,21 @@ def sarif_results(findings: DataFrame, prefix: str = "siltstone") -> DataFrame:
     return findings.select("package", "version", F.concat(F.lit(prefix + "/"), schema.category_rule()).alias("rule_id"), schema.severity_level().alias("level"), F.col("description").alias("message"), F.coalesce("file", F.concat("package", F.lit("@"), "version")).alias("uri"), F.coalesce("line", F.lit(1)).alias("start_line"))
 
 
-def as_sarif(findings: DataFrame, prefix: str = "siltstone") -> DataFrame:
-    """(package, version, sarif): a SARIF 2.1.0 run for each package version."""
-    location = F.array(F.struct(F.struct(F.struct(F.col("uri")).alias("artifactLocation"), F.struct(F.col("start_line").alias("startLine")).alias("region")).alias("physicalLocation")))
-    results = sarif_results(findings, prefix).groupBy("package", "version").agg(F.sort_array(F.collect_list(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), location.alias("locations")))).alias("results"), F.sort_array(F.collect_set(F.struct(F.col("rule_id").alias("id")))).alias("rules"))
-    return results.select("package", "version", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(F.struct(F.lit(prefix).alias("name"), "rules").alias("driver")).alias("tool"), "results")).alias("runs"))).alias("sarif"))
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def as_sarif(reported: DataFrame, prefix: str = "siltstone") -> DataFrame:
+    """(package, version, sarif): a SARIF 2.1.0 run for each report, clean ones too; results in the
+    order of the report, rules in the order of their ids with the level of their first finding."""
+    rule = lambda f: F.concat(F.lit(prefix + "/"), schema.category_rule(f["category"]))
+    uri = lambda f: F.coalesce(f["file"], F.concat(F.col("package"), F.lit("@"), F.col("version")))
+    place = lambda f: F.struct(F.struct(F.struct(uri(f).alias("uri")).alias("artifactLocation"), F.struct(F.coalesce(f["line"], F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
+    results = F.transform("findings", lambda f: F.struct(rule(f).alias("ruleId"), schema.severity_level(f["severity"]).alias("level"), F.struct(f["description"].alias("text")).alias("message"), F.array(place(f)).alias("locations")))
+    names = F.array_distinct(F.transform("findings", lambda f: f["category"]))
+    first = lambda c: F.get(F.filter("findings", lambda f: f["category"] == c), F.lit(0))["severity"]
+    rules = F.array_sort(F.transform(names, lambda c: F.struct(F.concat(F.lit(prefix + "/"), schema.category_rule(c)).alias("id"), schema.category_display(c).alias("name"), F.struct(schema.severity_level(first(c)).alias("level")).alias("defaultConfiguration"))))
+    run = F.struct(F.struct(F.struct(F.lit(prefix).alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), results.alias("results"))
+    return reported.select("package", "version", F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
 def buckets(scored: DataFrame) -> DataFrame:
@@ -120,6 +130,20 @@ def fresh(cache: DataFrame, now: Column, seconds: int = 86_400, rules_hash: str
     return best.select("r.*")
 
 
+def clear(spark: SparkSession, path: str) -> bool:
+    """Deletes the cache table; whether there was one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def prune(spark: SparkSession, path: str, now: Column, seconds: int = 86_400) -> None:
+    """Rewrites the cache table without what is older than ``seconds`` or superseded."""
+    fresh(spark.read.parquet(path), now, seconds).write.mode("overwrite").parquet(f"{path}.next")
+    clear(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(hadoop.Path(f"{path}.next"), hadoop.Path(path))
+
+
 def pending(packages: DataFrame, cached: DataFrame) -> DataFrame:
     """Packages without a cached report."""
     return packages.join(cached.select("package", "version"), ["package", "version"], "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from siltstone import schema
 from siltstone.operators import binary, code, metadata
+from siltstone.operators import versions as versions_of
 from siltstone.plans import report
 
 
@@ -25,6 +26,11 @@ class Tables:
     versions: DataFrame | None = None
     advisories: DataFrame | None = None
     tree: DataFrame | None = None
+    old_files: DataFrame | None = None
+    pairs: DataFrame | None = None  # package, old_version, new_version
+    dependencies: DataFrame | None = None  # package, version, dep, spec
+    published: DataFrame | None = None  # package, version, latest, deprecated, created_ts, n_versions
+    hooks: DataFrame | None = None  # package, version, hook
     now: Column = field(default_factory=F.current_timestamp)
 
 
@@ -42,7 +48,19 @@ REGISTRY: dict[str, tuple[tuple[str, ...], Analyzer]] = {
     "typosquat": (("metadata",), lambda t: metadata.typosquat(t.metadata, t.now)),
     "advisories": (("advisories",), lambda t: metadata.advisories(t.packages, t.advisories)),
     "provenance": (("metadata", "files", "tree"), lambda t: metadata.provenance(t.metadata, t.files, t.tree)),
+    "diff": (("old_files", "files", "pairs"), lambda t: versions_of.diff(t.old_files, t.files, t.pairs)),
+    "dependencies": (("dependencies", "published", "hooks"), lambda t: _deep(t)),
 }
+#: Left out of a check unless it is asked for them.
+COMPARE, DEEP = "diff", "dependencies"
+
+
+def _deep(t: Tables) -> DataFrame:
+    """Risks in the trees of all packages, as findings of the versions that were asked for."""
+    roots = t.packages.select(F.col("package").alias("root"), F.col("version").alias("spec")).distinct()
+    risks = versions_of.dependency_risks(versions_of.tree(roots, t.dependencies, t.published), t.published, t.hooks, t.now)
+    return risks.drop("version").join(t.packages.select("package", "version").distinct(), "package").select(schema.COLUMNS)
+
 
 #: These share one pass over the lines when all of them are wanted.
 LINE_ANALYZERS = ("static-code", "obfuscation", "rules")
@@ -56,14 +74,17 @@ def analyze(tables: Tables, names: list[str] | None = None) -> DataFrame:
     return schema.union([run(tables) for run in chosen.values()])
 
 
-def scan(tables: Tables, ignore: DataFrame | None = None, cached: DataFrame | None = None) -> DataFrame:
+def scan(tables: Tables, ignore: DataFrame | None = None, cached: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
     """Scores of all packages: cached ones as they are, the others analyzed."""
     work = report.pending(tables.packages, cached) if cached is not None else tables.packages
-    found = analyze(Tables(**{**tables.__dict__, "packages": work}))
+    found = analyze(Tables(**{**tables.__dict__, "packages": work}), names)
     if ignore is not None:
         found = report.ignored(found, ignore)
     scored = report.scores(work, found)
     return scored if cached is None else scored.unionByName(cached.select(*scored.columns))
 
 
-check = scan
+def check(tables: Tables, compare: bool = False, deep: bool = False, ignore: DataFrame | None = None, cached: DataFrame | None = None) -> DataFrame:
+    """A scan that compares versions, or follows dependencies, only if asked to."""
+    left_out = {COMPARE: not compare, DEEP: not deep}
+    return scan(tables, ignore, cached, [name for name in REGISTRY if not left_out.get(name)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,26 +78,42 @@ def manifests(df: DataFrame, column: str = "package_json") -> DataFrame:
 
 
 def project_dependencies(manifest: DataFrame, skip_dev: bool = False) -> DataFrame:
-    """(project, name, spec, kind) of a project's dependencies and, unless skipped, development ones;
-    duplicates across both stay."""
+    """(project, name, spec, kind) of a project's dependencies and, unless skipped, development ones,
+    by name; duplicates across both stay."""
     take = lambda c, kind: manifest.select("project", F.explode(c).alias("name", "spec"), F.lit(kind).alias("kind"))
     out = take("dependencies", "prod")
-    return (out if skip_dev else out.unionByName(take("devDependencies", "dev"))).withColumn("spec", F.coalesce("spec", F.lit("latest")))
+    return (out if skip_dev else out.unionByName(take("devDependencies", "dev"))).withColumn("spec", F.coalesce("spec", F.lit("latest"))).orderBy("project", "name", F.desc("kind"), "spec")
 
 
-_ENTRY = "package string, version string, path string, data binary"
+_ENTRY = "package string, version string, path string, data binary, error string"
+#: Bytes of files that a task holds before it passes them on.
+HELD_BYTES = 16 << 20
 
 
 def unpack(archives: DataFrame) -> DataFrame:
-    """Files of gzipped tarballs (package, version, archive binary), read in memory."""
+    """Files of gzipped tarballs (package, version, archive binary), read in memory one by one. An
+    archive that can't be read to its end gives what came before, and a row with the error and no path."""
+
+    def files(r):
+        try:
+            with tarfile.open(fileobj=io.BytesIO(r.archive or b""), mode="r:*") as tar:
+                for m in tar:
+                    if m.isfile():
+                        yield r.package, r.version, m.name, tar.extractfile(m).read(), None
+        except (tarfile.TarError, EOFError, OSError, zlib.error) as e:
+            yield r.package, r.version, None, None, f"{type(e).__name__}: {e}"
 
     def run(frames):
+        rows, size = [], 0
         for pdf in frames:
-            rows = []
             for r in pdf.itertuples(index=False):
-                with tarfile.open(fileobj=io.BytesIO(r.archive), mode="r:*") as tar:
-                    rows += [(r.package, r.version, m.name, tar.extractfile(m).read()) for m in tar if m.isfile()]
-            yield pd.DataFrame(rows, columns=["package", "version", "path", "data"])
+                for row in files(r):
+                    rows.append(row)
+                    size += len(row[3] or b"")
+                    if size >= HELD_BYTES:
+                        yield pd.DataFrame(rows, columns=["package", "version", "path", "data", "error"])
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=["package", "version", "path", "data", "error"])
 
     return archives.select("package", "version", "archive").mapInPandas(run, _ENTRY)
 

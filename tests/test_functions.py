@@ -38,9 +38,9 @@ def test_levenshtein(spark):
 
 
 def test_entropy(spark):
-    assert one(spark, text.line_entropy(F.lit("aaaaaaaaaa"))) == 0
-    assert one(spark, text.line_entropy(F.lit("aB3$xZ9!qW7@mK2&"))) > 3
-    assert one(spark, text.line_entropy(F.lit("ab"))) == 1
+    assert one(spark, text.byte_entropy(F.lit("aaaaaaaaaa"))) == 0
+    assert one(spark, text.byte_entropy(F.lit("aB3$xZ9!qW7@mK2&"))) > 3
+    assert one(spark, text.byte_entropy(F.lit("ab"))) == 1
     df = spark.createDataFrame([(bytes(range(256)),), (bytes(100),), (b"",), (None,)], "b binary")
     assert [r[0] for r in df.select(text.byte_entropy("b")).collect()] == [8, 0, 0, 0]
 

@@ -78,8 +78,12 @@ def test_dataflow(spark):
         ("c.js", "const t = fs.readFileSync('.npmrc');\nfetch(u, t);"),
         ("d.js", "const r = fs.readFileSync('README.md');\nconsole.log(r);"),
         ("dist/e.js", "const s = process.env.A;\nfetch(s);"),
+        ("f.js", "const v0 = process.env.A;\n" + "\n".join(f"const v{i + 1} = v{i} + 1;" for i in range(12)) + "\nfetch(v12);"),
+        ("g.js", "b = a;\na = process.env.A;\nfetch(b);"),
     )
     got = {(r["file"], r["title"]) for r in code.dataflow(rows).collect()}
+    assert ("f.js", "Environment data sent to the network") in got and not [x for x in got if x[0] == "g.js"]
+    got = {x for x in got if x[0] != "f.js"}
     assert got == {("a.js", "Environment data sent to the network"), ("b.js", "Dropper: network data written to a file"), ("b.js", "Tainted data in a child_process command"), ("c.js", "Credential data sent to the network")}
 
 
@@ -160,6 +164,10 @@ def test_archives(spark):
     assert [(r["path"], r["content"]) for r in sources.script_files(entries).collect()] == [("index.js", "x")]
     assert [r["path"] for r in sources.binary_files(entries).collect()] == ["a.wasm"]
     assert {r["path"]: r["content"] for r in sources.all_files(entries).collect()}["bad.ts"] == ""
+    broken = spark.createDataFrame([("p", "1", buffer.getvalue()), ("q", "1", b"no archive"), ("r", "1", buffer.getvalue()[:-40]), ("s", "1", None)], "package string, version string, archive binary")
+    rows = sources.unpack(broken).collect()
+    assert {r["package"] for r in rows if r["error"]} >= {"q", "s"} and len([r for r in rows if r["package"] == "p" and not r["error"]]) == 5
+    assert {r["package"] for r in sources.safe(sources.unpack(broken)).collect()} <= {"p", "r"}
 
 
 def test_documents(spark):
@@ -208,6 +216,23 @@ def test_scan(spark, tmp_path):
     assert {r["package"]: r["risk_label"] for r in scan.scan(tables, cached=cached).collect()} == {"p": "Critical", "q": "Clean"}
     assert {r["package"]: r["approved"] for r in report.gate(scored).collect()} == {"p": False, "q": True}
     assert report.exit_code(scored).first()["code"] == 1
+    report.prune(spark, str(tmp_path / "cache"), now)
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
+    report.prune(spark, str(tmp_path / "cache"), now, 3600)
+    assert spark.read.parquet(str(tmp_path / "cache")).count() == 0
+    assert report.clear(spark, str(tmp_path / "cache")) and not (tmp_path / "cache").exists() and not report.clear(spark, str(tmp_path / "cache"))
+
+
+def test_check_with_options(spark):
+    old, new = files(spark, ("index.js", "ok")), files(spark, ("index.js", "fetch(u);"), ("payload.js", "1"))
+    pairs = spark.createDataFrame([("p", "0.9.0", "1.0.0")], "package string, old_version string, new_version string")
+    deps = spark.createDataFrame([("p", "1.0.0", "d", "^2.0.0")], "package string, version string, dep string, spec string")
+    known = spark.createDataFrame([("p", "1.0.0", True, None, "2020-01-01", 5), ("d", "2.0.0", True, "old", "2020-01-01", 5)], "package string, version string, latest boolean, deprecated string, created_ts string, n_versions int")
+    hooks = spark.createDataFrame([("d", "2.0.0", "postinstall")], "package string, version string, hook string")
+    tables = scan.Tables(packages=new.select("package", "version").distinct(), files=new, old_files=old.select("package", "path", "content"), pairs=pairs, dependencies=deps, published=known, hooks=hooks)
+    of = lambda **k: scan.check(tables, **k).first()["risk_score"]
+    # Read of the network 0.1; a new file 0.1, of a suspicious name 1.5, a new call 1.5; a hook 1.5 and a deprecated package 0.5.
+    assert of() == 0.1 and of(compare=True, deep=True) == pytest.approx(5.2)
 
 
 def test_outputs(spark):
@@ -218,7 +243,12 @@ def test_outputs(spark):
     r = report.reports(f.select("package", "version"), found_)
     doc = json.loads(report.as_json(r).first()["json"])
     assert doc["findings"][0]["severity"] == "Critical" and doc["findings"][0]["line"] == 1 and doc["risk_score"] == 6.0
-    sarif = json.loads(report.as_sarif(found_).first()["sarif"])
+    many = report.reports(f.select("package", "version").union(spark.createDataFrame([("q", "2.0.0")], "package string, version string")), found_)
+    documents = {r["package"]: json.loads(r["sarif"]) for r in report.as_sarif(many).collect()}
+    assert documents["q"]["runs"][0]["results"] == [] and documents["q"]["$schema"].endswith("sarif-2.1.0.json")
+    sarif = documents["p"]
+    assert [x["id"] for x in sarif["runs"][0]["tool"]["driver"]["rules"]] == ["siltstone/code-execution"]
+    assert "eval(" in sarif["runs"][0]["results"][0]["message"]["text"]
     assert sarif["version"] == "2.1.0" and sarif["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 1
     assert report.terminal(r).first()["text"].startswith("p@1.0.0 HIGH\n  [CRITICAL] Code Execution: ")
     assert report.summary(r).first()["line"] == "Dynamic eval() detected, eval() with a dynamic argument"
