@@ -38,16 +38,14 @@ def size_of(text: Column) -> Column:
 
 
 def running(spark: SparkSession, df: DataFrame, order: Column, sums: dict[str, Column]) -> DataFrame:
-    """``df`` with running totals in ``order``. Rows are sorted in ranges, and the driver reads the
-    totals of each range."""
+    """``df`` with running totals in ``order``. Rows are sorted in ranges; one task adds up the ranges'
+    own totals, a row for each."""
     placed = stored(spark, df.repartitionByRange(order).withColumn("range", F.spark_partition_id()), "ranges")
-    before, rows = dict.fromkeys(sums, 0.0), []
-    for r in placed.groupBy("range").agg(*(F.sum(x).cast("double").alias(n) for n, x in sums.items())).orderBy("range").collect():
-        rows.append((r["range"], *before.values()))
-        before = {n: before[n] + (r[n] or 0.0) for n in sums}
-    offsets = spark.createDataFrame(rows, ", ".join(["at int", *(f"{n}_before double" for n in sums)]))
+    earlier = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(F.col("range").alias("at")).agg(*(F.sum(x).cast("double").alias(n) for n, x in sums.items()))
+    offsets = totals.select("at", *(F.coalesce(F.sum(n).over(earlier), F.lit(0.0)).alias(f"{n}_before") for n in sums))
     so_far = Window.partitionBy("range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = placed.join(F.broadcast(offsets), F.col("range") == F.col("at"))  # a row for each range
+    joined = placed.join(F.broadcast(offsets), F.col("range") == F.col("at"))
     return joined.withColumns({n: F.sum(x).over(so_far) + F.col(f"{n}_before") for n, x in sums.items()}).drop("range", "at", *(f"{n}_before" for n in sums))
 
 
