@@ -9,7 +9,7 @@ source's HEAD largest documents is paired, from the largest on, with all smaller
 whose fractions move together. The others are dealt into bounded chunks, each of which leaves at most
 one fraction, and the chunks' fractions go up the source's own reduction tree until one is left. That
 one becomes a copy with the chance that it says. So expected copies hold for every document, and a
-source's words miss the target by less than one document of the smaller ones.
+source's words miss the target by less than one document.
 
 Defined cases: a null text has size 0; rows that share source and id (null ids too) are rounded as
 one and get equal copies; documents of size 0 get the rounded copies of their source; an empty table
