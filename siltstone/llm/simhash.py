@@ -29,8 +29,8 @@ from siltstone.llm.common import discard, free, importable, map_slices, stored
 BITS, SHINGLE_WORDS, RADIUS, SEED = 64, 4, 4, 42
 #: Shingles whose similarity ``keep_one`` may ask for; minima in a band, and bands: a pair at 0.8 shares one but for 3 in 100,000.
 SIMILAR_WORDS, BAND_ROWS, BANDS = 5, 4, 20
-#: Pairs that a task holds before it passes them on.
-PAIR_ROWS = 1 << 16
+#: Pivots that a key's members meet in the first turn; in each later one so many times more.
+PIVOTS, MORE_PIVOTS = 4, 16
 #: Hashes whose bits are counted at one time, and fingerprints compared with the rest at one time.
 COUNT_ROWS, FRONTIER_ROWS = 1 << 16, 64
 #: Members from which on a bucket is dealt once more.
@@ -251,62 +251,43 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_slices(docs.select(id_col, text_col), make, f"`{id_col}` {id_type}, fp long, s long, n int, bands array<long>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of shingle sets ``s`` that share a band, have sizes ``n`` that allow the
-    similarity and aren't connected yet (``root``)."""
-    dealt = nodes.select(F.explode("bands").alias("band"), "root", "s", "n").repartition("band").sortWithinPartitions("band", "root", "s")
+def open_keys(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (key, s, ...) with their ``root``, of keys whose members aren't all connected."""
+    at = members.join(roots, "s")
+    still = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    return at.join(still, "key", "left_semi")
 
-    def pairs(band: np.ndarray, root: np.ndarray, s: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-        a, b, held = [], [], 0
-        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(band)], strict=True):
-            if root[lo] == root[hi - 1]:
-                continue
-            for i in range(lo, hi):
-                j = i + 1 + int(np.searchsorted(root[i + 1 : hi], root[i], "right"))
-                near = s[j:hi][(10 * np.minimum(n[j:hi], n[i]) >= 8 * np.maximum(n[j:hi], n[i])) & (s[j:hi] != s[i])]
-                a.append(np.full(len(near), s[i]))
-                b.append(near)
-                held += len(near)
-                if held >= PAIR_ROWS:
-                    yield batch_of(a, b)
-                    a, b, held = [], [], 0
-        if held:
-            yield batch_of(a, b)
 
-    def batch_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-        x, y = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(key, s, n, left): of each set (s, items) its rarest shingles, as many as a set with the similarity can't do without.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []  # parts of the last band key seen
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("band", "root", "s", "n")]
-            if held and held[-1][0][-1] != now[0][0]:
-                yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
-                held = []
-            last = int(np.searchsorted(now[0], now[0][-1]))
-            if last:
-                yield from pairs(*map(np.concatenate, zip(*held, [c[:last] for c in now], strict=True)))
-                held = []
-            held.append([c[last:] for c in now])
-        if held:
-            yield from pairs(*map(np.concatenate, zip(*held, strict=True)))
+    Two sets that have it share at least ceil(0.8 n) shingles, so in one order of all shingles their
+    first n - ceil(0.8 n) + 1 have one in common. Shingles of one set only come first and are no keys.
+    ``left`` counts the set's shingles from the key on."""
+    each = sets.select("s", F.size("items").alias("n"), F.explode("items").alias("key"))
+    shared = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    own = each.join(shared, "key").groupBy("s", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("keys"))
+    most = F.expr("n - (4 * n + 4) div 5 + 1 - (n - size(keys))").cast("int")
+    return own.where(most > 0).select(F.posexplode(F.slice("keys", F.lit(1), most)).alias("i", "k"), "s", "n", F.expr("n - size(keys)").alias("alone")).select("k.key", "s", "n", (F.col("n") - F.col("alone") - F.col("i")).alias("left"))
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
 
+def choose_pivots(members: DataFrame, pivots: int, turn: int) -> DataFrame:
+    """(key, p): of each of ``pivots`` shares of a key, the member that shares keys with most others."""
+    share = F.pmod(F.xxhash64("s", F.lit(turn)), F.lit(pivots))
+    return members.groupBy("key", share.alias("share")).agg(F.max(F.struct("w", "s", "n", "left", "root")).alias("p")).select("key", "p")
+
+
+def pivot_pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member with its key's pivots, where they aren't connected and what
+    both have from the key on, if it is the first that they share, allows the similarity."""
+    met = members.join(pivots, "key").where((F.col("root") != F.col("p.root")) & (9 * F.least("left", "p.left") >= 4 * (F.col("n") + F.col("p.n"))))
+    return met.select(F.least("s", "p.s").alias("a"), F.greatest("s", "p.s").alias("b")).distinct()
 
-def similar_roots(spark: SparkSession, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) for the roots in ``rows`` (id_col, root, s, n, bands) that equal shingle sets, or
-    sets with a similarity of 0.8 or more, connect. Candidates come from bands of minima; their
-    similarity is then told from the sets themselves."""
-    nodes = stored(spark, rows.groupBy("s").agg(F.min("root").alias("root"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
-    pairs = stored(spark, candidates(nodes), "pairs")
-    members = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
-    wanted = rows.join(members, "s", "left_semi").select(F.col(id_col).alias("wanted")).distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+
+def shingle_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(s, items) for the keys ``s`` in ``wanted``: the shingle sets, from the text of one id each."""
+    ids = rows.join(wanted, "s", "left_semi").groupBy("s").agg(F.min(id_col).alias("wanted")).select("wanted").distinct()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -316,14 +297,53 @@ def similar_roots(spark: SparkSession, docs: DataFrame, rows: DataFrame, id_col:
 
         return work
 
-    sets = stored(spark, map_slices(texts, make, "s long, items array<long>").dropDuplicates(["s"]), "shingles")
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
-    common = F.size(F.array_intersect("x", "y"))
-    linked = pairs.join(left, "a").join(right, "b").where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-    root = nodes.select("s", "root")
-    across = linked.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select("ra", "rb")
-    equal = rows.select("s", F.col("root").alias("ra")).distinct().join(root.toDF("s", "rb"), "s").select("ra", "rb")
-    return connected(spark, across.union(equal).toDF("a", "b"))
+    return map_slices(texts, make, "s long, items array<long>").dropDuplicates(["s"])
+
+
+def similar_roots(spark: SparkSession, docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) for the roots in ``rows`` (id_col, root, s, n, bands) that equal shingle sets, or
+    sets with a similarity of 0.8 or more, connect; others may be left out.
+
+    Sets that share a band of minima are candidates; the rarest of their shingles become keys, as
+    similar sets have one in common. A key isn't spelled out in pairs: in each turn all its members
+    meet a few pivots, the sets themselves tell which are similar, links are joined, and keys whose
+    members are connected by then are closed. The others go on without these pivots, which have met
+    everyone, and with more new ones, until no key is open. So no link between candidates is lost,
+    and a group of copies costs a few rows a member."""
+    nodes = stored(spark, rows.groupBy("s").agg(F.min("root").alias("root"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    equal = rows.select("s", F.col("root").alias("a")).distinct().join(nodes.select("s", F.col("root").alias("b")), "s").where("a != b").select("a", "b")
+    base = stored(spark, connected(spark, equal), "equal")
+    placed = nodes.join(base, nodes["root"] == base["node"], "left").select("s", "bands", F.coalesce(base["root"], nodes["root"]).alias("root"))
+    banded = placed.select(F.explode("bands").alias("key"), "s", "root")
+    crowded = banded.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    first = stored(spark, banded.join(crowded, "key", "left_semi").select("s", "root").distinct(), "roots")
+    sets = stored(spark, shingle_sets(docs, rows, first.select("s"), id_col, text_col), "shingles")
+    found = stored(spark, open_keys(prefixes(sets), first).drop("root"), "keys")
+    weights = found.join(found.groupBy("key").agg(F.count("*").alias("c")), "key").groupBy("s").agg(F.sum("c").alias("w"))
+    members = stored(spark, found.join(weights, "s").select("key", "s", "n", "left", "w"), "members")
+    discard(found)
+    roots, turn = first, 0
+    while True:
+        still = stored(spark, open_keys(members, roots), "open")
+        discard(members)
+        if still.isEmpty():
+            break
+        pivots = stored(spark, choose_pivots(still, PIVOTS * MORE_PIVOTS**turn, turn), "pivots")
+        pairs = pivot_pairs(still, pivots)
+        common = F.size(F.array_intersect("x", "y"))
+        linked = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+        links = stored(spark, linked.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "links")
+        if not links.isEmpty():
+            joined = connected(spark, links)
+            roots = stored(spark, roots.join(joined.toDF("root", "wider"), "root", "left").select("s", F.coalesce("wider", "root").alias("root")), "roots")
+        met = pivots.select("key", F.col("p.s").alias("s"))
+        members = stored(spark, still.join(met, ["key", "s"], "left_anti").select("key", "s", "n", "left", "w"), "members")
+        for used in (still, pivots, links):
+            discard(used)
+        turn += 1
+    moved = first.toDF("s", "node").join(roots, "s").select("node", "root").distinct()
+    later = moved.toDF("root", "wider")
+    return base.join(later, "root", "left").select("node", F.coalesce("wider", "root").alias("root")).union(moved).distinct()
 
 
 def classes(spark: SparkSession, rows: DataFrame, id_col: str, radius: int) -> DataFrame:

@@ -322,6 +322,32 @@ def test_simhash_similar(spark):
     assert simhash.keep_one(spark, df.limit(0), similar=True).count() == 0
 
 
+def test_simhash_similar_turns(spark, monkeypatch):
+    """Groups of near copies whose members often aren't similar to each other, met by one pivot, then two, and so on."""
+    monkeypatch.setattr(simhash, "PIVOTS", 1)
+    monkeypatch.setattr(simhash, "MORE_PIVOTS", 2)
+    rng = random.Random(11)
+    texts = []
+    for group in range(3):
+        base = [f"g{group}w{rng.randrange(10_000)}" for _ in range(200)]
+        texts.append(" ".join(base))
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.choice((1, 2, 4, 5, 7))):
+                copy[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [shingle_set(t) for t in texts]
+    prints = [slow_fingerprint(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if ((prints[i] ^ prints[j]).bit_count() <= 4 or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])) and group[i] != group[j]:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    kept = simhash.keep_one(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), similar=True)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({*group}) and 3 < len({*group}) < 60
+
+
 def test_simhash_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = {tuple(r) for r in simhash.connected(spark, edges).collect()}
