@@ -198,6 +198,8 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     Large-star and small-star steps alternate until nothing changes; each round's edges are written
     to the shared folder, so a round never recomputes the ones before."""
     now = stored(spark, edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if now.isEmpty():
+        return now.toDF("node", "root")
     seen = None
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
