@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, chat, html, licenses, media, mixing, quality, rules, secrets, simhash
+from siltstone.llm import bpe, chat, counts, html, licenses, media, mixing, quality, rules, secrets, simhash, trie, whitening
 from siltstone.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,8 +78,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = trie.build(spark, table(spark, sf_dir, "conversations"))
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.prefix_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    total, fitting = counts.total(F.col("counts")), counts.fitting(F.col("counts"), counts.LIMIT)
+    return found.select("doc_id", "n_bytes", total.alias("n_tokens"), (total > counts.LIMIT).alias("over_limit"), fitting.alias("fitting_chars"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_licenses, op2_quality, op3_html, op4_chat, op5_rules, op6_mixing, op7_secrets, op8_media, op9_bpe, op10_simhash)
+    found = (op1_licenses, op2_quality, op3_html, op4_chat, op5_rules, op6_mixing, op7_secrets, op8_media, op9_bpe, op10_simhash, op11_trie, op12_whitening, op13_counts)
     return {q.__name__: q for q in found}
 
 
@@ -107,6 +122,22 @@ ok AS (SELECT source, (f + mu * k) / (n + k) <= {rules.WORST_RATE} AS ok FROM h,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules.BASE_FAILED} AS base_failed, NOT ({rules.BASE_FAILED}) AND ok AS kept FROM m JOIN ok ON ok.source IS NOT DISTINCT FROM m.source"""
 
 
+# CRC-32 of a decimal number: a table of 256 entries by eight shifts each, then a fold over the digits.
+_CRC = """WITH c8 AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), b)) AS t),
+ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT conv_id, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT), lambda c, d: xor(c >> 8, t[(xor(c, d) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) % 9 AS h FROM ids, c8)"""
+_TRIE = f"""{_CRC},
+said AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS k, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS s, octet_length(encode(coalesce(text, '')))::BIGINT AS b FROM conversations WHERE conv_id IS NOT NULL),
+turns AS (SELECT h.conv_id, k, s, b FROM h JOIN said ON said.conv_id = h.conv_id AND k > h UNION ALL SELECT h.conv_id, k, s, b FROM h JOIN said ON said.conv_id = h.conv_id - h.conv_id % 5 AND k <= h),
+lists AS (SELECT h.conv_id, coalesce(l, []) AS l, coalesce(bs, []) AS bs FROM h LEFT JOIN (SELECT conv_id, list(s ORDER BY k) AS l, list(b ORDER BY k) AS bs FROM turns GROUP BY conv_id) t ON t.conv_id = h.conv_id),
+pre AS (SELECT conv_id, d, d = len(l) AS is_end, sha256(array_to_string(l[1:d], ' ')) AS node, CASE WHEN d > 0 THEN sha256(array_to_string(l[1:d - 1], ' ')) END AS parent, coalesce(bs[d], 0) AS b FROM (SELECT *, unnest(range(len(l) + 1)) AS d FROM lists)),
+nodes AS (SELECT d, node, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(b) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_end), '')) AS ends FROM pre GROUP BY d, node),
+kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY d, parent),
+sums AS (SELECT up.d, up.node, count(*) FILTER (k.n IS NULL) AS leaves, sum(v.saved) AS saved FROM nodes v JOIN pre up ON up.conv_id = v.conv_id AND up.d <= v.d LEFT JOIN kids k ON k.d = v.d AND k.node = v.node GROUP BY up.d, up.node)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v JOIN sums s ON s.d = v.d AND s.node = v.node LEFT JOIN kids k ON k.d = v.d AND k.node = v.node LEFT JOIN nodes p ON p.d = v.d - 1 AND p.node = v.parent"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; tests hold the others against brute force."""
-    return {"op4_chat": _CHAT, "op5_rules": _RULES}
+    return {"op4_chat": _CHAT, "op5_rules": _RULES, "op11_trie": _TRIE}
