@@ -3,7 +3,7 @@
 One aggregation counts the vectors and sums each dimension; a second one, whose SQL expressions are
 generated, sums the centred product of every pair of dimensions of the upper triangle. Both give one
 row, whose width is set by the number of dimensions alone. The driver assembles the covariance from
-it and LAPACK decomposes it; projecting is generated arithmetic over columns again.
+it and LAPACK decomposes it; projecting is arithmetic over arrays.
 
 Entries become whole numbers first: x = floor(SCALE * c) + SHIFT. Centring takes away the whole
 number next to the mean, so products are whole and their sums are exact, in whatever order they
@@ -19,11 +19,12 @@ other columns are ignored. More pairs than PAIRS are summed in several aggregati
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCALE, SHIFT = 1024, 100_000
@@ -57,29 +58,38 @@ class Model:
         return [(s - c * self.n) / self.n for s, c in zip(self.sums, self.centres, strict=True)]
 
 
-def _columns(d: int) -> list[str]:
-    return [f"x{i}" for i in range(d)]
-
-
 def usable(embeddings: DataFrame, column: str = "embedding") -> tuple[DataFrame, int]:
-    """(vec_id, x0, x1, ...) of the vectors that are whole, and their number of dimensions."""
+    """(vec_id, x) of the vectors that are whole, and their number of dimensions."""
     vector = F.col(column).cast("array<double>")
     finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
     whole = embeddings.select("vec_id", vector.alias("v")).where(F.col("v").isNotNull() & F.forall("v", finite))
     d = whole.agg(F.max(F.size("v"))).first()[0] or 0
-    entry = lambda i: F.floor(F.least(F.greatest(F.get("v", F.lit(i)) * SCALE, F.lit(-MOST)), F.lit(MOST))) + SHIFT
-    return whole.where(F.size("v") == d).select("vec_id", *(entry(i).alias(c) for i, c in enumerate(_columns(d)))), d
-
-
-def _pair_sums(rows: DataFrame, terms: list[str]) -> np.ndarray:
-    """The sums of products of every pair of terms, as a symmetric matrix."""
-    d = len(terms)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    out = np.zeros((d, d))
-    narrow = rows.select(*(F.expr(t).alias(f"t{i}") for i, t in enumerate(terms)))
+    entry = lambda v: F.floor(F.least(F.greatest(v * SCALE, F.lit(-MOST)), F.lit(MOST))) + SHIFT
+    return whole.where(F.size("v") == d).select("vec_id", F.transform("v", entry).alias("x")), d
+
+
+@contextmanager
+def _small_methods(spark: SparkSession) -> Iterator[None]:
+    """Generated methods of more than 8,000 bytes are never compiled by the JVM, only interpreted. An
+    aggregation of thousands of sums is one, so Spark is told to use its form of many small methods."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _pair_sums(terms: DataFrame) -> np.ndarray:
+    """The sums of products of every pair of columns, as a symmetric matrix."""
+    names = terms.columns
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    out = np.zeros((len(names), len(names)))
     for lo in range(0, len(pairs), PAIRS):
         part = pairs[lo : lo + PAIRS]
-        got = narrow.selectExpr(*(f"sum(t{i} * t{j}) as p{k}" for k, (i, j) in enumerate(part))).first()
+        with _small_methods(terms.sparkSession):
+            got = terms.selectExpr(*(f"sum({names[i]} * {names[j]}) as p{k}" for k, (i, j) in enumerate(part))).first()
         for (i, j), value in zip(part, got, strict=True):
             out[i, j] = out[j, i] = value
     return out
@@ -89,10 +99,10 @@ def fit(rows: DataFrame, d: int) -> Model | None:
     """Components of all ``rows`` that ``usable`` gave; None if there are none."""
     if d == 0:
         return None
-    names = _columns(d)
-    n, *sums = rows.selectExpr("count(*)", *(f"sum(cast({c} as decimal(20, 0)))" for c in names)).first()
+    with _small_methods(rows.sparkSession):
+        n, *sums = rows.selectExpr("count(*)", *(f"sum(cast(x[{i}] as decimal(20, 0)))" for i in range(d))).first()
     model = Model(n, [int(s) for s in sums], np.zeros(0), np.zeros((d, 0)), 0.0)
-    products = _pair_sums(rows, [f"cast({x} - {c}L as double)" for x, c in zip(names, model.centres, strict=True)])
+    products = _pair_sums(rows.selectExpr(*(f"cast(x[{i}] - {c}L as double) as t{i}" for i, c in enumerate(model.centres))))
     rest = np.array(model.offsets)
     covariance = products / n - np.outer(rest, rest)
     values, vectors = np.linalg.eigh(covariance)
@@ -104,26 +114,26 @@ def fit(rows: DataFrame, d: int) -> Model | None:
     return model
 
 
-def _projection(model: Model, k: int) -> str:
-    """SQL of a vector's whitened coordinate on component ``k``."""
-    root = float(np.sqrt(model.values[k]))
-    terms = (f"{float(v)!r}D * (cast({x} - {c}L as double) - {r!r}D)" for v, x, c, r in zip(model.vectors[:, k], _columns(len(model.sums)), model.centres, model.offsets, strict=True))
-    return f"({' + '.join(terms)}) / {root!r}D"
+def _literal(values: Iterable[float | int], kind: str) -> Column:
+    return F.array(*(F.lit(str(v)).cast(kind) for v in values))
 
 
 def project(rows: DataFrame, model: Model) -> DataFrame:
     """(vec_id, deviation, w1, w2, ...): exact squared deviations, and whitened coordinates."""
-    gap = lambda x, s: f"cast(cast({x} as decimal(20, 0)) * {model.n}BD - {s}BD as decimal(38, 0))"
-    squares = reduce(lambda a, b: f"try_add({a}, {b})", (f"try_multiply(g{i}, g{i})" for i in range(len(model.sums))))
-    gaps = rows.selectExpr("*", *(f"{gap(x, s)} as g{i}" for i, (x, s) in enumerate(zip(_columns(len(model.sums)), model.sums, strict=True))))
-    return gaps.selectExpr("vec_id", f"try_cast({squares} as bigint) as deviation", *(f"{_projection(model, k)} as w{k + 1}" for k in range(len(model.values))))
+    whole = "decimal(38, 0)"
+    gaps = F.zip_with("x", _literal(model.sums, whole), lambda x, s: (x.cast("decimal(20, 0)") * F.lit(model.n).cast("decimal(18, 0)")).cast(whole) - s)
+    squares = F.aggregate(gaps, F.lit(0).cast(whole), lambda total, g: F.try_add(total, F.try_multiply(g, g).cast(whole)).cast(whole))
+    centred = F.zip_with(F.zip_with("x", _literal(model.centres, "long"), lambda x, c: (x - c).cast("double")), F.array(*map(F.lit, model.offsets)), lambda y, r: y - r)
+    dot = lambda k: F.aggregate(F.zip_with("y", F.array(*map(F.lit, model.vectors[:, k].tolist())), lambda y, v: y * v), F.lit(0.0), lambda total, p: total + p)
+    ready = rows.select("vec_id", squares.try_cast("long").alias("deviation"), centred.alias("y"))
+    return ready.select("vec_id", "deviation", *((dot(k) / float(np.sqrt(model.values[k]))).alias(f"w{k + 1}") for k in range(len(model.values))))
 
 
 def identity_error(projected: DataFrame, n: int, components: int) -> float:
     """The largest absolute entry of the whitened covariance minus the identity."""
     names = [f"w{k + 1}" for k in range(components)]
     means = [float(m) for m in projected.selectExpr(*(f"avg({w})" for w in names)).first()]
-    products = _pair_sums(projected, [f"{w} - {m!r}D" for w, m in zip(names, means, strict=True)])
+    products = _pair_sums(projected.selectExpr(*(f"{w} - {m!r}D as {w}" for w, m in zip(names, means, strict=True))))
     return float(np.abs(products / n - np.eye(components)).max())
 
 
