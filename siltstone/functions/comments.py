@@ -2,55 +2,18 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from siltstone.functions.text import lines
-
-#: A quoted string up to its end or the line's, a line comment, or the start of a block comment.
-_PART = re.compile(r"""(?P<text>"(?:\\.|[^"\\])*(?:"|\\?$)|'(?:\\.|[^'\\])*(?:'|\\?$)|`(?:\\.|[^`\\])*(?:`|\\?$))|(?P<line>//)|(?P<block>/\*)""", re.S)
-
-
-def strip_lines(rows: list[str]) -> list[str]:
-    """What lies outside comments, line by line. A quote ends with its line; a block comment doesn't."""
-    out, inside = [], False
-    for row in rows:
-        kept, at = [], 0
-        while at < len(row):
-            if inside:
-                end = row.find("*/", at)
-                if end < 0:
-                    break
-                inside, at = False, end + 2
-                continue
-            found = _PART.search(row, at)
-            if not found:
-                kept.append(row[at:])
-                break
-            if found["text"]:
-                kept.append(row[at : found.end()])
-                at = found.end()
-                continue
-            kept.append(row[at : found.start()])
-            if found["line"]:
-                break
-            inside, at = True, found.end()
-        out.append("".join(kept))
-    return out
 
+#: A quoted string up to its end or the line's, a line comment, a block comment, or what lies between. Together
+#: they cover a content. Repetitions are possessive, so long strings need no deep stack.
+PIECE = r""""(?:\\[^\n]|[^"\\\n])*+"?|'(?:\\[^\n]|[^'\\\n])*+'?|`(?:\\[^\n]|[^`\\\n])*+`?|//[^\n]*+|/\*[\s\S]*?(?:\*/|\z)|[^"'`/]++|/"""
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _strip(rows: pd.Series) -> pd.Series:
-    return rows.map(lambda x: None if x is None else strip_lines(list(x)))
 
+def stripped_content(content: Column) -> Column:
+    """What lies outside comments; of a block comment its line feeds stay, so lines keep their numbers.
 
-def stripped(content: Column, wanted: Column | None = None) -> Column:
-    """Lines without comments. Only contents with a comment sign (and ``wanted``) are sent to Python."""
-    rows = lines(content)
-    odd = content.contains("//") | content.contains("/*")
-    odd = odd if wanted is None else odd & wanted
-    return F.coalesce(_strip(F.when(odd, rows)), rows)
+    A quote ends with its line, a block comment doesn't. Contents without a comment sign stay as they are."""
+    feeds = lambda p: F.repeat(F.lit("\n"), F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit(""))))
+    kept = F.transform(F.regexp_extract_all(content, F.lit(PIECE), F.lit(0)), lambda p: F.when(p.startswith("//"), "").when(p.startswith("/*"), feeds(p)).otherwise(p))
+    return F.when(content.contains("//") | content.contains("/*"), F.array_join(kept, "")).otherwise(content)

@@ -23,11 +23,12 @@ def scripts(files: DataFrame, extensions: str = "js|cjs|mjs|ts|tsx|jsx") -> Data
 
 def to_lines(files: DataFrame, strip: bool = False) -> DataFrame:
     """(package, version, path, line, raw[, code]); ``code`` is the line without comments."""
-    rows = files.select("package", "version", "path", text.lines(F.col("content")).alias("raw"), *([comments.stripped(F.col("content")).alias("code")] if strip else []))
     if not strip:
-        return rows.select("package", "version", "path", F.posexplode("raw").alias("line", "raw")).withColumn("line", F.col("line") + 1)
-    zipped = rows.select("package", "version", "path", F.posexplode(F.arrays_zip("raw", "code")).alias("line", "z"))
-    return zipped.select("package", "version", "path", (F.col("line") + 1).alias("line"), "z.raw", "z.code")
+        return files.select("package", "version", "path", F.posexplode(text.lines(F.col("content"))).alias("line", "raw")).withColumn("line", F.col("line") + 1)
+    both = files.select("package", "version", "path", "content", comments.stripped_content(F.col("content")).alias("code"))
+    zipped = both.select("package", "version", "path", F.posexplode(F.arrays_zip(text.lines(F.col("content")).alias("raw"), text.lines(F.col("code")).alias("code"))).alias("line", "z"))
+    # A comment that ends the content takes the last line's text, but not the line.
+    return zipped.select("package", "version", "path", (F.col("line") + 1).alias("line"), "z.raw", F.coalesce("z.code", F.lit("")).alias("code"))
 
 
 def _expected(path: Column, severity: str, category: str) -> Column:
@@ -169,8 +170,10 @@ def line_findings(files: DataFrame, rules: list[tuple] = patterns.RULES) -> Data
     path, content, raw = F.col("path"), F.col("content"), F.col("raw")
     plain = ~text.minified(path) & ~text.built(path)
     wanted = files.select("package", "version", "path", "content", (plain & text.extension(path).rlike("^(js|cjs|mjs|ts|tsx|jsx)$")).alias("is_code"), (plain & text.extension(path).rlike("^(js|cjs|mjs|ts|tsx|jsx|json)$")).alias("is_data"), _rule_uses(path, rules).alias("use"))
-    rows = wanted.where(F.col("is_data") | F.exists("use", lambda x: x)).select("package", "version", "path", "is_code", "is_data", "use", text.lines(content).alias("raw"), F.when(F.col("is_code"), comments.stripped(content, F.col("is_code"))).alias("code"))
-    lines = rows.select("package", "version", "path", "is_code", "is_data", "use", F.posexplode(F.arrays_zip("raw", F.coalesce("code", "raw").alias("code"))).alias("line", "z")).select("package", "version", "path", "is_code", "is_data", "use", (F.col("line") + 1).alias("line"), F.col("z.raw").alias("raw"), F.col("z.code").alias("code"))
+    used = ["package", "version", "path", "is_code", "is_data", "use"]
+    both = wanted.where(F.col("is_data") | F.exists("use", lambda x: x)).select(*used, "content", F.when(F.col("is_code"), comments.stripped_content(content)).otherwise(content).alias("code"))
+    zipped = both.select(*used, F.posexplode(F.arrays_zip(text.lines(content).alias("raw"), text.lines(F.col("code")).alias("code"))).alias("line", "z"))
+    lines = zipped.select(*used, (F.col("line") + 1).alias("line"), F.col("z.raw").alias("raw"), F.coalesce("z.code", F.lit("")).alias("code"))
     none = F.lit(0).cast("long")
     masks = [F.when(F.col("is_code"), _static_mask(F.col("code"), path)).otherwise(none), F.when(F.col("is_data"), _obfuscation_mask(raw, F.col("entropy"))).otherwise(none), _rule_mask(raw, F.col("use"), rules)]
     marked = lines.withColumn("entropy", _dense(F.when(F.col("is_data"), raw))).withColumns({f"m{k}": m for k, m in enumerate(masks)}).where("m0 != 0 or m1 != 0 or m2 != 0")

@@ -72,6 +72,16 @@ CODE = [
     "module.exports = 1;",
     "if (go) { var e = process.env.E; }\nelse { fetch(e); }",
 ]
+#: Pieces with comments and with quotes that hold signs of comments.
+COMMENTS = [
+    "var u = \"http://a.example/*b\"; // gone",
+    "a /* gone\ngone */ b // gone\nd",
+    "var s = '/* kept */' + \"// kept\"; /* gone */ t();",
+    "`kept // kept` /* `gone` */ + y",
+    "var q = \"it\\\"s // kept\" // gone \"",
+    "'open // kept\nnext // gone",
+    "x /*/ gone */ / y /* gone",
+]
 DIRS = ["lib/", "src/", "dist/", "config/", "test/", "Build/x/", "adapters/", "scripts/"]
 EXTS = [".js", ".ts", ".min.js", ".mjs", ".json", ".md", ".jsx"]
 
@@ -118,6 +128,15 @@ def scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("source").alias("package"), F.lit("1.0.0").alias("version"), F.expr(spark_sql(PATH)).alias("path"), F.concat(comment, inside).alias("content"))
 
 
+def commented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one comment, the document, and one of COMMENTS."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    pieces = spark.createDataFrame(list(enumerate(COMMENTS)), "k long, piece string")
+    joined = docs.join(F.broadcast(pieces), F.col("doc_id") % len(COMMENTS) == F.col("k"))  # a fixed list
+    comment = F.concat(F.lit("/* "), F.replace(F.coalesce("text", F.lit("")), F.lit("*/"), F.lit("* /")), F.lit(" */\n"))
+    return joined.select(F.col("source").alias("package"), F.lit("1.0.0").alias("version"), F.expr(spark_sql(PATH)).alias("path"), F.concat(comment, "piece").alias("content"))
+
+
 FILES_SQL = f"""snippets(k, snippet) AS (VALUES {", ".join(f"({i}, {quote(s)})" for i, s in enumerate(SNIPPETS))}),
 files AS (SELECT source AS package, '1.0.0' AS version, {PATH} AS path, coalesce(text, '') || chr(10) || snippet AS content, doc_id FROM documents JOIN snippets ON doc_id % {N} = k),
 split AS (SELECT *, string_split(content, chr(10)) AS p FROM files),

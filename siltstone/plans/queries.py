@@ -78,6 +78,30 @@ def _static_code(spark, sf):
     return shown(code.static_code(fx.files(spark, sf)))
 
 
+# What is left of each piece's lines, written out: piece, line after its first, code.
+_CODE_KNOWN = [
+    (0, 0, 'var u = "http://a.example/*b"; '),
+    (1, 0, "a "),
+    (1, 1, " b "),
+    (1, 2, "d"),
+    (2, 0, "var s = '/* kept */' + \"// kept\";  t();"),
+    (3, 0, "`kept // kept`  + y"),
+    (4, 0, 'var q = "it\\"s // kept" '),
+    (5, 0, "'open // kept"),
+    (5, 1, "next "),
+    (6, 0, "x  / y "),
+]
+
+
+@query(
+    "code_comments",
+    f"""WITH known(k, line, code) AS (VALUES {", ".join(f"({k}, {line}, {q(v)})" for k, line, v in _CODE_KNOWN)})
+    SELECT source AS package, {fx.PATH} AS path, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 2 + line)::INT AS line, code FROM documents JOIN known ON doc_id % {len(fx.COMMENTS)} = k""",
+)
+def _code_comments(spark, sf):
+    return code.to_lines(fx.commented(spark, sf), strip=True).where("code != ''").select("package", "path", "line", "code")
+
+
 @query("static_counts", f"WITH {fx.FILES_SQL}, {STATIC_SQL} SELECT title, severity, count(*) AS n, count(DISTINCT package) AS n_packages FROM static_found GROUP BY title, severity")
 def _static_counts(spark, sf):
     return code.static_code(fx.files(spark, sf)).groupBy("title", "severity").agg(F.count("*").alias("n"), F.countDistinct("package").alias("n_packages"))

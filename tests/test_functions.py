@@ -1,10 +1,12 @@
 """Scalar functions on fixed cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import names, text
-from siltstone.functions.comments import strip_lines
+from siltstone.functions.comments import stripped_content
 from siltstone.plans import report
 
 
@@ -26,10 +28,49 @@ def one(spark, column):
         (["/* a */ b /* c", "*/ d // e"], [" b ", " d "]),
         (["a / b * c"], ["a / b * c"]),
         ([""], [""]),
+        ([r"a \" // kept", "b"], [r"a \" // kept", "b"]),
+        (["'ends \\\\' // cut", "'open \\"], ["'ends \\\\' ", "'open \\"]),
+        (["/* never", "ends"], ["", ""]),
+        (["/*/ a */ b", "`x /*", "y */ c"], [" b", "`x /*", "y */ c"]),
+        (["a /* ' */ b // ' ", '"\x41" * /* " */'], ["a  b ", '"\x41" * ']),
+        (["x" * 200_000 + "'" + "\\x41" * 50_000 + "' // c"], ["x" * 200_000 + "'" + "\\x41" * 50_000 + "' "]),
+        (["/*" + "\n".join(["no"] * 3000) + "*/ yes"], ["\n" * 2999 + " yes"]),
     ],
 )
-def test_comments(rows, want):
-    assert strip_lines(rows) == want
+def test_comments(spark, rows, want):
+    assert one(spark, stripped_content(F.lit("\n".join(rows)))) == "\n".join(want)
+
+
+def slow_strip(content):
+    """Character by character, with the state that a line leaves to the next one."""
+    out, inside = [], False
+    for row in content.split("\n"):
+        kept, i = "", 0
+        while i < len(row):
+            if inside:
+                inside = row[i : i + 2] != "*/"
+                i += 1 if inside else 2
+            elif row[i] in "\"'`":
+                quote, j = row[i], i + 1
+                while j < len(row) and row[j] != quote:
+                    j += 2 if row[j] == "\\" else 1
+                kept, i = kept + row[i : j + 1], j + 1
+            elif row[i : i + 2] == "//":
+                break
+            elif row[i : i + 2] == "/*":
+                inside, i = True, i + 2
+            else:
+                kept, i = kept + row[i], i + 1
+        out.append(kept)
+    return "\n".join(out)
+
+
+def test_comments_of_random_contents(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["/", "*", "//", "/*", "*/", '"', "'", "`", "\\", "\n", "a", " é", "\\\n"]) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", stripped_content(F.col("t")).alias("x")).collect():
+        assert r["x"] == slow_strip(texts[r["i"]]), repr(texts[r["i"]])
 
 
 def test_levenshtein(spark):
