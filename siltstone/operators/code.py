@@ -187,12 +187,50 @@ def line_findings(files: DataFrame, rules: list[tuple] = patterns.RULES) -> Data
     return schema.findings(each, analyzer, F.col("h.severity"), F.col("h.category"), F.col("h.title"), _about(F.when(k == 0, F.col("code")).otherwise(raw)), path, F.col("line"), snippet, seq)
 
 
+#: Characters of a literal by which rules and lines meet.
+GRAM = 4
+#: Signs that a pattern may hold escaped, the escape's own first; each has a stand-in that is no character.
+_SIGNS = "\\.()[]{}|?*+^$/-\"'`=:;,<>!@#%&~ "
+_STAND_INS = "".join(chr(0xFDD0 + i) for i in range(len(_SIGNS)))
+_TIMES = r"(?:[?*+]|\{[^}]*\})[?+]?"
+
+
+def required_literal(pattern: Column) -> Column:
+    """The longest text that every match of a pattern holds, or null if none of GRAM characters is found.
+
+    Only what can't be optional counts: alternatives, groups, classes, flags, and characters with a
+    quantifier that allows none are left out, and other signs end a text."""
+    gap = "\x00"
+    p = pattern
+    for sign, stand_in in zip(_SIGNS, _STAND_INS, strict=True):
+        p = F.replace(p, F.lit(f"\\{sign}"), F.lit(stand_in))
+    p = F.regexp_replace(p, r"\\(?:[xu][0-9A-Fa-f]{2,4}|[pP]\{[^}]*\}|.)", gap)
+    p = F.regexp_replace(p, rf"\[\^?\]?[^\]]*\](?:{_TIMES})?", gap)
+    for _ in range(6):  # groups from the inside out
+        p = F.regexp_replace(p, rf"\([^()]*\)(?:{_TIMES})?", gap)
+    p = F.regexp_replace(F.regexp_replace(p, r".(?:[?*]|\{[^}]*\})[?+]?", gap), r"\+[?+]?|[.^$]", gap)
+    runs = F.filter(F.split(F.translate(p, _STAND_INS, _SIGNS), gap), lambda x: F.length(x) >= GRAM)
+    longest = F.array_max(F.transform(runs, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return F.when(~pattern.rlike(r"\(\?[a-zA-Z]") & ~p.rlike(r"[|()\[\]{}]"), longest)
+
+
 def rule_joins(files: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for rules (id, name, severity, category, pattern, file_regex, exclude_paths) that come
-    as a DataFrame: a nested-loop join of lines with rules, which Spark broadcasts if they are small.
-    ``severity`` and ``category`` hold the names of findings."""
-    path = F.col("path")
+    as a DataFrame, of any size. ``severity`` and ``category`` hold the names of findings.
+
+    A rule whose pattern needs a literal meets the lines that may match in an equi-join of that literal's
+    first characters with a line's distinct n-grams, and only such pairs are tried. Spark broadcasts the rules if they
+    are few; else a line moves once for each of its n-grams. Rules without a literal are tried on every line, in
+    a nested loop. Null patterns match nothing; repeated rules give repeated findings."""
+    path, raw = F.col("path"), F.col("raw")
+    known = rules.where("pattern is not null").withColumn("literal", required_literal(F.col("pattern")))
     lines = to_lines(files)
     allowed = F.coalesce(F.rlike(text.basename(path), F.col("file_regex")), F.lit(True)) & ~F.exists(F.coalesce("exclude_paths", F.array().cast("array<string>")), lambda e: F.contains(F.lower(path), F.lower(e)))
-    found = lines.join(rules, allowed & F.rlike("raw", F.col("pattern")))
-    return schema.findings(found, "rules", F.col("severity"), F.col("category"), F.concat(F.lit("["), "id", F.lit("] "), "name"), "a rule matched", path, F.col("line"), text.truncate(F.col("raw"), 120), F.col("line"))
+    matches = allowed & F.rlike(raw, F.col("pattern"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(raw) - (GRAM - 1)), lambda i: F.substring(raw, i, F.lit(GRAM))))
+    keyed = lines.where(F.length(raw) >= GRAM).withColumn("gram", F.explode(grams))
+    by_literal = known.where("literal is not null").withColumn("gram", F.left("literal", F.lit(GRAM)))
+    indexed = keyed.join(by_literal, "gram").where(F.contains(raw, F.col("literal")) & matches)
+    looped = lines.join(known.where("literal is null").drop("literal"), matches)
+    found = indexed.select(looped.columns).unionByName(looped)
+    return schema.findings(found, "rules", F.col("severity"), F.col("category"), F.concat(F.lit("["), "id", F.lit("] "), "name"), "a rule matched", path, F.col("line"), text.truncate(raw, 120), F.col("line"))

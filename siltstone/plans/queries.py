@@ -146,18 +146,25 @@ def _rules(spark, sf):
     return shown(code.rule_matches(fx.files(spark, sf)))
 
 
-_OWN_RULES = [("OWN-1", "Evaluates", "High", "CodeExecution", r"eval\(", r"\.js$", ["test/"]), ("OWN-2", "Environment", "Low", "EnvAccess", r"process\.env", None, None)]
+# A rule for each benchmark passage, of its first five words, and two of our own, one without a literal.
+_WORDS = r"'^[^A-Za-z]*([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)[^A-Za-z]+([A-Za-z]+)'"
+_RULE_TABLE = "id string, name string, severity string, category string, pattern string, file_regex string, exclude_paths array<string>"
+_OWN_RULES = [("OWN-1", "Evaluates", "High", "CodeExecution", r"eval\(", r"\.js$", ["test/"]), ("OWN-2", "Environment", "Low", "EnvAccess", r"process\.env", None, None), ("OWN-3", "Call or socket", "Medium", "NetworkAccess", r"\bnew\s+Web|fs\.|net\.", None, None)]
 
 
 @query(
     "rule_join",
-    rf"""WITH {fx.FILES_SQL} SELECT package, version, 'High' AS severity, 'CodeExecution' AS category, '[OWN-1] Evaluates' AS title, path AS file, line::INT AS line, {fx.cut_sql("raw", 120)} AS snippet FROM lines
-    WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '\.js$') AND NOT contains(lower(path), 'test/') AND regexp_matches(raw, 'eval\(')
-    UNION ALL SELECT package, version, 'Low', 'EnvAccess', '[OWN-2] Environment', path, line::INT, {fx.cut_sql("raw", 120)} FROM lines WHERE regexp_matches(raw, 'process\.env')""",
+    rf"""WITH {fx.FILES_SQL}, words AS (SELECT item_id, [{", ".join(f"regexp_extract(text, {_WORDS}, {i})" for i in range(1, 6))}] AS w FROM benchmark),
+    rules AS (SELECT 'B-' || item_id AS id, 'Passage' AS name, 'Info' AS severity, 'Suspicious' AS category, array_to_string(w, '[^A-Za-z]+') AS pattern FROM words WHERE w[5] <> ''
+    UNION ALL VALUES ('OWN-1', 'Evaluates', 'High', 'CodeExecution', 'eval\('), ('OWN-2', 'Environment', 'Low', 'EnvAccess', 'process\.env'), ('OWN-3', 'Call or socket', 'Medium', 'NetworkAccess', '\bnew\s+Web|fs\.|net\.'))
+    SELECT package, version, severity, category, '[' || id || '] ' || name AS title, path AS file, line::INT AS line, {fx.cut_sql("raw", 120)} AS snippet FROM lines JOIN rules ON regexp_matches(raw, pattern)
+    WHERE id <> 'OWN-1' OR (regexp_matches(regexp_extract(path, '[^/]*$'), '\.js$') AND NOT contains(lower(path), 'test/'))""",
 )
 def _rule_join(spark, sf):
-    rules = spark.createDataFrame(_OWN_RULES, "id string, name string, severity string, category string, pattern string, file_regex string, exclude_paths array<string>")
-    return shown(code.rule_joins(fx.files(spark, sf), rules))
+    words = F.array(*(F.regexp_extract("text", _WORDS.strip("'"), i) for i in range(1, 6)))
+    passages = read(spark, sf, "benchmark").withColumn("w", words).where(F.get("w", F.lit(4)) != "")
+    of_passages = passages.select(F.concat(F.lit("B-"), F.col("item_id").cast("string")).alias("id"), F.lit("Passage").alias("name"), F.lit("Info").alias("severity"), F.lit("Suspicious").alias("category"), F.array_join("w", "[^A-Za-z]+").alias("pattern"), F.lit(None).cast("string").alias("file_regex"), F.lit(None).cast("array<string>").alias("exclude_paths"))
+    return shown(code.rule_joins(fx.files(spark, sf), of_passages.unionByName(spark.createDataFrame(_OWN_RULES, _RULE_TABLE))))
 
 
 # What each piece of code is known to hold, written out: piece, whether it is inside a function (null: either

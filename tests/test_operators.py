@@ -58,6 +58,45 @@ def test_obfuscation(spark):
     assert titles == {"Long hex string detected", "Minified code in non-minified file", "Excessive string escaping", "Long base64 string detected"}
 
 
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        (r"eval\(", "eval("),
+        (r"process\.env\b.*x", "process.env"),
+        (r"abcd|efgh", None),
+        (r"(?i)password", None),
+        (r"(?:abcd)?wxyz+q", "wxyz"),
+        (r"abc[de]+fghij?", "fghi"),
+        (r"\\(abc)defg", "defg"),
+        (r"x\\\.yz.*?last", "x\\.yz"),
+        (r"ab{2,3}cdefg\d{3}", "cdefg"),
+        (r"a(b(c(d)e)f)g", None),
+        (r"^start$", "start"),
+        (r"stratum\+tcp://", "stratum+tcp://"),
+        ("", None),
+    ],
+)
+def test_required_literal(spark, pattern, want):
+    assert spark.range(1).select(code.required_literal(F.lit(pattern)).alias("x")).first()["x"] == want
+
+
+def test_rule_joins_equal_a_loop(spark):
+    import random
+    import re
+
+    rng = random.Random(2)
+    texts = ["\n".join("".join(rng.choice(["eval(", "abcd", "x", " ", "fetch", "é", "("]) for _ in range(rng.randint(0, 12))) for _ in range(20)) for _ in range(10)]
+    words = ["".join(rng.choice("abcdefx") for _ in range(5)) for _ in range(990)] + ["abcd", r"eval\(x?", r"fetch\s*x", "é{1,2}abcd", r"x|\(", r"abcd\(", "abcd"]
+    rules = [(f"R{i}", "n", "Low", "Suspicious", w, None if i % 2 else r"\.js$", ["f3"] if i % 3 == 0 else None) for i, w in enumerate(words)] + [("null", "n", "Low", "Suspicious", None, None, None)]
+    df = spark.createDataFrame(rules, "id string, name string, severity string, category string, pattern string, file_regex string, exclude_paths array<string>")
+    fs = files(spark, *((f"f{i}.{'js' if i % 2 else 'md'}", t) for i, t in enumerate(texts)))
+    found = code.rule_joins(fs, df)
+    want = sorted((f"f{i}.{'js' if i % 2 else 'md'}", n, r[0]) for i, t in enumerate(texts) for n, line in enumerate(t.split("\n"), 1) for r in rules if r[4] and re.search(r[4], line) and (r[5] is None or i % 2) and not (r[6] and i == 3))
+    assert sorted((r["file"], r["line"], r["title"][1:-3]) for r in found.collect()) == want and len(want) > 100
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("NestedLoop") + plan.count("CartesianProduct") == 1  # of the rules without a literal only
+
+
 def test_rules(spark):
     evil = 'var x = eval(Buffer.from("dGVzdA==", "base64").toString());'
     hits = code.rule_matches(files(spark, ("index.js", evil), ("bundle.min.js", evil), ("readme.md", evil), ("latest/x.js", "__proto__ = 1")))
