@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone import schema
-from siltstone.functions import names, text
+from siltstone.functions import names, storage, text
 from siltstone.operators import patterns
 
 _JS = r"\.(js|cjs|mjs|ts|tsx|jsx)$"
@@ -98,37 +98,48 @@ def resolve(specs: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def tree(roots: DataFrame, dependencies: DataFrame, versions: DataFrame, depth: int = MOST_DEPTH) -> DataFrame:
-    """(root, name, spec, resolved, depth): each name and spec that a root reaches, at its least depth.
+    """(root, name, spec, resolved, depth, place, kids): each name and spec that a root reaches, at its least depth.
 
     ``roots``: root, spec; ``dependencies``: package, version, dep, spec. One join a level, against the
-    frontier only, which is kept for the next level and can be computed anew if it is lost; what was seen is left out by an anti join, so diamonds don't multiply."""
-    level = resolve(roots.select("root", F.col("root").alias("name"), "spec"), versions).withColumn("depth", F.lit(0)).persist()
+    frontier only; what was seen is left out by an anti join, so diamonds don't multiply. Each level is written once.
+    ``place`` is the place of the parent followed by the dependency's own, by name and specifier, so within a depth
+    it orders packages as a queue would take them; of several parents the first counts. ``kids``: dependencies that would be queued."""
+    nth = Window.partitionBy("package", "version").orderBy("dep", "spec")
+    listed = storage.stored(dependencies.select("package", "version", "dep", "spec").distinct().withColumn("nth", F.row_number().over(nth)), "dependencies")
+    kids = listed.groupBy(F.col("package").alias("name"), F.col("version").alias("resolved")).agg(F.max("nth").alias("kids"))
+    level = storage.stored(resolve(roots.select("root", F.col("root").alias("name"), "spec").distinct(), versions).withColumns({"depth": F.lit(0), "place": F.array().cast("array<int>")}), "level")
     seen = level
     for d in range(1, depth + 1):
-        step = level.select("root", F.col("name").alias("package"), F.col("resolved").alias("version")).distinct().join(dependencies, ["package", "version"]).select("root", F.col("dep").alias("name"), "spec").distinct()
-        level = resolve(step.join(seen.select("root", "name", "spec"), ["root", "name", "spec"], "left_anti"), versions).withColumn("depth", F.lit(d)).persist()
+        step = level.select("root", F.col("name").alias("package"), F.col("resolved").alias("version"), "place").join(listed, ["package", "version"]).select("root", F.col("dep").alias("name"), "spec", F.concat("place", F.array("nth")).alias("place"))
+        new = step.join(seen.select("root", "name", "spec"), ["root", "name", "spec"], "left_anti").groupBy("root", "name", "spec").agg(F.min("place").alias("place"))
+        level = storage.stored(resolve(new, versions).withColumn("depth", F.lit(d)).select(level.columns), "level")
         seen = seen.unionByName(level)
-    return seen
+    return seen.join(kids, ["name", "resolved"], "left").withColumn("kids", F.when(F.col("depth") < depth, F.coalesce("kids", F.lit(0))).otherwise(0))
 
 
 def dependency_risks(found: DataFrame, versions: DataFrame, scripts: DataFrame, now: Column, most: int = MOST_PACKAGES) -> DataFrame:
     """Findings for a ``tree``; ``versions``: package, version, deprecated, created_ts, n_versions;
-    ``scripts``: package, version, hook. A tree's first ``most`` packages by depth, name and spec count."""
-    rank = F.expr("row_number() over (partition by root order by depth, name, spec)")
-    inner = found.where("depth > 0").withColumn("rank", rank)
-    kept = inner.where(F.col("rank") <= most)
+    ``scripts``: package, version, hook. A tree's first ``most`` packages count, in the order of a queue. The limit is
+    reached if anything is still queued then, even what was seen before."""
+    order = Window.partitionBy("root").orderBy("depth", "place")
+    inner = found.where("depth > 0").withColumn("rank", F.row_number().over(order))
+    kept = storage.stored(inner.where(F.col("rank") <= most), "counted")
+    at = F.struct("depth", "place")
+    # The last that was queued: the last dependency of a counted package, or of the root.
+    queued = F.max(F.when(F.col("kids") > 0, F.struct((F.col("depth") + 1).alias("depth"), F.concat("place", F.array("kids")).alias("place"))))
+    ends = kept.select("root", "rank", "depth", "place", "kids").unionByName(found.where("depth = 0").select("root", F.lit(0).alias("rank"), "depth", "place", "kids"))
+    counts = ends.groupBy("root").agg(F.max("rank").alias("n"), F.max(F.when(F.col("rank") == most, at)).alias("stop"), queued.alias("queued"))
     about = kept.join(versions.select(F.col("package").alias("name"), F.col("version").alias("resolved"), "deprecated", "created_ts", "n_versions"), ["name", "resolved"], "left")
     hooked = kept.join(scripts.where(F.col("hook").isin("preinstall", "install", "postinstall")).select(F.col("package").alias("name"), F.col("version").alias("resolved")).distinct(), ["name", "resolved"])
     label = F.concat("name", F.lit("@"), "resolved")
     age = names.rough_day(F.date_format(now, "yyyy-MM-dd")) - names.rough_day(F.col("created_ts"))
     new = lambda df, severity, title, seq: schema.findings(df.select(F.col("root").alias("package"), F.lit(None).cast("string").alias("version"), *[c for c in df.columns if c not in ("root", "package", "version")]), "dependencies", severity, "DependencyRisk", title, "in the tree of dependencies", seq=seq)
-    counts = inner.groupBy("root").agg(F.count("*").alias("n"))
     return schema.union(
         [
             new(hooked, "High", F.concat(F.lit("Transitive dependency has install scripts: "), label), F.col("rank") * 10),
             new(about.where("deprecated is not null"), "Medium", F.concat(F.lit("Transitive dependency is deprecated: "), label), F.col("rank") * 10 + 1),
             new(about.where((F.col("n_versions") <= 1) & (age < 7)), "High", F.concat(F.lit("Transitive dependency is very new: "), label), F.col("rank") * 10 + 2),
-            new(counts.where(F.col("n") > most), "Low", "Dependency tree scan limit reached", 1_000_000),
-            new(counts.where(F.col("n") > LARGE_TREE), "Low", F.concat(F.lit("Large transitive dependency tree: "), F.least("n", F.lit(most)).cast("string"), F.lit(" packages")), 1_000_001),
+            new(counts.where(F.col("queued") > F.col("stop")), "Low", "Dependency tree scan limit reached", 1_000_000),
+            new(counts.where(F.col("n") > LARGE_TREE), "Low", F.concat(F.lit("Large transitive dependency tree: "), F.col("n").cast("string"), F.lit(" packages")), 1_000_001),
         ]
     )

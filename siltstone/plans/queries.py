@@ -637,6 +637,41 @@ def _tree_risks(spark, sf):
     return versions.dependency_risks(versions.tree(roots, deps, vers), vers, scripts, F.lit("2026-02-01").cast("timestamp")).select("package", "severity", "title")
 
 
+# Wide trees: ten packages for each part, of six dependencies each, so that most trees pass the limit.
+_WIDE_N = "((SELECT count(*) FROM part) * 10)"
+_WIDE_SQL = f"""ids AS (SELECT p_partkey * 10 + i AS node FROM part, range(10) t(i)),
+e AS (SELECT node, d, row_number() OVER (PARTITION BY node ORDER BY d::VARCHAR) AS nth FROM (SELECT DISTINCT node, (node * 7 + j * j * 31 + j * (node % 3)) % {_WIDE_N} AS d FROM ids, range(6) t(j))),
+kids AS (SELECT node, count(*) AS kids FROM e GROUP BY node),
+t0 AS (SELECT p_partkey * 10 AS root, p_partkey * 10 AS node, []::BIGINT[] AS place FROM part),
+t1 AS (SELECT root, d AS node, min(list_append(place, nth)) AS place FROM t0 JOIN e USING (node) GROUP BY root, d),
+t2 AS (SELECT root, d AS node, min(list_append(place, nth)) AS place FROM t1 JOIN e USING (node) WHERE NOT EXISTS (SELECT 1 FROM t1 x WHERE x.root = t1.root AND x.node = d) GROUP BY root, d),
+t3 AS (SELECT root, d AS node, min(list_append(place, nth)) AS place FROM t2 JOIN e USING (node) WHERE NOT EXISTS (SELECT 1 FROM t1 x WHERE x.root = t2.root AND x.node = d) AND NOT EXISTS (SELECT 1 FROM t2 x WHERE x.root = t2.root AND x.node = d) GROUP BY root, d),
+trees AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY depth, place) - 1 AS r FROM (SELECT *, 0 AS depth FROM t0 UNION ALL SELECT *, 1 FROM t1 UNION ALL SELECT *, 2 FROM t2 UNION ALL SELECT *, 3 FROM t3)),
+counted AS (SELECT trees.*, CASE WHEN depth < 3 THEN coalesce(kids, 0) ELSE 0 END AS kids FROM trees LEFT JOIN kids USING (node) WHERE r <= 200),
+pushed AS (SELECT root, max([depth + 1] || place || [kids]) FILTER (kids > 0) AS q FROM counted GROUP BY root),
+stops AS (SELECT root, [depth] || place AS s FROM counted WHERE r = 200)"""
+
+
+@query(
+    "dependency_limits",
+    f"""WITH {_WIDE_SQL}
+    SELECT root::VARCHAR AS package, 'Medium' AS severity, 'Transitive dependency is deprecated: ' || node || '@1.0.0' AS title FROM counted JOIN ids USING (node) WHERE r > 0 AND node % 13 = 0
+    UNION ALL SELECT root::VARCHAR, 'Low', 'Dependency tree scan limit reached' FROM pushed JOIN stops USING (root) WHERE q > s
+    UNION ALL SELECT root::VARCHAR, 'Low', 'Large transitive dependency tree: ' || max(r) || ' packages' FROM counted GROUP BY root HAVING max(r) > 100""",
+)
+def _tree_limits(spark, sf):
+    part = read(spark, sf, "part").select("p_partkey")
+    nodes = part.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.col("p_partkey") * 10 + i)).alias("node"))
+    size = part.count() * 10
+    target = lambda j: (F.col("node") * 7 + j * j * 31 + j * (F.col("node") % 3)) % size
+    edges = nodes.select("node", F.explode(F.array(*(target(j) for j in range(6)))).alias("dep"))
+    deps = edges.select(F.col("node").cast("string").alias("package"), F.lit("1.0.0").alias("version"), F.col("dep").cast("string").alias("dep"), F.lit("^1.0.0").alias("spec"))
+    known = nodes.select(F.col("node").cast("string").alias("package"), F.lit("1.0.0").alias("version"), F.lit(True).alias("latest"), F.when(F.col("node") % 13 == 0, "old").alias("deprecated"), F.lit("2020-01-01").alias("created_ts"), F.lit(3).alias("n_versions"))
+    roots = part.select((F.col("p_partkey") * 10).cast("string").alias("root"), F.lit("1.0.0").alias("spec"))
+    hooks = known.where("false").select("package", "version", F.lit("install").alias("hook"))
+    return versions.dependency_risks(versions.tree(roots, deps, known), known, hooks, F.lit("2026-02-01").cast("timestamp")).select("package", "severity", "title")
+
+
 # --- scalars -------------------------------------------------------------------------------------
 
 _SPECS = ["axios", "axios@1.7.0", "@scope/pkg", "@scope/pkg@1.0.0", "left-pad@^1.3.0"]
