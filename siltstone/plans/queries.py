@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone import schema
-from siltstone.functions import names, text
+from siltstone.functions import names, storage, text
 from siltstone.operators import binary, code, flow, metadata, patterns, structure, versions
 from siltstone.plans import fixtures as fx
-from siltstone.plans import report
+from siltstone.plans import cache, report
 from siltstone.sources import packages as sources
 from siltstone.streaming import feed
 
@@ -349,6 +350,26 @@ def _sarif(spark, sf):
     return read_.select("package", "version", F.col("j.$schema").alias("schema_uri"), F.col("j.version").alias("sarif_version"), F.array_join(rules, ",").alias("rules"), F.array_join(results, "; ").alias("results"))
 
 
+@query(
+    "sarif_run",
+    f"""WITH {_ALL_SQL}, {_PLACED}
+    SELECT 'result' AS piece, {_RULE_ID} AS rule_id, {_LEVEL} AS level, path AS uri, line::INT AS start_line FROM placed
+    UNION ALL SELECT 'rule', {_RULE_ID} AS rule_id, arg_min({_LEVEL}, (package, k)), NULL, NULL FROM placed GROUP BY category""",
+)
+def _sarif_run(spark, sf):
+    path = f"{storage.shared_dir(spark)}/sarif-{uuid.uuid4().hex}"
+    report.write_sarif(report.sarif_run(_found(spark, sf)[1]), path)
+    pieces = spark.read.text(path)
+    result = F.from_json(F.ltrim("value", F.lit(",")), "ruleId string, level string, locations array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, region: struct<startLine: int>>>>")
+    results = pieces.where(F.ltrim("value", F.lit(",")).startswith('{"ruleId"')).select(result.alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    head = F.from_json(F.regexp_extract("value", r'"driver":(.*)\},"results":\[$', 1), "rules array<struct<id: string, shortDescription: struct<text: string>, defaultConfiguration: struct<level: string>>>")
+    rules = pieces.where(F.col("value").startswith('{"$schema"')).select(F.explode(head["rules"]).alias("r"))
+    return results.select(F.lit("result").alias("piece"), F.col("r.ruleId").alias("rule_id"), "r.level", place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line")).unionByName(
+        rules.select(F.lit("rule").alias("piece"), F.col("r.id").alias("rule_id"), F.col("r.defaultConfiguration.level").alias("level"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("int").alias("start_line"))
+    )
+
+
 @query(
     "report_text",
     f"""WITH {_ALL_SQL}, {_PLACED}, per AS (SELECT package, string_agg(chr(10) || '  [' || upper(severity) || '] ' || {_map_sql("category", [(c, d) for c, d, _ in schema.CATEGORIES])} || ': ' || title || ' (' || path || ':' || cast(line AS VARCHAR) || ')', '' ORDER BY k) AS rows FROM placed GROUP BY package)
@@ -377,6 +398,23 @@ def _cache(spark, sf):
     return report.pending(wanted, cached).select("package")
 
 
+@query(
+    "cache_log",
+    f"""WITH best AS (SELECT {_CACHE} AS package, cast(o_custkey % 3 as string) AS version, o_totalprice AS risk_score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_totalprice DESC) AS k FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' - INTERVAL 400 DAY)
+    SELECT package, version, risk_score FROM best WHERE k = 1""",
+)
+def _cache_log(spark, sf):
+    """Reports saved by year, pruned between, and read back from what the log names."""
+    path = f"{storage.shared_dir(spark)}/cache-{uuid.uuid4().hex}"
+    orders = read(spark, sf, "orders").select(F.expr(_CACHE).alias("package"), F.expr("cast(o_custkey % 3 as string)").alias("version"), F.col("o_totalprice").alias("risk_score"), F.col("o_orderdate").cast("timestamp").alias("saved_at"))
+    late, now = F.year("saved_at") >= 1997, F.lit("1998-01-01").cast("timestamp")
+    cache.save(orders.where(~late), path, F.col("saved_at"))
+    cache.prune(spark, path, now, 400 * 86_400)
+    cache.save(orders.where(late), path, F.col("saved_at"))
+    cache.prune(spark, path, now, 400 * 86_400)
+    return cache.load(spark, path).select("package", "version", "risk_score")
+
+
 # --- metadata ------------------------------------------------------------------------------------
 
 _NAMES = ["react", "reakt", "raect", "lodas", "1odash", "ex-press", "@evil/lodash", "vuex", "pug", "axois", "axio", "expresss", "react-router", "eslint-plugin-react", "lodahs", "lodash", "@types/react", "api-helper", "my-json-utils", "chalk-cli", "m0ment", "momemt", "zod", "zed", "cors", "core", "socketio", "body_parser", "dayls", "totally-different", "nextt", "sharq", "Express", "pinno", "lnoex", "knex2", "uuid4", "debvg", "jest-mock", "gl0b"]

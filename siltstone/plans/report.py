@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone import schema
@@ -82,11 +82,41 @@ def as_sarif(reported: DataFrame, prefix: str = "siltstone") -> DataFrame:
     results = F.transform("findings", lambda f: F.struct(rule(f).alias("ruleId"), schema.severity_level(f["severity"]).alias("level"), F.struct(f["description"].alias("text")).alias("message"), F.array(place(f)).alias("locations")))
     names = F.array_distinct(F.transform("findings", lambda f: f["category"]))
     first = lambda c: F.get(F.filter("findings", lambda f: f["category"] == c), F.lit(0))["severity"]
-    rules = F.array_sort(F.transform(names, lambda c: F.struct(F.concat(F.lit(prefix + "/"), schema.category_rule(c)).alias("id"), schema.category_display(c).alias("name"), F.struct(schema.severity_level(first(c)).alias("level")).alias("defaultConfiguration"))))
+    rules = F.array_sort(F.transform(names, lambda c: F.struct(F.concat(F.lit(prefix + "/"), schema.category_rule(c)).alias("id"), schema.category_display(c).alias("name"), F.struct(schema.category_display(c).alias("text")).alias("shortDescription"), F.struct(schema.severity_level(first(c)).alias("level")).alias("defaultConfiguration"))))
     run = F.struct(F.struct(F.struct(F.lit(prefix).alias("name"), rules.alias("rules")).alias("driver")).alias("tool"), results.alias("results"))
     return reported.select("package", "version", F.to_json(F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("sarif"))
 
 
+def sarif_run(findings: DataFrame, prefix: str = "siltstone") -> DataFrame:
+    """(package, version, pos, text): one SARIF run over the findings of many reports, in pieces.
+
+    Joined in the order of package, version and pos the pieces are one JSON document: a head with the rules, which are as few as
+    categories, a piece for each finding, and a tail; head and tail have nulls, and positions below and above all others. A rule's level is that of its first finding.
+    No row holds more than one finding."""
+    placed = ordered(findings)
+    at = F.struct("package", "version", "pos")
+    first = placed.groupBy("category").agg(F.min_by("severity", at).alias("severity"), F.min(at).alias("at"))
+    rule = F.struct(F.concat(F.lit(prefix + "/"), schema.category_rule()).alias("id"), schema.category_display().alias("name"), F.struct(schema.category_display().alias("text")).alias("shortDescription"), F.struct(schema.severity_level().alias("level")).alias("defaultConfiguration"))
+    driver = F.struct(F.lit(prefix).alias("name"), F.coalesce(F.array_sort(F.collect_list(rule)), F.array().cast(first.select(F.array(rule)).schema[0].dataType)).alias("rules"))
+    edge = lambda pos: [F.lit(None).cast("string").alias("package"), F.lit(None).cast("string").alias("version"), F.lit(pos).alias("pos")]
+    head = first.agg(driver.alias("driver")).select(*edge(-1), F.concat(F.lit(f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":'), F.to_json("driver"), F.lit('},"results":[')).alias("text"))
+    tail = findings.sparkSession.range(1).select(*edge(1), F.lit("]}]}").alias("text"))
+    uri = F.coalesce("file", F.concat("package", F.lit("@"), "version"))
+    place = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct(F.coalesce("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
+    result = F.to_json(F.struct(F.concat(F.lit(prefix + "/"), schema.category_rule()).alias("ruleId"), schema.severity_level().alias("level"), F.struct(F.col("description").alias("text")).alias("message"), F.array(place).alias("locations")))
+    # Every finding but the very first one, which its category's row knows, follows a comma.
+    begins = first.agg(F.min("at").alias("begin")).select("begin.*").withColumn("begins", F.lit(True))
+    marked = placed.withColumn("text", result).join(begins, ["package", "version", "pos"], "left")
+    body = marked.select("package", "version", "pos", F.concat(F.when(F.col("begins"), "").otherwise(","), "text").alias("text"))
+    return head.unionByName(body).unionByName(tail)
+
+
+def write_sarif(run: DataFrame, path: str) -> None:
+    """The pieces of a ``sarif_run`` as text files, which joined in the order of their names are the document."""
+    edge = F.when(F.col("package").isNull(), F.col("pos")).otherwise(F.lit(0))
+    run.orderBy(edge, "package", "version", "pos").select("text").write.text(path)
+
+
 def buckets(scored: DataFrame) -> DataFrame:
     """(bucket, n): critical, high, medium, and clean with low."""
     bucket = F.when(F.col("risk_label").isin("Low", "Clean"), "clean").otherwise(F.lower("risk_label"))
@@ -116,32 +146,14 @@ def gate(scored: DataFrame, force: bool = False) -> DataFrame:
     return scored.select("package", "version", "risk_label", (F.lit(force) | ~F.col("risk_label").isin("High", "Critical")).alias("approved"))
 
 
-def save(scored: DataFrame, path: str, now: Column, rules_hash: str = "") -> None:
-    """Appends reports to the cache table."""
-    scored.withColumns({"saved_at": now, "rules_hash": F.lit(rules_hash)}).write.mode("append").parquet(path)
-
-
 def fresh(cache: DataFrame, now: Column, seconds: int = 86_400, rules_hash: str | None = None) -> DataFrame:
     """Cached reports that aren't older than ``seconds``, the newest of each package version."""
     kept = cache.where(F.unix_timestamp(now) - F.unix_timestamp("saved_at") <= seconds)
     if rules_hash is not None:
         kept = kept.where(F.col("rules_hash") == rules_hash)
-    best = kept.groupBy("package", "version").agg(F.max_by(F.struct(*kept.columns), "saved_at").alias("r"))
-    return best.select("r.*")
-
-
-def clear(spark: SparkSession, path: str) -> bool:
-    """Deletes the cache table; whether there was one."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def prune(spark: SparkSession, path: str, now: Column, seconds: int = 86_400) -> None:
-    """Rewrites the cache table without what is older than ``seconds`` or superseded."""
-    fresh(spark.read.parquet(path), now, seconds).write.mode("overwrite").parquet(f"{path}.next")
-    clear(spark, path)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(hadoop.Path(f"{path}.next"), hadoop.Path(path))
+    rest = [c for c in kept.columns if c != "saved_at"]
+    best = kept.groupBy("package", "version").agg(F.max(F.struct("saved_at", *rest)).alias("r"))
+    return best.select(*(F.col(f"r.{c}").alias(c) for c in kept.columns))
 
 
 def pending(packages: DataFrame, cached: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import binary, code, metadata, structure, versions
-from siltstone.plans import report, scan
+from siltstone.plans import cache, report, scan
 from siltstone.sources import packages as sources
 
 
@@ -225,18 +225,83 @@ def test_scan(spark, tmp_path):
     rules = spark.createDataFrame([("code execution",), ("medium",)], "rule string")
     assert {r["package"]: r["risk_score"] for r in scan.scan(tables, ignore=rules).collect()} == {"p": 1.5, "q": 0.0}
     now = F.lit("2026-01-02 00:00:00").cast("timestamp")
-    report.save(scored, str(tmp_path / "cache"), F.lit("2026-01-01 00:00:00").cast("timestamp"))
-    cached = report.fresh(spark.read.parquet(str(tmp_path / "cache")), now)
+    path = str(tmp_path / "cache")
+    assert cache.load(spark, path) is None
+    cache.save(scored, path, F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    cached = report.fresh(cache.load(spark, path), now)
     assert report.pending(clean, cached).count() == 0
-    assert report.fresh(spark.read.parquet(str(tmp_path / "cache")), now, 3600).count() == 0
+    assert report.fresh(cache.load(spark, path), now, 3600).count() == 0
     assert {r["package"]: r["risk_label"] for r in scan.scan(tables, cached=cached).collect()} == {"p": "Critical", "q": "Clean"}
     assert {r["package"]: r["approved"] for r in report.gate(scored).collect()} == {"p": False, "q": True}
     assert report.exit_code(scored).first()["code"] == 1
-    report.prune(spark, str(tmp_path / "cache"), now)
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 2
-    report.prune(spark, str(tmp_path / "cache"), now, 3600)
-    assert spark.read.parquet(str(tmp_path / "cache")).count() == 0
-    assert report.clear(spark, str(tmp_path / "cache")) and not (tmp_path / "cache").exists() and not report.clear(spark, str(tmp_path / "cache"))
+    cache.prune(spark, path, now)
+    assert cache.load(spark, path).count() == 2
+    cache.prune(spark, path, now, 3600)
+    assert cache.load(spark, path).count() == 0
+    assert cache.clear(spark, path) and not (tmp_path / "cache").exists() and not cache.clear(spark, path)
+
+
+def test_cache_survives_what_stops_it(spark, tmp_path, monkeypatch):
+    path, now = str(tmp_path / "cache"), F.lit("2026-01-02 00:00:00").cast("timestamp")
+    one = lambda name: spark.createDataFrame([(name, "1", 1.0)], "package string, version string, risk_score double")
+    names_ = lambda: sorted(r["package"] for r in cache.load(spark, path).collect())
+    cache.save(one("a"), path, now)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    for step in ("commit", "_renamed"):  # data is written, and then the entry is too but isn't in place
+        with monkeypatch.context() as m:
+            m.setattr(cache.Log, step, stop)
+            for work in (lambda: cache.save(one("lost"), path, now), lambda: cache.prune(spark, path, now)):
+                with pytest.raises(RuntimeError, match="stopped"):
+                    work()
+        assert names_() == ["a"]
+    with monkeypatch.context() as m:  # the entry is in place, but nothing is removed
+        m.setattr(cache, "swept", stop)
+        with pytest.raises(RuntimeError, match="stopped"):
+            cache.prune(spark, path, now)
+    assert names_() == ["a"]
+    # Another writer is first, in the midst of a prune: its reports stay.
+    commit = cache.Log.commit
+
+    def late(log, change):
+        monkeypatch.setattr(cache.Log, "commit", commit)
+        cache.save(one("b"), path, now)
+        return commit(log, change)
+
+    monkeypatch.setattr(cache.Log, "commit", late)
+    cache.prune(spark, path, now)
+    assert names_() == ["a", "b"]
+    # Two writers try the same entry: a rename doesn't replace it.
+    entries = cache.Log.entries
+    stale = [entries(cache.Log(spark, path))[:-1]]
+    monkeypatch.setattr(cache.Log, "entries", lambda log: stale.pop() if stale else entries(log))
+    cache.save(one("c"), path, now)
+    assert names_() == ["a", "b", "c"] and not stale
+    for _ in range(3):
+        cache.prune(spark, path, now)
+    assert names_() == ["a", "b", "c"]
+    folders = lambda: set(cache.Log(spark, path).names("data"))
+    assert len(entries(cache.Log(spark, path))) == cache.KEPT_ENTRIES and len(folders()) > cache.KEPT_ENTRIES  # young strays stay
+    cache.swept(cache.Log(spark, path), age=0)
+    assert len(folders()) == cache.KEPT_ENTRIES and names_() == ["a", "b", "c"]
+
+
+def test_sarif_of_many_reports(spark, tmp_path):
+    import json
+
+    fs = spark.createDataFrame([(f"p{i % 7}", "1.0.0", f"f{i}.js", "eval(x);\nfetch(u);\nfs.writeFileSync(a, b)") for i in range(40)], "package string, version string, path string, content string")
+    for found in (code.static_code(fs), code.static_code(fs.limit(0))):
+        path = tmp_path / f"run{found.count()}"
+        report.write_sarif(report.sarif_run(found), str(path))
+        document = json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))
+        results = document["runs"][0]["results"]
+        want = [(r["package"], r["file"], r["line"]) for r in report.ordered(found).orderBy("package", "version", "pos").collect()]
+        assert [(x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], x["locations"][0]["physicalLocation"]["region"]["startLine"]) for x in results] == [w[1:] for w in want]
+        rules = document["runs"][0]["tool"]["driver"]["rules"]
+        assert [r["id"] for r in rules] == sorted(r["id"] for r in rules) and all(r["shortDescription"]["text"] for r in rules) and bool(rules) == bool(want)
+    assert {r["id"]: r["defaultConfiguration"]["level"] for r in rules} == {}
 
 
 def test_check_with_options(spark):
