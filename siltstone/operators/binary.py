@@ -35,8 +35,8 @@ def scan(binaries: DataFrame) -> DataFrame:
     dense = known.where(F.octet_length("data") > 1024).withColumn("entropy", text.byte_entropy("data")).where("entropy > 7.5")
     return schema.union(
         [
-            schema.findings(known, "binary", F.when(native, "High").otherwise("Medium"), "BinaryFile", F.concat(F.when(native, "Native binary file: ").otherwise("WebAssembly file: "), path), "a binary in the package", path),
-            schema.findings(found, "binary", "Critical", "BinaryFile", F.concat("h.title", path), "a string in a binary", path, None, text.truncate_bytes(s, 100), F.col("h.i") * 1_000_000 + F.col("pos") + 1),
-            schema.findings(dense, "binary", "High", "BinaryFile", F.concat(F.lit("High-entropy binary: "), path), "packed or encrypted content", path, seq=F.lit(9_000_000)),
+            schema.findings(known, "binary", F.when(native, "High").otherwise("Medium"), "BinaryFile", F.concat(F.when(native, "Native binary file: ").otherwise("WebAssembly file: "), path), F.concat(F.lit("Compiled code, "), F.octet_length("data").cast("string"), F.lit(" bytes, that no source shows")), path),
+            schema.findings(found, "binary", "Critical", "BinaryFile", F.concat("h.title", path), F.concat(F.lit("String "), (F.col("pos") + 1).cast("string"), F.lit(" of the binary: "), text.truncate_bytes(s, 60)), path, None, text.truncate_bytes(s, 100), F.col("h.i") * 1_000_000 + F.col("pos") + 1),
+            schema.findings(dense, "binary", "High", "BinaryFile", F.concat(F.lit("High-entropy binary: "), path), F.concat(F.format_number("entropy", 2), F.lit(" bits a byte: packed or encrypted content")), path, seq=F.lit(9_000_000)),
         ]
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone import schema
@@ -69,15 +69,18 @@ def maintainers(packages: DataFrame, versions: DataFrame) -> DataFrame:
     moved = F.filter("new", lambda m: F.try_element_at(F.col("domains"), names.maintainer_key(m["name"], m["email"])) != F.lower(names.email_domain(m["email"])))
     single = pairs.withColumn("old", F.transform(F.array_distinct(F.transform("old", lambda m: names.maintainer_key(m["name"], m["email"]))), lambda k: F.element_at(F.filter("old", lambda m: names.maintainer_key(m["name"], m["email"]) == k), -1)))
     changed = single.withColumn("domains", domains).select("package", "version", F.explode(moved).alias("m"))
-    new = lambda df, severity, title, seq: schema.findings(df, "maintainer", severity, "MaintainerChange", title, "maintainer change", seq=seq)
+    new = lambda df, severity, title, seq, about: schema.findings(df, "maintainer", severity, "MaintainerChange", title, about, seq=seq)
+    who = lambda a: F.coalesce(F.array_join(F.array_sort(a), ", "), F.lit(""))
+    person = F.coalesce("m.name", "m.email", F.lit("?"))
+    joined = F.concat(F.lit("New since the version before: "), who(F.array_except("b", "a")))
     return schema.union(
         [
-            new(now.where(F.size("maintainers") == 1), "Low", "Single maintainer (bus factor risk)", 0),
-            new(sets.where((F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b")), "Critical", "Complete ownership transfer", 1),
-            new(added.where(names.rough_day(F.col("ts")).isNotNull()), "High", "New maintainer added recently", 2),
-            new(added, "Medium", "New maintainer added", 3),
-            new(changed, "Medium", "Maintainer email domain changed", 4),
-            new(now.select("package", "version", F.explode("maintainers").alias("m")).where(F.coalesce("m.email", F.lit("")) == ""), "High", "Maintainer with no email", 5),
+            new(now.where(F.size("maintainers") == 1), "Low", "Single maintainer (bus factor risk)", 0, F.concat(F.lit("Only one account can publish: "), F.coalesce(F.get("maintainers", F.lit(0))["name"], F.lit("?")))),
+            new(sets.where((F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b")), "Critical", "Complete ownership transfer", 1, F.concat(F.lit("Published by "), who(F.col("b")), F.lit(", before by "), who(F.col("a")))),
+            new(added.where(names.rough_day(F.col("ts")).isNotNull()), "High", "New maintainer added recently", 2, F.concat(joined, F.lit(", published "), F.col("ts").cast("string"))),
+            new(added, "Medium", "New maintainer added", 3, joined),
+            new(changed, "Medium", "Maintainer email domain changed", 4, F.concat(person, F.lit(" now uses "), F.coalesce("m.email", F.lit("?")))),
+            new(now.select("package", "version", F.explode("maintainers").alias("m")).where(F.coalesce("m.email", F.lit("")) == ""), "High", "Maintainer with no email", 5, F.concat(person, F.lit(" can't be reached"))),
         ]
     )
 
@@ -111,6 +114,10 @@ def chosen_refs(packages: DataFrame, refs: DataFrame) -> DataFrame:
     return tried.where(names.safe_ref(F.col("ref"))).join(refs, ["repo", "ref"]).groupBy("package", "version", "repo").agg(F.min_by("ref", "rank").alias("ref"))
 
 
+#: Paths that a finding lists.
+LISTED = 20
+
+
 def provenance(packages: DataFrame, files: DataFrame, tree: DataFrame) -> DataFrame:
     """``packages``: package, version, repository, attested; ``tree``: repo (owner/name), ref, path,
     type, truncated. Scripts of a package that its source tree lacks, build output apart."""
@@ -122,8 +129,12 @@ def provenance(packages: DataFrame, files: DataFrame, tree: DataFrame) -> DataFr
     expected = lower.rlike(r"^(dist|build|lib|out|cjs|esm|umd|es|module|_cjs|_esm)/") | lower.rlike(r"\.(min|bundle)\.js$")
     ours = files.where(ext.isin("js", "mjs", "cjs", "ts") & ~expected).join(found.select("package", "version", "repo", "ref"), ["package", "version"])
     alien = ours.join(tree.where("type = 'blob'").select("repo", "ref", "path"), ["repo", "ref", "path"], "left_anti")
-    per = alien.groupBy("package", "version").agg(F.sort_array(F.collect_set("path")).alias("paths")).withColumn("n", F.size("paths"))
-    listed = F.concat(F.array_join(F.transform(F.slice("paths", 1, 20), lambda p: F.concat(F.lit("  - "), p)), "\n"), F.when(F.col("n") > 20, F.concat(F.lit("\n  ... and "), (F.col("n") - 20).cast("string"), F.lit(" more"))).otherwise(""))
+    # A count and the first LISTED paths are kept of each package, not all of them.
+    apart = alien.select("package", "version", "path").distinct()
+    order = Window.partitionBy("package", "version").orderBy("path")
+    first = apart.withColumn("k", F.row_number().over(order)).where(F.col("k") <= LISTED).groupBy("package", "version").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    per = apart.groupBy("package", "version").agg(F.count("*").alias("n")).join(first, ["package", "version"])
+    listed = F.concat(F.array_join(F.transform("paths", lambda p: F.concat(F.lit("  - "), p)), "\n"), F.when(F.col("n") > LISTED, F.concat(F.lit("\n  ... and "), (F.col("n") - LISTED).cast("string"), F.lit(" more"))).otherwise(""))
     return schema.union(
         [
             new(at, F.when(F.col("attested"), "Info").otherwise("Low"), F.when(F.col("attested"), "npm provenance attestation present").otherwise("No npm provenance attestation"), 0),

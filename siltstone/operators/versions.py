@@ -57,7 +57,7 @@ def diff(old: DataFrame, new: DataFrame, versions: DataFrame) -> DataFrame:
     v = versions.select("package", "old_version", F.col("new_version").alias("version"))
     pairs = paired(old, new)
     with_version = lambda df: df.join(v, "package")
-    made = lambda df, severity, category, title, seq, **k: schema.findings(with_version(df), "diff", severity, category, title, k.pop("description", "changed between versions"), seq=seq, **k)
+    made = lambda df, severity, category, title, seq, **k: schema.findings(with_version(df), "diff", severity, category, title, k.pop("description", F.concat(F.lit("Changed from "), "old_version", F.lit(" to "), "version")), seq=seq, **k)
     added = pairs.where("old is null")
     path = F.col("path")
     found = newly(pairs)
@@ -132,14 +132,15 @@ def dependency_risks(found: DataFrame, versions: DataFrame, scripts: DataFrame,
     about = kept.join(versions.select(F.col("package").alias("name"), F.col("version").alias("resolved"), "deprecated", "created_ts", "n_versions"), ["name", "resolved"], "left")
     hooked = kept.join(scripts.where(F.col("hook").isin("preinstall", "install", "postinstall")).select(F.col("package").alias("name"), F.col("version").alias("resolved")).distinct(), ["name", "resolved"])
     label = F.concat("name", F.lit("@"), "resolved")
+    where = F.concat(F.lit("Package "), F.col("rank").cast("string"), F.lit(" of the tree, at depth "), F.col("depth").cast("string"))
     age = names.rough_day(F.date_format(now, "yyyy-MM-dd")) - names.rough_day(F.col("created_ts"))
-    new = lambda df, severity, title, seq: schema.findings(df.select(F.col("root").alias("package"), F.lit(None).cast("string").alias("version"), *[c for c in df.columns if c not in ("root", "package", "version")]), "dependencies", severity, "DependencyRisk", title, "in the tree of dependencies", seq=seq)
+    new = lambda df, severity, title, seq, about: schema.findings(df.select(F.col("root").alias("package"), F.lit(None).cast("string").alias("version"), *[c for c in df.columns if c not in ("root", "package", "version")]), "dependencies", severity, "DependencyRisk", title, about, seq=seq)
     return schema.union(
         [
-            new(hooked, "High", F.concat(F.lit("Transitive dependency has install scripts: "), label), F.col("rank") * 10),
-            new(about.where("deprecated is not null"), "Medium", F.concat(F.lit("Transitive dependency is deprecated: "), label), F.col("rank") * 10 + 1),
-            new(about.where((F.col("n_versions") <= 1) & (age < 7)), "High", F.concat(F.lit("Transitive dependency is very new: "), label), F.col("rank") * 10 + 2),
-            new(counts.where(F.col("queued") > F.col("stop")), "Low", "Dependency tree scan limit reached", 1_000_000),
-            new(counts.where(F.col("n") > LARGE_TREE), "Low", F.concat(F.lit("Large transitive dependency tree: "), F.col("n").cast("string"), F.lit(" packages")), 1_000_001),
+            new(hooked, "High", F.concat(F.lit("Transitive dependency has install scripts: "), label), F.col("rank") * 10, where),
+            new(about.where("deprecated is not null"), "Medium", F.concat(F.lit("Transitive dependency is deprecated: "), label), F.col("rank") * 10 + 1, F.concat(where, F.lit(": "), "deprecated")),
+            new(about.where((F.col("n_versions") <= 1) & (age < 7)), "High", F.concat(F.lit("Transitive dependency is very new: "), label), F.col("rank") * 10 + 2, F.concat(where, F.lit(", first published "), "created_ts")),
+            new(counts.where(F.col("queued") > F.col("stop")), "Low", "Dependency tree scan limit reached", 1_000_000, F.concat(F.lit("Only the first "), F.col("n").cast("string"), F.lit(" packages were looked at"))),
+            new(counts.where(F.col("n") > LARGE_TREE), "Low", F.concat(F.lit("Large transitive dependency tree: "), F.col("n").cast("string"), F.lit(" packages")), 1_000_001, "Each of them is code that runs with this package"),
         ]
     )

@@ -571,6 +571,37 @@ def _provenance(spark, sf):
     return metadata.provenance(pk, files, tree).select("package", "severity", "title", "file")
 
 
+@query(
+    "provenance_listing",
+    """WITH alien AS (SELECT o_custkey % 20 AS k, 'lib/f' || o_orderkey || '.js' AS path FROM orders WHERE o_orderkey % 3 <> 0),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY path) AS r, count(*) OVER (PARTITION BY k) AS n FROM alien)
+    SELECT 'p' || k AS package, min(path) AS file, string_agg('  - ' || path, chr(10) ORDER BY path) || CASE WHEN max(n) > 20 THEN chr(10) || '  ... and ' || (max(n) - 20) || ' more' ELSE '' END AS description FROM placed WHERE r <= 20 GROUP BY k""",
+)
+def _provenance_listing(spark, sf):
+    o = read(spark, sf, "orders").select(F.concat(F.lit("p"), (F.col("o_custkey") % 20).cast("string")).alias("package"), F.lit("1.0.0").alias("version"), F.concat(F.lit("lib/f"), F.col("o_orderkey").cast("string"), F.lit(".js")).alias("path"), (F.col("o_orderkey") % 3 == 0).alias("known"))
+    # A directory of built files is expected to be missing; these aren't below one.
+    files = o.withColumn("path", F.concat(F.lit("src/"), "path"))
+    packages = files.select("package", "version").distinct().select("*", F.concat(F.lit("https://github.com/own/"), "package").alias("repository"), F.lit(False).alias("attested"))
+    anchor = packages.select(F.concat(F.lit("own/"), "package").alias("repo"), F.lit("README.md").alias("path"))
+    tree = files.where("known").select(F.concat(F.lit("own/"), "package").alias("repo"), "path").unionByName(anchor).withColumns({"ref": F.lit("v1.0.0"), "type": F.lit("blob"), "truncated": F.lit(False)})
+    found = metadata.provenance(packages, files, tree).where("severity = 'Critical'")
+    short = lambda c: F.replace(c, F.lit("src/lib/"), F.lit("lib/"))
+    return found.select("package", short(F.col("file")).alias("file"), short(F.col("description")).alias("description"))
+
+
+@query(
+    "binary_entropy",
+    """SELECT 'p' || p_partkey AS package, 'High' AS severity, 'High-entropy binary: lib/b.node' AS title FROM part WHERE p_partkey % 2 = 1
+    UNION ALL SELECT 'p' || p_partkey, 'High', 'Native binary file: lib/b.node' FROM part""",
+)
+def _binary_entropy(spark, sf):
+    """Every second part's binary is a row of digests, which no byte is frequent in; the others' are text."""
+    digests = F.aggregate(F.sequence(F.lit(1), F.lit(128)), F.lit(""), lambda a, i: F.concat(a, F.sha2(F.concat(F.col("p_partkey").cast("string"), F.lit(" "), i.cast("string")), 256)))
+    data = F.when(F.col("p_partkey") % 2 == 1, F.unhex(digests)).otherwise(F.repeat(F.lit("\x01\x02 "), 2000).cast("binary"))
+    b = read(spark, sf, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("package"), F.lit("1.0.0").alias("version"), F.lit("lib/b.node").alias("path"), data.alias("data"))
+    return binary.scan(b).select("package", "severity", "title").where("title not like '%string in binary%' and title not like 'Shell%' and title not like 'URL%'")
+
+
 # --- two versions --------------------------------------------------------------------------------
 
 _OLD_SQL = f"old AS (SELECT package, path, CASE WHEN doc_id % 7 = 1 THEN replace(content, 'eval', 'evil') ELSE content END AS content FROM files WHERE doc_id % 5 <> 0), new AS (SELECT package, path, content FROM files WHERE doc_id % 11 <> 0)"
@@ -792,7 +823,7 @@ def _truncation(spark, sf):
 )
 def _project(spark, sf):
     o = read(spark, sf, "orders").select(F.expr("cast(o_orderkey as string)").alias("project"), F.expr("concat('{\"dependencies\": {\"a\": \"1.0.0\", \"p', cast(o_custkey as string), '\": null}, \"devDependencies\": {\"a\": \"2.0.0\"}}')").alias("package_json"))
-    return sources.project_dependencies(sources.manifests(o))
+    return sources.by_name(sources.project_dependencies(sources.manifests(o)))
 
 
 _ENTRY = fx.pick(["package/index.js", "package/../../evil.txt", "package/lib/a.ts", "package/node_modules/x/i.js", "other/readme.md", "package/a.wasm", "/etc/passwd", "package/B.DLL"], "doc_id")

@@ -21,10 +21,13 @@ def label(points: Column) -> Column:
 
 def ignored(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings that no ignore rule names: by part of the category's display name or of the title, or
-    by the severity. ``rules`` (rule) come from a file that a person writes."""
-    r = rules.select(F.lower("rule").alias("__rule"))
+    by the severity. ``rules`` (rule) come from a file that a person writes.
+
+    Rules are tried on the distinct kinds of findings, and the findings themselves are joined by their kind."""
+    r = rules.select(F.lower("rule").alias("__rule")).where("__rule is not null")
     hit = F.contains(F.lower(schema.category_display()), F.col("__rule")) | F.contains(F.lower("title"), F.col("__rule")) | (F.lower("severity") == F.col("__rule"))
-    return findings.join(r, hit, "left_anti")
+    kinds = findings.select("category", "title", "severity").distinct().join(r, hit, "left_semi")
+    return findings.join(kinds, ["category", "title", "severity"], "left_anti")
 
 
 def scores(packages: DataFrame, findings: DataFrame) -> DataFrame:

@@ -78,11 +78,16 @@ def manifests(df: DataFrame, column: str = "package_json") -> DataFrame:
 
 
 def project_dependencies(manifest: DataFrame, skip_dev: bool = False) -> DataFrame:
-    """(project, name, spec, kind) of a project's dependencies and, unless skipped, development ones,
-    by name; duplicates across both stay."""
+    """(project, name, spec, kind) of a project's dependencies and, unless skipped, development ones;
+    duplicates across both stay."""
     take = lambda c, kind: manifest.select("project", F.explode(c).alias("name", "spec"), F.lit(kind).alias("kind"))
     out = take("dependencies", "prod")
-    return (out if skip_dev else out.unionByName(take("devDependencies", "dev"))).withColumn("spec", F.coalesce("spec", F.lit("latest"))).orderBy("project", "name", F.desc("kind"), "spec")
+    return (out if skip_dev else out.unionByName(take("devDependencies", "dev"))).withColumn("spec", F.coalesce("spec", F.lit("latest")))
+
+
+def by_name(dependencies_: DataFrame) -> DataFrame:
+    """A project's dependencies in the order that they are shown in."""
+    return dependencies_.orderBy("project", "name", F.desc("kind"), "spec")
 
 
 _ENTRY = "package string, version string, path string, data binary, error string"
