@@ -60,31 +60,44 @@ def last_two(versions: DataFrame) -> DataFrame:
 
 def maintainers(packages: DataFrame, versions: DataFrame) -> DataFrame:
     """``packages``: package, version, maintainers; ``versions`` as in ``last_two``."""
-    keys = lambda a: F.array_distinct(F.transform(a, lambda m: names.maintainer_key(m["name"], m["email"])))
     now = packages.where(F.size("maintainers") > 0).select("package", "version", "maintainers")
     pairs = now.join(last_two(versions).where("prev is not null and prev.maintainers is not null"), "package").select("package", "version", F.col("prev.maintainers").alias("old"), F.coalesce("last.maintainers", "maintainers").alias("new"), F.col("last.publish_ts").alias("ts"))
-    sets = pairs.withColumns({"a": keys("old"), "b": keys("new")})
-    added = sets.where(F.size(F.array_except("b", "a")) > 0)
-    domains = F.map_from_entries(F.transform(F.filter("old", lambda m: names.email_domain(m["email"]).isNotNull()), lambda m: F.struct(names.maintainer_key(m["name"], m["email"]), F.lower(names.email_domain(m["email"])))))
-    moved = F.filter("new", lambda m: F.try_element_at(F.col("domains"), names.maintainer_key(m["name"], m["email"])) != F.lower(names.email_domain(m["email"])))
-    single = pairs.withColumn("old", F.transform(F.array_distinct(F.transform("old", lambda m: names.maintainer_key(m["name"], m["email"]))), lambda k: F.element_at(F.filter("old", lambda m: names.maintainer_key(m["name"], m["email"]) == k), -1)))
-    changed = single.withColumn("domains", domains).select("package", "version", F.explode(moved).alias("m"))
-    new = lambda df, severity, title, seq, about: schema.findings(df, "maintainer", severity, "MaintainerChange", title, about, seq=seq)
-    who = lambda a: F.coalesce(F.array_join(F.array_sort(a), ", "), F.lit(""))
     person = F.coalesce("m.name", "m.email", F.lit("?"))
-    joined = F.concat(F.lit("New since the version before: "), who(F.array_except("b", "a")))
+    nobody = now.select("package", "version", F.explode("maintainers").alias("m")).where(F.coalesce("m.email", F.lit("")) == "")
     return schema.union(
         [
-            new(now.where(F.size("maintainers") == 1), "Low", "Single maintainer (bus factor risk)", 0, F.concat(F.lit("Only one account can publish: "), F.coalesce(F.get("maintainers", F.lit(0))["name"], F.lit("?")))),
-            new(sets.where((F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b")), "Critical", "Complete ownership transfer", 1, F.concat(F.lit("Published by "), who(F.col("b")), F.lit(", before by "), who(F.col("a")))),
-            new(added.where(names.rough_day(F.col("ts")).isNotNull()), "High", "New maintainer added recently", 2, F.concat(joined, F.lit(", published "), F.col("ts").cast("string"))),
-            new(added, "Medium", "New maintainer added", 3, joined),
-            new(changed, "Medium", "Maintainer email domain changed", 4, F.concat(person, F.lit(" now uses "), F.coalesce("m.email", F.lit("?")))),
-            new(now.select("package", "version", F.explode("maintainers").alias("m")).where(F.coalesce("m.email", F.lit("")) == ""), "High", "Maintainer with no email", 5, F.concat(person, F.lit(" can't be reached"))),
+            _changed(now.where(F.size("maintainers") == 1), "Low", "Single maintainer (bus factor risk)", 0, F.concat(F.lit("Only one account can publish: "), F.coalesce(F.get("maintainers", F.lit(0))["name"], F.lit("?")))),
+            maintainer_changes(pairs),
+            _changed(nobody, "High", "Maintainer with no email", 5, F.concat(person, F.lit(" can't be reached"))),
         ]
     )
 
 
+def _changed(df: DataFrame, severity: str, title: str, seq: int, about: Column) -> DataFrame:
+    return schema.findings(df, "maintainer", severity, "MaintainerChange", title, about, seq=seq)
+
+
+def maintainer_changes(pairs: DataFrame) -> DataFrame:
+    """Findings of (package, version, old, new, ts): the maintainers of two versions, and when the later one came. Keeps
+    no state and joins nothing, so it runs on streams."""
+    keys = lambda a: F.array_distinct(F.transform(a, lambda m: names.maintainer_key(m["name"], m["email"])))
+    sets = pairs.withColumns({"a": keys("old"), "b": keys("new")})
+    # Of several entries with one key the last one's address counts.
+    single = F.transform("a", lambda k: F.element_at(F.filter("old", lambda m: names.maintainer_key(m["name"], m["email"]) == k), -1))
+    domains = F.map_from_entries(F.transform(F.filter(single, lambda m: names.email_domain(m["email"]).isNotNull()), lambda m: F.struct(names.maintainer_key(m["name"], m["email"]), F.lower(names.email_domain(m["email"])))))
+    moved = F.filter("new", lambda m: F.try_element_at(F.col("domains"), names.maintainer_key(m["name"], m["email"])) != F.lower(names.email_domain(m["email"])))
+    who = lambda x: F.coalesce(F.array_join(F.array_sort(x), ", "), F.lit(""))
+    joined = F.concat(F.lit("New since the version before: "), who(F.array_except("b", "a")))
+    added = F.size(F.array_except("b", "a")) > 0
+    one = lambda severity, title, seq, about: F.struct(F.lit(severity).alias("severity"), F.lit(title).alias("title"), F.lit(seq).alias("seq"), about.alias("about"))
+    transfer = F.when((F.size("a") > 0) & (F.size("b") > 0) & ~F.arrays_overlap("a", "b"), one("Critical", "Complete ownership transfer", 1, F.concat(F.lit("Published by "), who(F.col("b")), F.lit(", before by "), who(F.col("a")))))
+    recent = F.when(added & names.rough_day(F.col("ts")).isNotNull(), one("High", "New maintainer added recently", 2, F.concat(joined, F.lit(", published "), F.col("ts").cast("string"))))
+    elsewhere = F.transform(moved, lambda m: one("Medium", "Maintainer email domain changed", 4, F.concat(F.coalesce(m["name"], m["email"], F.lit("?")), F.lit(" now uses "), F.coalesce(m["email"], F.lit("?")))))
+    found = F.concat(F.array_compact(F.array(transfer, recent, F.when(added, one("Medium", "New maintainer added", 3, joined)))), elsewhere)
+    each = sets.withColumn("domains", domains).select("package", "version", F.explode(found).alias("x"))
+    return schema.findings(each, "maintainer", F.col("x.severity"), "MaintainerChange", F.col("x.title"), F.col("x.about"), seq=F.col("x.seq"))
+
+
 def install_scripts(scripts: DataFrame, files: DataFrame) -> DataFrame:
     """``scripts``: package, version, hook, body; ``files``: package, version, path."""
     body = F.col("body")
