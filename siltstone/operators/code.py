@@ -189,6 +189,8 @@ def line_findings(files: DataFrame, rules: list[tuple] = patterns.RULES) -> Data
 
 #: Characters of a literal by which rules and lines meet.
 GRAM = 4
+#: Characters of a literal that hold a whole one of every GRAM-th n-gram wherever they stand.
+LEAST = 2 * GRAM - 1
 #: Bytes of rules, as text, that are sent to all executors.
 BROADCAST_BYTES = 8 << 20
 #: Signs that a pattern may hold escaped, the escape's own first; each has a stand-in that is no character.
@@ -220,21 +222,26 @@ def rule_joins(files: DataFrame, rules: DataFrame) -> DataFrame:
     """The same for rules (id, name, severity, category, pattern, file_regex, exclude_paths) that come
     as a DataFrame, of any size. ``severity`` and ``category`` hold the names of findings.
 
-    A rule whose pattern needs a literal meets the lines that may match in an equi-join of that literal's
-    first characters with a line's distinct n-grams, and only such pairs are tried. The rules' size is measured: up to
+    A rule whose pattern needs a literal of LEAST characters meets the lines that may match in an equi-join: of
+    a line every GRAM-th n-gram is taken, of a literal the first GRAM of all its n-grams, so each occurrence of the literal
+    covers a pair of equal ones. The pair at its first occurrence counts, and only then the pattern is tried. The rules' size is measured: up to
     BROADCAST_BYTES of them are broadcast, so that lines stay where they are, and beyond that a line moves once for
-    each of its n-grams. Rules without a literal are tried on every line, in a nested loop. Null patterns match nothing; repeated rules give repeated findings."""
-    path, raw = F.col("path"), F.col("raw")
+    each of its n-grams. Other rules are tried on every line, in a nested loop. Null patterns
+    match nothing; repeated rules give repeated findings."""
+    path, raw, literal = F.col("path"), F.col("raw"), F.col("literal")
     known = rules.where("pattern is not null").withColumn("literal", required_literal(F.col("pattern")))
     size = known.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*known.columns)))), F.lit(0))).first()[0]
     sent = F.broadcast if size <= BROADCAST_BYTES else lambda df: df
     lines = to_lines(files)
     allowed = F.coalesce(F.rlike(text.basename(path), F.col("file_regex")), F.lit(True)) & ~F.exists(F.coalesce("exclude_paths", F.array().cast("array<string>")), lambda e: F.contains(F.lower(path), F.lower(e)))
     matches = allowed & F.rlike(raw, F.col("pattern"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(raw) - (GRAM - 1)), lambda i: F.substring(raw, i, F.lit(GRAM))))
-    keyed = lines.where(F.length(raw) >= GRAM).withColumn("gram", F.explode(grams))
-    by_literal = known.where("literal is not null").withColumn("gram", F.left("literal", F.lit(GRAM)))
-    indexed = keyed.join(sent(by_literal), "gram").where(F.contains(raw, F.col("literal")) & matches)
-    looped = lines.join(sent(known.where("literal is null").drop("literal")), matches)
+    cut = lambda t, at: F.transform(at, lambda i: F.substring(t, i, F.lit(GRAM)))
+    keyed = lines.where(F.length(raw) >= LEAST).withColumn("gram", F.explode(F.array_distinct(cut(raw, F.sequence(F.lit(1), F.length(raw) - (GRAM - 1), F.lit(GRAM))))))
+    long = F.coalesce(F.length(literal) >= LEAST, F.lit(False))
+    by_literal = known.where(long).withColumn("gram", F.explode(F.array_distinct(cut(literal, F.sequence(F.lit(1), F.lit(GRAM))))))
+    first = F.call_function("instr", raw, literal)
+    block = first + (GRAM - (first - 1) % GRAM) % GRAM
+    indexed = keyed.join(sent(by_literal), "gram").where((first > 0) & (F.col("gram") == F.substring(raw, block, F.lit(GRAM)))).where(matches)
+    looped = lines.join(sent(known.where(~long)), F.coalesce(F.contains(raw, literal), F.lit(True)) & matches).drop("literal")
     found = indexed.select(looped.columns).unionByName(looped)
     return schema.findings(found, "rules", F.col("severity"), F.col("category"), F.concat(F.lit("["), "id", F.lit("] "), "name"), "a rule matched", path, F.col("line"), text.truncate(raw, 120), F.col("line"))

@@ -86,7 +86,7 @@ def test_rule_joins_equal_a_loop(spark):
 
     rng = random.Random(2)
     texts = ["\n".join("".join(rng.choice(["eval(", "abcd", "x", " ", "fetch", "é", "("]) for _ in range(rng.randint(0, 12))) for _ in range(20)) for _ in range(10)]
-    words = ["".join(rng.choice("abcdefx") for _ in range(5)) for _ in range(990)] + ["abcd", r"eval\(x?", r"fetch\s*x", "é{1,2}abcd", r"x|\(", r"abcd\(", "abcd"]
+    words = ["".join(rng.choice("abcdefx") for _ in range(8)) for _ in range(990)] + ["abcd", r"eval\(x?", r"fetch\s*x", "é{1,2}abcd", r"x|\(", r"abcd\(", "abcd", "abcdabcd", "abcdabcd", r"abcdabc", r"fetchabcd+", r"xéeval\(x?", "abcdabcdabcd", r"fetch\s*fetchx", "é{1,2}abcdeval"]
     rules = [(f"R{i}", "n", "Low", "Suspicious", w, None if i % 2 else r"\.js$", ["f3"] if i % 3 == 0 else None) for i, w in enumerate(words)] + [("null", "n", "Low", "Suspicious", None, None, None)]
     df = spark.createDataFrame(rules, "id string, name string, severity string, category string, pattern string, file_regex string, exclude_paths array<string>")
     fs = files(spark, *((f"f{i}.{'js' if i % 2 else 'md'}", t) for i, t in enumerate(texts)))
