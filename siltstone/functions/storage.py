@@ -21,8 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """The path of a folder below the shared one that nothing else uses."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again, so that its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -107,9 +107,19 @@ def snippets(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(SNIPPETS)), "k long, snippet string")
 
 
+def streamed(spark: SparkSession, sf_dir: str, table: str, files: int = 64) -> DataFrame:
+    """A table as a stream, ``files`` of its files at a time. A stream reads folders or patterns, and a table may be one file,
+    so its name is given as a pattern."""
+    path = f"{sf_dir}/{table}.parque"
+    return spark.readStream.schema(spark.read.parquet(f"{path}t").schema).option("maxFilesPerTrigger", files).parquet(f"{path}[t]")
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    joined = docs.join(F.broadcast(snippets(spark)), F.col("doc_id") % N == F.col("k"))  # a fixed list
+    return files_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def files_of(docs: DataFrame) -> DataFrame:
+    joined = docs.join(F.broadcast(snippets(docs.sparkSession)), F.col("doc_id") % N == F.col("k"))  # a fixed list
     return joined.select(F.col("source").alias("package"), F.lit("1.0.0").alias("version"), F.expr(spark_sql(PATH)).alias("path"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), "snippet").alias("content"), "doc_id")
 
 

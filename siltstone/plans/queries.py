@@ -13,8 +13,9 @@ from siltstone.functions import names, storage, text
 from siltstone.operators import binary, code, flow, metadata, patterns, structure, versions
 from siltstone.plans import fixtures as fx
 from siltstone.plans import cache, report
+from siltstone.sources import archives
 from siltstone.sources import packages as sources
-from siltstone.streaming import feed
+from siltstone.streaming import feed, history
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -889,3 +890,97 @@ def _binary_scan(spark, sf):
 def _feed(spark, sf):
     e = read(spark, sf, "events").select(F.col("event_type").alias("package"), F.col("ts").alias("published_at"))
     return feed.counts(e).select(F.col("window.start").alias("hour"), "package", "n")
+
+
+# Documents as versions of packages, sixteen to a source, published in an order that isn't theirs.
+_PUBLISHED = {
+    "package": "source || '/' || cast(doc_id % 16 as string)",
+    "version": "cast(doc_id as string)",
+    "ts": "'2026-01-' || lpad(cast(1 + (doc_id * 7919) % 28 as string), 2, '0')",
+    "name": "'m' || cast((doc_id * 31 // 97) % 3 as string)",
+    "host": "case when doc_id * 13 % 5 = 0 then null when (doc_id // 7) % 2 = 0 then 'one.example' else 'Two.example' end",
+}
+_FEED_SQL = f"""vers AS (SELECT {", ".join(f"{v} AS {k}" for k, v in _PUBLISHED.items())}, (doc_id // 11) % 3 = 0 AS pair FROM documents WHERE source IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY package ORDER BY ts DESC, version DESC) AS k FROM vers),
+two AS (SELECT a.*, b.version AS old, b.name AS old_name, b.host AS old_host, b.pair AS old_pair FROM ranked a LEFT JOIN ranked b ON b.package = a.package AND b.k = 2 WHERE a.k = 1)"""
+
+
+def _last_published(spark, sf):
+    d = fx.streamed(spark, sf, "documents").select(*(F.expr(fx.spark_sql(v)).alias(k) for k, v in _PUBLISHED.items()), F.expr("(doc_id div 11) % 3 = 0").alias("pair"))
+    people = "if(pair, array(named_struct('name', name, 'email', name || '@' || host), named_struct('name', 'zed', 'email', 'z@zed.example')), array(named_struct('name', name, 'email', name || '@' || host)))"
+    published = d.select("package", "version", F.col("ts").alias("publish_ts"), F.expr(people).alias("maintainers"))
+    return history.current(history.collected(history.last_two(published), "feed-versions"))
+
+
+@query("feed_versions", f"WITH {_FEED_SQL} SELECT package, version AS latest, old AS previous, ts AS latest_ts FROM two")
+def _feed_versions(spark, sf):
+    return _last_published(spark, sf).select("package", F.col("last.version").alias("latest"), F.col("prev.version").alias("previous"), F.col("last.publish_ts").alias("latest_ts"))
+
+
+@query(
+    "feed_maintainers",
+    f"""WITH {_FEED_SQL}, k AS (SELECT *, CASE WHEN pair THEN [name, 'zed'] ELSE [name] END AS b, CASE WHEN old_pair THEN [old_name, 'zed'] ELSE [old_name] END AS a FROM two WHERE old IS NOT NULL)
+    SELECT package, version, 'Critical' AS severity, 'Complete ownership transfer' AS title FROM k WHERE NOT list_has_any(a, b)
+    UNION ALL SELECT package, version, unnest(['High', 'Medium']), unnest(['New maintainer added recently', 'New maintainer added']) FROM k WHERE NOT list_has_all(a, b)
+    UNION ALL SELECT package, version, 'Medium', 'Maintainer email domain changed' FROM k WHERE name = old_name AND lower(host) <> lower(old_host)""",
+)
+def _feed_maintainers(spark, sf):
+    return metadata.maintainer_changes(history.pairs(_last_published(spark, sf))).select("package", "version", "severity", "title")
+
+
+@query("feed_scores", ORACLES["risk_scores"])
+def _feed_scores(spark, sf):
+    """Scores that a stream of files has added up; every document is a package, as in risk_scores."""
+    docs = fx.streamed(spark, sf, "documents")
+    published = fx.files_of(docs).withColumns({"package": F.expr(_DOC), "published_at": F.lit("2026-01-01").cast("timestamp")})
+    base = storage.fresh(spark, "feed-scores")
+    counted = history.score_sink(f"{base}/counts")
+    feed.line_findings(published).writeStream.foreachBatch(counted).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+    counts = spark.read.schema("package string, version string, severity string, n bigint, batch int").parquet(f"{base}/counts")
+    return history.scores(fx.files(spark, sf).withColumn("package", F.expr(_DOC)), counts).drop("n_info")
+
+
+# --- archives ------------------------------------------------------------------------------------
+
+
+@query("archive_source", "SELECT concat('lib/f', doc_id, '.js') AS path, octet_length(encode(coalesce(text, ''))) AS n_bytes, md5(coalesce(text, '')) AS digest FROM documents")
+def _archive_source(spark, sf):
+    """Documents packed into archives of eight MiB, which the data source reads in parts of 64 KiB."""
+    folder = storage.fresh(spark, "archives")
+    docs = read(spark, sf, "documents").select(F.expr("concat('package/lib/f', cast(doc_id as string), '.js')").alias("path"), F.expr("cast(coalesce(text, '') as binary)").alias("data"))
+    archives.pack(docs, folder)
+    files = sources.rooted(archives.whole(archives.read(spark, folder, partBytes=str(64 << 10))))
+    return files.select("path", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+@query("file_contents", f"SELECT source AS package, {_ENTRY} AS path, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE length(coalesce(text, '')) END AS n_chars FROM documents")
+def _file_contents(spark, sf):
+    """Contents of all files; every seventh isn't UTF-8, and so empty."""
+    data = F.expr("if(doc_id % 7 = 0, concat(X'FF', cast(coalesce(text, '') as binary)), cast(coalesce(text, '') as binary))")
+    e = read(spark, sf, "documents").select(F.col("source").alias("package"), F.lit("1.0.0").alias("version"), F.expr(_ENTRY).alias("path"), data.alias("data"))
+    return sources.all_files(e).select("package", "path", F.length("content").cast("long").alias("n_chars"))
+
+
+@query(
+    "requested_versions",
+    """WITH wanted AS (SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN NULL WHEN o_custkey % 3 = 1 THEN max(o_orderkey) ELSE -1 END AS v, max(o_orderkey) AS top, count(*) AS n FROM orders GROUP BY o_custkey)
+    SELECT 'c' || o_custkey AS package, cast(top AS string) AS version, CASE WHEN v IS NULL THEN n ELSE 1 END AS n_versions, v IS NULL AS has_times FROM wanted WHERE v IS NULL OR v >= 0""",
+)
+def _requested_versions(spark, sf):
+    """Packages asked for whole, by a version that they have, or by one that they lack."""
+    item = F.expr("concat('\"', cast(o_orderkey as string), '\": {\"version\": \"', cast(o_orderkey as string), '\"}')")
+    docs = read(spark, sf, "orders").groupBy("o_custkey").agg(F.array_join(F.collect_list(item), ", ").alias("v"), F.max("o_orderkey").alias("m"))
+    json = "concat('{\"name\": \"c', cast(o_custkey as string), '\", \"versions\": {', v, '}, \"time\": {\"created\": \"t\"}, \"dist-tags\": {\"latest\": \"', cast(m as string), '\"}}')"
+    spec = "'c' || cast(o_custkey as string) || case o_custkey % 3 when 0 then '' when 1 then '@' || cast(m as string) else '@none' end"
+    rows = docs.select(F.expr(json).alias("json"), F.expr(spec).alias("spec"))
+    asked = sources.as_single_version(sources.parsed(rows), sources.requested(rows))
+    return sources.latest(asked).select("package", "version", F.col("n_versions").cast("long").alias("n_versions"), F.col("created_ts").isNotNull().alias("has_times"))
+
+
+@query("ignore_lines", "SELECT source AS rule, count(*) AS n FROM documents WHERE source IS NOT NULL AND doc_id % 3 > 0 GROUP BY source")
+def _ignore_lines(spark, sf):
+    """Ignore files with a line for each document: a rule, a comment, or a blank line."""
+    path = storage.fresh(spark, "ignore")
+    line = F.expr("case doc_id % 6 when 0 then '# ' || source when 3 then '  ' else ' ' || source || ' ' end")
+    read(spark, sf, "documents").where("source is not null").select(line.alias("value")).write.text(path)
+    return sources.ignore_rules(spark, [path]).groupBy("rule").agg(F.count("*").alias("n"))

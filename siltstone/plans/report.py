@@ -33,12 +33,17 @@ def ignored(findings: DataFrame, rules: DataFrame) -> DataFrame:
 def scores(packages: DataFrame, findings: DataFrame) -> DataFrame:
     """(package, version, n_critical, n_high, n_medium, n_low, n_info, risk_score, risk_label) for every
     package, clean ones too. Counts are summed before the shuffle; findings aren't gathered."""
-    counts = [F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in ("Critical", "High", "Medium", "Low", "Info")]
-    per = findings.groupBy("package", "version").agg(*counts)
+    return scored(packages, findings.select("package", "version", "severity", F.lit(1).alias("n")))
+
+
+def scored(packages: DataFrame, counted: DataFrame) -> DataFrame:
+    """The same from numbers ``n`` of findings by (package, version, severity), which may stand in several rows."""
+    counts = [F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("n"))), F.lit(0)).cast("long").alias(f"n_{s.lower()}") for s in ("Critical", "High", "Medium", "Low", "Info")]
+    per = counted.groupBy("package", "version").agg(*counts)
     names = [f"n_{s}" for s in ("critical", "high", "medium", "low", "info")]
     filled = packages.select("package", "version").distinct().join(per, ["package", "version"], "left").fillna(0, names)
-    scored = filled.withColumn("risk_score", score(*(F.col(f"n_{s}") for s in ("critical", "high", "medium", "low"))))
-    return scored.withColumn("risk_label", label(F.col("risk_score")))
+    pointed = filled.withColumn("risk_score", score(*(F.col(f"n_{s}") for s in ("critical", "high", "medium", "low"))))
+    return pointed.withColumn("risk_label", label(F.col("risk_score")))
 
 
 def ordered(findings: DataFrame) -> DataFrame:
