@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,6 +86,7 @@ def parse(source: str | None) -> Node:
     """The page as a tree below a nameless root."""
     root = Node("", "")
     stack, text, links, done = [root], None, 0, 0
+    opened = Counter()  # how many elements of a tag are on the stack
     source = source or ""
 
     def add(piece: str) -> None:
@@ -98,6 +100,11 @@ def parse(source: str | None) -> Node:
         if links:
             text.linked += len(piece)
 
+    def close() -> str:
+        tag = stack.pop().tag
+        opened[tag] -= 1
+        return tag
+
     for m in _TOKEN.finditer(source):
         if m.start() > done:
             add(source[done : m.start()])
@@ -113,22 +120,25 @@ def parse(source: str | None) -> Node:
             continue
         text, links = None, 0
         if m["end"]:
-            if any(n.tag == tag for n in stack):
-                while stack.pop().tag != tag:
+            if opened[tag]:
+                while close() != tag:
                     pass
             continue
         if tag in VOID:
             continue
         if tag in IMPLIED:
             while stack[-1].tag in IMPLIED[tag]:
-                stack.pop()
+                close()
         elif stack[-1].tag == "p":
-            stack.pop()
+            close()
+        name, words = _named(m["attrs"])
+        node = Node(f"<{tag}{name}>", tag, words)
         if len(stack) <= DEPTH:
-            name, words = _named(m["attrs"])
-            node = Node(f"<{tag}{name}>", tag, words)
             stack[-1].children.append(node)
-            stack.append(node)
+        else:
+            node.children = stack[-1].children  # what is in it belongs to the last element above DEPTH
+        stack.append(node)
+        opened[tag] += 1
     if done < len(source):
         add(source[done:])
     return root

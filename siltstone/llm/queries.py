@@ -118,7 +118,8 @@ m AS (SELECT w.r, doc_id, source, len(w)::BIGINT AS n_words, length(translate(t,
 h AS (SELECT source, count(*) AS n, count(*) FILTER ({rules.FAILED}) AS f FROM m GROUP BY source),
 p AS (SELECT sum(f) / sum(n) AS mu, var_samp(f / n) AS v FROM h),
 q AS (SELECT mu, CASE WHEN coalesce(v, 0) = 0 THEN {rules.PRIOR_WEIGHT[0]} ELSE least(greatest(mu * (1 - mu) / v - 1, {rules.PRIOR_WEIGHT[0]}), {rules.PRIOR_WEIGHT[1]}) END AS k FROM p),
-ok AS (SELECT source, (f + mu * k) / (n + k) <= {rules.WORST_RATE} AS ok FROM h, q)
+shrunk AS (SELECT source, n, mu, k, (f + mu * k) / (n + k) AS rate FROM h, q),
+ok AS (SELECT source, rate - 1.645::DOUBLE * sqrt(rate * (1 - rate) / (n + k + 1)) <= 2 * mu / (1 - mu + 2 * mu) AS ok FROM shrunk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {rules.BASE_FAILED} AS base_failed, NOT ({rules.BASE_FAILED}) AND ok AS kept FROM m JOIN ok ON ok.source IS NOT DISTINCT FROM m.source"""
 
 

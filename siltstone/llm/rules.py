@@ -2,7 +2,7 @@
 
 Every text is measured; rules turn measures into failures. Failures are aggregated by host, each
 host's rate is shrunk towards an empirical beta prior (fitted to the hosts' rates by moments), and
-hosts whose shrunk rate is too high lose all their documents.
+hosts that almost surely fail at more than twice the corpus's odds lose all their documents.
 
 Defined cases: a null text has no words and so fails; a null host is a host of its own; repeated
 rows count and are returned each; null ids stay; with fewer than two hosts, or hosts of equal
@@ -21,8 +21,9 @@ from siltstone.llm.common import stored
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: A host is bad if its shrunk rate of failing documents is above this.
-WORST_RATE = 0.6
+#: A host is bad if the odds of failing are above this many times the corpus's, even at the rate that lies this many
+#: standard deviations of the posterior below its mean (a chance of one in twenty).
+WORST_ODDS, DEVIATIONS = 2.0, 1.645
 #: Least and most weight of the prior, in documents.
 PRIOR_WEIGHT = (1.0, 1000.0)
 
@@ -77,9 +78,9 @@ BASE_FAILED = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 FAILED = f"({BASE_FAILED}) or 10 * n_symbols > 3 * n_words or 2 * n_dup_lines > n_lines or word_chars < 2 * n_words or word_chars > 15 * n_words"
 
 
-def hosts(measured: DataFrame, worst: float = WORST_RATE) -> DataFrame:
-    """(host, n_docs, n_failed, rate, host_ok): failures by host and the verdict on the shrunk rate.
-    The driver reads one row, the prior's moments."""
+def hosts(measured: DataFrame, worst: float = WORST_ODDS, deviations: float = DEVIATIONS) -> DataFrame:
+    """(host, n_docs, n_failed, rate, low_rate, host_ok): failures by host, the shrunk rate, what it is at least, and
+    the verdict. Hosts that differ by chance only all pass. The driver reads one row, the prior's moments."""
     per = measured.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.expr(f"if({FAILED}, 1, 0)")).alias("n_failed"))
     raw = F.col("n_failed") / F.col("n_docs")
     failed, docs, spread = per.agg(F.sum("n_failed"), F.sum("n_docs"), F.var_samp(raw)).first()
@@ -87,13 +88,16 @@ def hosts(measured: DataFrame, worst: float = WORST_RATE) -> DataFrame:
     weight = mean * (1 - mean) / spread - 1 if spread else PRIOR_WEIGHT[0]
     weight = min(max(weight, PRIOR_WEIGHT[0]), PRIOR_WEIGHT[1])
     rate = (F.col("n_failed") + F.lit(mean * weight)) / (F.col("n_docs") + F.lit(weight))
-    return per.select("host", "n_docs", "n_failed", rate.alias("rate"), (rate <= worst).alias("host_ok"))
+    low = F.col("rate") - deviations * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + F.lit(weight + 1)))
+    limit = worst * mean / (1 - mean + worst * mean)
+    judged = per.select("host", "n_docs", "n_failed", rate.alias("rate")).withColumn("low_rate", low)
+    return judged.withColumn("host_ok", F.col("low_rate") <= F.lit(limit))
 
 
 def verdicts(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The measures of every row, with base_failed and kept. Texts are read once: their measures
     are written to the shared folder, summed by host there, and joined with the hosts' verdicts."""
     measured = stored(spark, measure(docs, id_col, text_col, host_col), "measures")
-    judged = hosts(measured).select(F.col("host").alias("__host"), "host_ok", "rate")
+    judged = hosts(measured).select(F.col("host").alias("__host"), "host_ok", "rate", "low_rate")
     joined = measured.join(judged, F.col("host").eqNullSafe(F.col("__host")))
     return joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & F.col("host_ok")).drop("__host")

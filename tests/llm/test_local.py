@@ -343,6 +343,11 @@ def test_html_main():
     assert html.main_text("<article><p>cut of", None)[0] == "cut of"
     assert html.main_text("<div class='content'><p>x</p></div><div>y</div>", None)[0] == "x"
     assert html.main_text("<div>" * 5000 + "deep" + "</div>" * 5000, None)[0] == "deep"
+    nested = "<div>" * 150 + "deep" + "</div>" * 150
+    assert html.main_text(f"<div><article><p>first</p>{nested}<p>last</p></article></div><p>after</p>", None)[0] == "first\ndeep\nlast"
+    lists = "<ul><li>" * 120 + "a<li>b" + "</ul>" * 120
+    assert html.main_text(f"<article><ul><li>first{lists}</li><li>last</li></ul></article>", None)[0].split() == ["first", "a", "b", "last"]
+    assert html.main_text("<article>" + "<div>" * 100_000 + "</section>" * 100_000 + "x</article>", None)[0] == "x"
 
 
 def decided(pages):

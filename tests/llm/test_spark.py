@@ -144,6 +144,19 @@ def test_rules_hosts(spark):
     assert per["tiny"]["n_failed"] / per["tiny"]["n_docs"] > per["tiny"]["rate"] > 0.5 > per["ok"]["rate"] > 0
 
 
+def test_rules_verdict(spark):
+    """Of twenty hosts that fail at about a tenth, one at four tenths goes; one that chance may explain and a tiny one stay."""
+    good, bad = " ".join(f"word{i}" for i in range(30)), "#" * 40
+    failing = {f"h{k}": (100, 8 + k % 5) for k in range(20)} | {"bad": (100, 40), "unlucky": (100, 18), "tiny": (2, 1), "hot": (3000, 300)}
+    data = [(h, bad if i < f else f"{good} {h} {i}") for h, (n, f) in failing.items() for i in range(n)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(data)], "doc_id long, text string, source string")
+    per = {r["host"]: r for r in rules.hosts(rules.measure(docs)).collect()}
+    assert [h for h, r in per.items() if not r["host_ok"]] == ["bad"] and per["bad"]["rate"] < 0.6
+    assert all(r["low_rate"] < r["rate"] for r in per.values())
+    kept = rules.verdicts(spark, docs).groupBy("host").agg(F.count_if("kept").alias("n")).collect()
+    assert {r["host"]: r["n"] for r in kept} == {h: 0 if h == "bad" else n - f for h, (n, f) in failing.items()}
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 100), ("c", 100), (None, 0)], "source string, size long")
     got = {r["source"]: r["target"] for r in mixing.targets(spark, sizes).collect()}
