@@ -74,3 +74,14 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["title"] for r in spark.table("feed_out").collect()] == ["Dynamic eval() detected"]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_binaries_are_dealt_out(spark):
+    # A small file is one task, and its rows' binaries took a task for each pass before.
+    assert own.QUERIES["binary_entropy"](spark, SF).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+
+
