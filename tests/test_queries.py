@@ -85,3 +85,8 @@ def test_binaries_are_dealt_out(spark):
     assert own.QUERIES["binary_entropy"](spark, SF).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
 
 
+def test_dependencies_are_not_broadcast(spark):
+    # The files of ten packages a part were taken for a small table, whatever their number.
+    assert "Broadcast" not in plan_of(own.QUERIES["dependency_limits"](spark, SF))
+
+
