@@ -7,6 +7,8 @@ line is visited once and no join is needed; rules given as a DataFrame are joine
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,14 @@ def _mask(checks: list[Column]) -> Column:
     return out
 
 
+def _gated(on: Column, tried: list[str], bits: Column) -> Column:
+    """``bits`` where the text holds what one of the patterns needs, else 0: most lines are told by a few plain searches."""
+    if not all(p in patterns.NEEDED for p in tried):
+        return bits
+    holds = reduce(lambda a, b: a | b, (on.contains(x) for x in dict.fromkeys(x for p in tried for x in patterns.NEEDED[p])), F.lit(False))
+    return F.when(holds, bits).otherwise(F.lit(0).cast("long"))
+
+
 def _chosen(mask: Column, hits: list[Column]) -> Column:
     return F.filter(F.array(*hits), lambda h: F.getbit(mask, h["i"]) == 1)
 
@@ -61,22 +71,32 @@ def _chosen(mask: Column, hits: list[Column]) -> Column:
 def _static_mask(code: Column, path: Column, table: list[tuple] = patterns.STATIC) -> Column:
     """The table's patterns that a line without comments matches."""
     bits = _mask([code.rlike(pattern) & ~_expected(path, severity, category) for severity, category, pattern, _ in table])
-    return F.when((text.trimmed(code) != "") & ~code.rlike(r"^\s*(//|#)"), bits).otherwise(F.lit(0).cast("long"))
+    return _gated(code, [pattern for _, _, pattern, _ in table], F.when((text.trimmed(code) != "") & ~code.rlike(r"^\s*(//|#)"), bits).otherwise(F.lit(0).cast("long")))
 
 
 def _static_hits(table: list[tuple] = patterns.STATIC) -> list[Column]:
     return [_hit(i, severity, category, title, pattern) for i, (severity, category, pattern, title) in enumerate(table)]
 
 
-def _dense(raw: Column) -> Column:
-    """The entropy of a line that is long enough for it to tell."""
-    return text.byte_entropy(F.when(F.octet_length(raw) > 100, raw))
+#: The bit of dense lines, which no pattern tells.
+_DENSE = 1 << 2
 
 
-def _obfuscation_mask(raw: Column, entropy: Column) -> Column:
+def _obfuscation_mask(raw: Column) -> Column:
+    """The bits of all checks; _DENSE for lines that may be dense."""
     integrity = text.trimmed(raw).startswith('"integrity"') | text.trimmed(raw).startswith('"sha')
     size = F.octet_length(raw)
-    return _mask([raw.rlike(patterns.LONG_HEX), raw.rlike(patterns.LONG_BASE64) & ~integrity, (size > 100) & (entropy > 5.5), raw.rlike(patterns.ESCAPES), size > 500])
+    unbroken = (size >= 50) & raw.rlike("[^ ]{50}")  # told sooner than runs of a class, which start again at each sign
+    return _mask([unbroken & raw.rlike(patterns.LONG_HEX), unbroken & raw.rlike(patterns.LONG_BASE64) & ~integrity, (size > 100) & text.maybe_dense(raw), raw.contains("\\") & raw.rlike(patterns.ESCAPES), size > 500])
+
+
+def _dense_told(marked: DataFrame, mask: str) -> DataFrame:
+    """Rows with _DENSE in ``mask`` for the dense lines only. Only lines that may be dense are taken to Python.
+
+    Masks of 0 are left, as they give no hits: a filter on what Python told would make Spark ask it twice."""
+    may = F.col(mask).bitwiseAND(F.lit(_DENSE)) != 0
+    told = marked.withColumn("entropy", text.byte_entropy(F.when(may, F.col("raw"))))
+    return told.withColumn(mask, F.col(mask) - F.when(may & (F.col("entropy") <= 5.5), F.lit(_DENSE)).otherwise(F.lit(0)))
 
 
 _OBFUSCATION = [
@@ -92,22 +112,23 @@ def _obfuscation_hits() -> list[Column]:
     return [_hit(i, severity, "Obfuscation", title, pattern) for i, (severity, title, pattern) in enumerate(_OBFUSCATION)]
 
 
-def _excluded(path: Column, excludes: tuple[str, ...]) -> Column:
+def _excluded(path: Column, low: Column, excludes: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for e in excludes:
-        out = out | F.lower(path).contains(e.lower())
+        out = out | low.contains(e.lower())
         if any(c in e for c in "*?["):  # without wildcards a glob says no more than the part of a path
             out = out | text.basename(path).rlike(text.glob_pattern(e)) | path.rlike(text.glob_pattern(e))
     return out
 
 
 def _rule_uses(path: Column, rules: list[tuple]) -> Column:
-    """For each rule, whether it applies to a path."""
-    return F.array(*((F.lit(True) if not glob else text.basename(path).rlike(text.glob_pattern(glob))) & ~_excluded(path, tuple(excludes)) for *_, glob, excludes in rules))
+    """For each rule, whether it applies to a path. The path and its lower case are bound once, as each rule tries them several times."""
+    uses = lambda p: F.array(*((F.lit(True) if not glob else text.basename(p["path"]).rlike(text.glob_pattern(glob))) & ~_excluded(p["path"], p["low"], tuple(excludes)) for *_, glob, excludes in rules))
+    return F.get(F.transform(F.transform(F.array(path), lambda x: F.struct(x.alias("path"), F.lower(x).alias("low"))), uses), F.lit(0))
 
 
 def _rule_mask(raw: Column, use: Column, rules: list[tuple]) -> Column:
-    return _mask([F.get(use, F.lit(i)) & raw.rlike(rule[4]) for i, rule in enumerate(rules)])
+    return _gated(raw, [rule[4] for rule in rules], _mask([F.get(use, F.lit(i)) & raw.rlike(rule[4]) for i, rule in enumerate(rules)]))
 
 
 def _rule_hits(rules: list[tuple]) -> list[Column]:
@@ -137,6 +158,8 @@ def _about(on: Column) -> Column:
 
 def _found(rows: DataFrame, analyzer: str, mask: Column, hits: list[Column], width: int, seq: Column, on: str = "raw") -> DataFrame:
     marked = rows.withColumn("mask", mask).where("mask != 0")
+    if analyzer == "obfuscation":
+        marked = _dense_told(marked, "mask")
     each = marked.select("package", "version", "path", "line", "raw", *({on} - {"raw"}), F.explode(_chosen(F.col("mask"), hits)).alias("h"))
     return schema.findings(each, analyzer, F.col("h.severity"), F.col("h.category"), F.col("h.title"), _about(F.col(on)), F.col("path"), F.col("line"), text.truncate(F.col("raw"), width), seq)
 
@@ -153,8 +176,8 @@ def static_code(files: DataFrame, table: list[tuple] = patterns.STATIC) -> DataF
 
 def obfuscation(files: DataFrame) -> DataFrame:
     """Encoded or dense lines, comments included; the checks are independent."""
-    lines = to_lines(scripts(files, "js|cjs|mjs|ts|tsx|jsx|json")).withColumn("entropy", _dense(F.col("raw")))
-    return _found(lines, "obfuscation", _obfuscation_mask(F.col("raw"), F.col("entropy")), _obfuscation_hits(), 100, _seq("obfuscation"))
+    lines = to_lines(scripts(files, "js|cjs|mjs|ts|tsx|jsx|json"))
+    return _found(lines, "obfuscation", _obfuscation_mask(F.col("raw")), _obfuscation_hits(), 100, _seq("obfuscation"))
 
 
 def rule_matches(files: DataFrame, rules: list[tuple] = patterns.RULES) -> DataFrame:
@@ -175,8 +198,8 @@ def line_findings(files: DataFrame, rules: list[tuple] = patterns.RULES) -> Data
     zipped = both.select(*used, F.posexplode(F.arrays_zip(text.lines(content).alias("raw"), text.lines(F.col("code")).alias("code"))).alias("line", "z"))
     lines = zipped.select(*used, (F.col("line") + 1).alias("line"), F.col("z.raw").alias("raw"), F.coalesce("z.code", F.lit("")).alias("code"))
     none = F.lit(0).cast("long")
-    masks = [F.when(F.col("is_code"), _static_mask(F.col("code"), path)).otherwise(none), F.when(F.col("is_data"), _obfuscation_mask(raw, F.col("entropy"))).otherwise(none), _rule_mask(raw, F.col("use"), rules)]
-    marked = lines.withColumn("entropy", _dense(F.when(F.col("is_data"), raw))).withColumns({f"m{k}": m for k, m in enumerate(masks)}).where("m0 != 0 or m1 != 0 or m2 != 0")
+    masks = [F.when(F.col("is_code"), _static_mask(F.col("code"), path)).otherwise(none), F.when(F.col("is_data"), _obfuscation_mask(raw)).otherwise(none), _rule_mask(raw, F.col("use"), rules)]
+    marked = _dense_told(lines.withColumns({f"m{k}": m for k, m in enumerate(masks)}).where("m0 != 0 or m1 != 0 or m2 != 0"), "m1")
     tables = (_static_hits(), _obfuscation_hits(), _rule_hits(rules))
     part = lambda k: F.transform(_chosen(F.col(f"m{k}"), tables[k]), lambda h: F.struct(F.lit(k).alias("k"), *(h[c].alias(c) for c in ("i", "severity", "category", "title", "pattern"))))
     each = marked.select("package", "version", "path", "line", "raw", "code", F.explode(F.concat(part(0), part(1), part(2))).alias("h"))

@@ -59,6 +59,17 @@ RULES = [
     ("RULE-009", "Data exfiltration pattern", "high", "network_access", r"(?:Buffer\.from|btoa|encodeURIComponent)\s*\([^)]*\).*(?:https?\.request|fetch|axios|got)\s*\(", "*.js", ("node_modules/", "test/", *_BUILD)),
     ("RULE-010", "Prototype pollution", "medium", "suspicious", r"__proto__\s*(?:\[|=)", "*.js", ("node_modules/", "test/", *_BUILD, "*.min.js")),
 ]
+#: Texts of which a match of the pattern holds at least one; patterns without an entry may match anything.
+NEEDED = {pattern: ("(",) for pattern in [p for _, _, p, _ in STATIC] + [p for _, _, _, _, p, _, _ in RULES]} | {
+    STATIC[4][2]: ("|",),
+    STATIC[6][2]: ("process",),
+    STATIC[7][2]: ("process",),
+    STATIC[16][2]: ("XMLHttpRequest",),
+    RULES[3][4]: ("|",),
+    RULES[6][4]: ("stratum+tcp://", "cryptonight", "coinhive", "minergate", "xmrig", "monero.crypto-pool"),
+    RULES[7][4]: ("Socket",),
+    RULES[9][4]: ("__proto__",),
+}
 #: Severity and category words of rule files; others mean Info and Suspicious.
 RULE_SEVERITY = {"critical": "Critical", "high": "High", "medium": "Medium", "low": "Low", "info": "Info"}
 RULE_CATEGORY = {"code_execution": "CodeExecution", "network_access": "NetworkAccess", "file_system_access": "FileSystemAccess", "filesystem_access": "FileSystemAccess", "process_spawn": "ProcessSpawn", "obfuscation": "Obfuscation", "install_script": "InstallScript", "env_access": "EnvAccess", "maintainer_change": "MaintainerChange", "dependency_risk": "DependencyRisk"}

@@ -2,12 +2,17 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from siltstone.functions import text
+from siltstone.operators import patterns
 from siltstone.plans import queries as own
+from siltstone.plans import report
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -90,3 +95,19 @@ def test_dependencies_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(own.QUERIES["dependency_limits"](spark, SF))
 
 
+@pytest.mark.parametrize("reads, made", [(1, lambda spark, found: report.reports(*found)), (0, lambda spark, found: report.sarif_run(found[1])), (0, lambda spark, found: report.ignored(found[1], spark.createDataFrame([("low",)], "rule string")))])
+def test_lines_are_read_once(spark, reads, made):
+    # Reports read all lines twice before, a SARIF run three times and for its order again.
+    assert plan_of(made(spark, own._found(spark, SF))).count("ArrowEvalPython") == reads
+
+
+def test_lines_that_may_be_dense(spark):
+    rng = random.Random(3)
+    signs = [chr(c) for c in range(33, 127)] + list("éüñж漢")
+    lines = ["".join(rng.choices(signs if rng.random() < share else "abcdefghijklmnopqrstuvwxyz ", k=1)[0] for _ in range(400)) for share in [k / 40 for k in range(41)] for _ in range(5)]
+    rows = spark.createDataFrame([(x,) for x in lines], "t string").select(text.maybe_dense(F.col("t")), text.byte_entropy("t")).collect()
+    assert all(may for may, entropy in rows if entropy > 5.5) and not all(may for may, _ in rows)
+
+
+def test_needed_texts():
+    assert all(p in patterns.NEEDED for p in [s[2] for s in patterns.STATIC] + [r[4] for r in patterns.RULES])
