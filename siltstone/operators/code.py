@@ -259,7 +259,7 @@ def rule_joins(files: DataFrame, rules: DataFrame) -> DataFrame:
     allowed = F.coalesce(F.rlike(text.basename(path), F.col("file_regex")), F.lit(True)) & ~F.exists(F.coalesce("exclude_paths", F.array().cast("array<string>")), lambda e: F.contains(F.lower(path), F.lower(e)))
     matches = allowed & F.rlike(raw, F.col("pattern"))
     cut = lambda t, at: F.transform(at, lambda i: F.substring(t, i, F.lit(GRAM)))
-    keyed = lines.where(F.length(raw) >= LEAST).withColumn("gram", F.explode(F.array_distinct(cut(raw, F.sequence(F.lit(1), F.length(raw) - (GRAM - 1), F.lit(GRAM))))))
+    keyed = lines.where(F.length(raw) >= LEAST).withColumn("gram", F.explode(F.array_distinct(F.regexp_extract_all(raw, F.lit(f"(?s).{{{GRAM}}}"), F.lit(0)))))
     long = F.coalesce(F.length(literal) >= LEAST, F.lit(False))
     by_literal = known.where(long).withColumn("gram", F.explode(F.array_distinct(cut(literal, F.sequence(F.lit(1), F.lit(GRAM))))))
     first = F.call_function("instr", raw, literal)

@@ -111,3 +111,8 @@ def test_lines_that_may_be_dense(spark):
 
 def test_needed_texts():
     assert all(p in patterns.NEEDED for p in [s[2] for s in patterns.STATIC] + [r[4] for r in patterns.RULES])
+
+
+def test_grams_of_a_line_in_one_pass(spark):
+    # Substrings by place count characters from the line's start, so a line cost the square of its length before.
+    assert "regexp_extract_all(" in plan_of(own.QUERIES["rule_join"](spark, SF))
