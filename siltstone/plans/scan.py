@@ -58,7 +58,7 @@ COMPARE, DEEP = "diff", "dependencies"
 def _deep(t: Tables) -> DataFrame:
     """Risks in the trees of all packages, as findings of the versions that were asked for."""
     roots = t.packages.select(F.col("package").alias("root"), F.col("version").alias("spec")).distinct()
-    risks = versions_of.dependency_risks(versions_of.tree(roots, t.dependencies, t.published), t.published, t.hooks, t.now)
+    risks = versions_of.deep_risks(roots, t.dependencies, t.published, t.hooks, t.now)
     return risks.drop("version").join(t.packages.select("package", "version").distinct(), "package").select(schema.COLUMNS)
 
 

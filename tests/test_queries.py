@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from siltstone.functions import text
+from siltstone.functions import storage, text
 from siltstone.operators import patterns
 from siltstone.plans import queries as own
 from siltstone.plans import report
@@ -95,6 +95,15 @@ def test_dependencies_are_not_broadcast(spark):
     assert "Broadcast" not in plan_of(own.QUERIES["dependency_limits"](spark, SF))
 
 
+def test_trees_are_a_row_each(spark, monkeypatch):
+    # Six dependencies of each package, and all packages of all trees, were written a row each before.
+    rows, stored = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name: (lambda out: rows.append(out.count()) or out)(stored(df, name)))
+    own.QUERIES["dependency_limits"](spark, SF)
+    # Ten packages a part, and a root by its own specifier.
+    assert rows and max(rows) <= 11 * spark.read.parquet(f"{SF}/part.parquet").count()
+
+
 @pytest.mark.parametrize("reads, made", [(1, lambda spark, found: report.reports(*found)), (0, lambda spark, found: report.sarif_run(found[1])), (0, lambda spark, found: report.ignored(found[1], spark.createDataFrame([("low",)], "rule string")))])
 def test_lines_are_read_once(spark, reads, made):
     # Reports read all lines twice before, a SARIF run three times and for its order again.
