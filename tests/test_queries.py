@@ -104,6 +104,14 @@ def test_trees_are_a_row_each(spark, monkeypatch):
     assert rows and max(rows) <= 11 * spark.read.parquet(f"{SF}/part.parquet").count()
 
 
+def test_trees_begin_with_their_own_lists(spark, monkeypatch):
+    # Roots were joined to their numbers and then to their lists, and lists moved by the root's name, before.
+    plans, stored = [], storage.stored
+    monkeypatch.setattr(storage, "stored", lambda df, name: (name == "trees" and plans.append(plan_of(df))) or stored(df, name))
+    own.QUERIES["dependency_risks"](spark, SF)
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [1, 4, 4] and not any("hashpartitioning(root" in p for p in plans[1:])
+
+
 @pytest.mark.parametrize("reads, made", [(1, lambda spark, found: report.reports(*found)), (0, lambda spark, found: report.sarif_run(found[1])), (0, lambda spark, found: report.ignored(found[1], spark.createDataFrame([("low",)], "rule string")))])
 def test_lines_are_read_once(spark, reads, made):
     # Reports read all lines twice before, a SARIF run three times and for its order again.
