@@ -272,6 +272,22 @@ def test_manifests(spark):
     assert sources.project_dependencies(m, skip_dev=True).count() == 2
 
 
+def test_manifests_are_parsed_once(spark):
+    # Each kind's filter and its explode parsed a manifest, three times a kind, before.
+    texts = {
+        "empty": "", "null": "null", "number": "5", "list": '[{"dependencies": {"a": "1"}}, {"devDependencies": {"b": "1"}}]', "none": '{"dependencies": null, "devDependencies": {}}', "dev": '{"dependencies": {}, "devDependencies": {"b": "1"}}',
+        "scripts": '{"scripts": 5, "dependencies": {"a": "1"}}', "array": '{"dependencies": ["a"], "devDependencies": {"b": "1"}}', "values": '{"dependencies": {"a": {"version": "1"}, "b": [1], "c": 2, "": ""}}', "twice": '{"dependencies": {"a": "1", "a": "2"}, "devDependencies": {"a": "1"}}',
+        "broken": '{"dependencies": {"a": "1"}, broken', "null spec": '{"devDependencies": {"b": null}, "dependencies": {"a": null}}',
+    }
+    m = sources.manifests(spark.createDataFrame([*texts.items(), ("dev", texts["scripts"]), (None, texts["dev"])], "project string, package_json string"))
+    prod = [("scripts", "a", "1"), ("dev", "a", "1"), ("values", "a", '{"version":"1"}'), ("values", "b", "[1]"), ("values", "c", "2"), ("values", "", ""), ("twice", "a", "1"), ("twice", "a", "2"), ("null spec", "a", "latest")]
+    dev = [("dev", "b", "1"), (None, "b", "1"), ("array", "b", "1"), ("twice", "a", "1"), ("null spec", "b", "latest")]
+    for skipped, want in ((True, [(*x, "prod") for x in prod]), (False, [(*x, "prod") for x in prod] + [(*x, "dev") for x in dev])):
+        found = sources.project_dependencies(m, skip_dev=skipped)
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+        assert found._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
+
+
 def test_rule_and_ignore_files(spark, tmp_path):
     (tmp_path / "a.yml").write_text('id: "X-1"\nname: n\ndescription: d\nseverity: odd\ncategory: Network-Access\npattern: "MAGIC"\nfile_pattern: "*.js"\n')
     rules = sources.rule_files(str(tmp_path))
