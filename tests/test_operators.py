@@ -233,6 +233,20 @@ def test_deep_risks_of_odd_roots(spark):
     assert set(rows) == want and len(rows) == len(want)
 
 
+def test_provenance_of_odd_rows(spark):
+    # Packages that come twice, by two addresses, without one, or without a name; files and refs likewise.
+    at = "https://github.com/own/"
+    packages = [("a", "1", f"{at}a", True), ("a", "1", f"{at}a", True), ("b", "1", f"{at}b", False), ("b", "1", f"{at}c", False), ("c", "2", None, None), ("e", "1", f"{at}gone", False), (None, "1", f"{at}a", False), ("g", "1", "own/../g", False), ("h", "1", "", False)]
+    files_ = [(p, "1", x) for p in ("a", "b", "c", "e", None) for x in ("i.js", "i.js", "dist/i.js", "src/new.ts", "README.md", None, "j.js")]
+    tree = [("own/a", "v1", "i.js", "blob", False), ("own/a", "v1", "i.js", "blob", True), ("own/a", "v1", "src/new.ts", "tree", False), ("own/b", "1", "j.js", "blob", None), ("own/c", "HEAD", "i.js", "blob", False), ("own/c", "HEAD", None, "blob", False), (None, "v1", "i.js", "blob", False)]
+    found = metadata.provenance(spark.createDataFrame(packages, "package string, version string, repository string, attested boolean"), spark.createDataFrame(files_, "package string, version string, path string"), spark.createDataFrame(tree, "repo string, ref string, path string, type string, truncated boolean"))
+    got = sorted(repr((r["package"], r["severity"], r["title"][:12], r["file"], r["description"][:21])) for r in found.collect())
+    low, high, cut = ("Low", "No npm prove", None, "source of the package"), ("High", "No provenanc", None, "source of the package"), ("Info", "GitHub tree ", None, "source of the package")
+    want = [("a", "Info", "npm provenan", None, "source of the package")] * 2 + [("b", *low)] * 2 + [(p, *low) for p in ("c", "e", None, "g", "h")] + [("g", *high), ("h", *high), ("a", *cut), (None, *cut)]
+    want += [("a", "Critical", "2 JS file(s)", "j.js", "  - j.js\n  - src/new."), ("b", "Critical", "3 JS file(s)", "i.js", "  - i.js\n  - j.js\n  -"), ("e", "Medium", "Repository U", None, "source of the package")]
+    assert got == sorted(map(repr, want))
+
+
 def test_archives(spark):
     buffer = io.BytesIO()
     with tarfile.open(fileobj=buffer, mode="w:gz") as tar:

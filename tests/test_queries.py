@@ -133,3 +133,9 @@ def test_needed_texts():
 def test_grams_of_a_line_in_one_pass(spark):
     # Substrings by place count characters from the line's start, so a line cost the square of its length before.
     assert "regexp_extract_all(" in plan_of(own.QUERIES["rule_join"](spark, SF))
+
+
+def test_addresses_are_read_once_a_package(spark):
+    # The filter on a package's address was pushed below the distinct that packages are made by, to each of their files, before.
+    for name in ("provenance", "provenance_listing"):
+        assert "github" not in plan_of(own.QUERIES[name](spark, SF))
